@@ -82,30 +82,25 @@ def union_edges(*parts: DataFrame) -> DataFrame:
 
 
 def _fold_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Components of frames known to be small: the edges of one frame fold over one label array."""
-    both = F.explode(F.array("lo", "hi"))
-    nodes = edges.select(*keys, both.alias("_n")).groupBy(*keys).agg(F.array_sort(F.collect_set("_n")).alias("_nodes"))
-    packed = edges.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("_edges")).join(nodes, list(keys))
-    labels = F.aggregate(
-        "_edges",
-        F.col("_nodes"),
-        lambda label, e: F.transform(
-            label,
-            lambda v: F.when(
-                v
-                == F.greatest(
-                    F.element_at(label, F.array_position(F.col("_nodes"), e["lo"]).cast("int")),
-                    F.element_at(label, F.array_position(F.col("_nodes"), e["hi"]).cast("int")),
-                ),
-                F.least(
-                    F.element_at(label, F.array_position(F.col("_nodes"), e["lo"]).cast("int")),
-                    F.element_at(label, F.array_position(F.col("_nodes"), e["hi"]).cast("int")),
-                ),
-            ).otherwise(v),
-        ),
+    """Components of frames known to be small: the edges of one frame fold over one label array.
+
+    Each edge replaces the larger of the two labels at its ends by the smaller, and does nothing when they agree.
+    """
+    keys = list(keys)
+    packed = edges.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("_edges"))
+    packed = packed.selectExpr(
+        *keys, "_edges", "array_sort(array_distinct(flatten(transform(_edges, e -> array(e.lo, e.hi))))) AS _nodes"
+    ).selectExpr(
+        *keys,
+        "_nodes",
+        "transform(_edges, e -> struct(CAST(array_position(_nodes, e.lo) AS INT) AS a, CAST(array_position(_nodes, e.hi) AS INT) AS b)) AS _edges",
     )
-    zipped = F.explode(F.arrays_zip(F.col("_nodes").alias("node"), labels.alias("label")))
-    return packed.select(*keys, zipped.alias("_z")).select(*keys, F.col("_z.node").alias("node"), F.col("_z.label").alias("label"))
+    return packed.selectExpr(
+        *keys,
+        """explode(arrays_zip(_nodes, aggregate(_edges, _nodes, (label, e) ->
+             aggregate(array(struct(greatest(label[e.a - 1], label[e.b - 1]) AS high, least(label[e.a - 1], label[e.b - 1]) AS low)), label,
+               (l, p) -> if(p.high = p.low, l, transform(l, v -> if(v = p.high, p.low, v))))))) AS _z""",
+    ).selectExpr(*keys, "_z._nodes AS node", "_z.`1` AS label")
 
 
 def _star_components(edges: DataFrame, keys: Sequence[str], max_rounds: int = 60) -> DataFrame:

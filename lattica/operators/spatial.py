@@ -3,6 +3,8 @@
 A frame is identified by ``keys``; every particle has an id and three coordinates. Spark has no spatial join, so
 particles are hashed to cells no smaller than the search radius and joined on the cell as an ordinary equi-join. A
 hot frame is therefore spread over its cells, and adaptive skew handling splits a hot cell.
+
+Expressions are written as SQL text: one parse instead of thousands of calls into the JVM.
 """
 
 from __future__ import annotations
@@ -10,24 +12,43 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.scalars import minimum_image, norm, wrap
-
 # One of every pair of opposite cell offsets, the own cell included.
 _OFFSETS = list(product((-1, 0, 1), repeat=3))
 _HALF_SHELL = [o for o in _OFFSETS if o >= (0, 0, 0)]
 
 
-def _as_column(box) -> Column:
-    if isinstance(box, Column):
-        return box
-    return F.col(box) if isinstance(box, str) else F.lit(float(box))
+def _number(box) -> str:
+    """SQL text for a box edge: a column name or a number."""
+    return box if isinstance(box, str) else f"{float(box)!r}D"
+
+
+def _axis(name: str, offset: int) -> str:
+    return f"pmod({name} + {offset}, _nc)" if offset else name
+
+
+def _cells(offsets) -> str:
+    parts = [f"({_axis('_xc', a)} * _nc + {_axis('_yc', b)}) * _nc + {_axis('_zc', c)}" for a, b, c in offsets]
+    return f"array({', '.join(parts)})"
 
 
-def _cell_id(cx: Column, cy: Column, cz: Column, nc: Column) -> Column:
-    return (cx * nc + cy) * nc + cz
+def _distance(right: str, left: str, box: str | None) -> str:
+    parts = []
+    for a in "xyz":
+        d = f"({right}{a} - {left}{a})"
+        if box:
+            d = f"({d} - {box} * rint({d} / {box}))"
+        parts.append(f"{d} * {d}")
+    return f"sqrt({' + '.join(parts)})"
+
+
+def _ordered(names: Sequence[tuple[str, str, str]], left: str, right: str, first: str) -> list[str]:
+    out = []
+    for name, low, high in names:
+        out += [f"if({first}, {left}{name}, {right}{name}) AS {low}", f"if({first}, {right}{name}, {left}{name}) AS {high}"]
+    return out
 
 
 def radius_pairs(
@@ -42,54 +63,37 @@ def radius_pairs(
 ) -> DataFrame:
     """All pairs within ``radius`` under the minimum-image convention of a cubic box.
 
-    Result: keys, ``i`` < ``j``, ``d`` and, for every carried column, ``<name>_i`` and ``<name>_j``. Each pair
-    appears once. With at least three cells per axis a particle probes its own cell and 13 of the 26 neighbours;
-    smaller boxes, whose neighbour cells coincide, probe each distinct cell and keep the ordered pairs.
+    ``box`` is a number or the name of a column. Result: keys, ``i`` < ``j``, ``d`` and, for every carried column,
+    ``<name>_i`` and ``<name>_j``. Each pair appears once. With at least three cells per axis a particle probes its
+    own cell and 13 of the 26 neighbours; smaller boxes, whose neighbour cells coincide, probe each distinct cell
+    and keep the ordered pairs.
     """
     keys = list(keys)
-    side = _as_column(box)
-    nc = F.greatest(F.floor(side / F.lit(float(radius))), F.lit(1)).cast("long")
-    base = points.select(
+    side = _number(box)
+    wrapped = points.selectExpr(
         *keys,
-        F.col(id).alias("_id"),
-        *[F.col(c).alias(f"_c_{c}") for c in carry],
-        *[wrap(F.col(a), side).alias(f"_{a}") for a in "xyz"],
-        side.alias("_box"),
-        nc.alias("_nc"),
-    )
-    for a in "xyz":
-        base = base.withColumn(f"_{a}c", F.least(F.floor(F.col(f"_{a}") * F.col("_nc") / F.col("_box")), F.col("_nc") - 1))
-    n = F.col("_nc")
-
-    def shifted(offset) -> Column:
-        axes = [F.pmod(F.col(f"_{a}c") + F.lit(o), n) for a, o in zip("xyz", offset)]
-        return _cell_id(*axes, n)
-
-    own = _cell_id(F.col("_xc"), F.col("_yc"), F.col("_zc"), n)
-    targets = F.when(n >= 3, F.array(*[shifted(o) for o in _HALF_SHELL])).otherwise(
-        F.array_distinct(F.array(*[shifted(o) for o in _OFFSETS]))
+        f"{id} AS _id",
+        *[f"{c} AS _c_{c}" for c in carry],
+        *[f"{a} - {side} * floor({a} / {side}) AS _{a}" for a in "xyz"],
+        f"{side} AS _box",
+        f"CAST(greatest(floor({side} / {float(radius)!r}D), 1) AS INT) AS _nc",
     )
+    base = wrapped.selectExpr("*", *[f"CAST(least(floor(_{a} * _nc / _box), _nc - 1) AS INT) AS _{a}c" for a in "xyz"])
+    if isinstance(box, str):
+        targets = f"if(_nc >= 3, {_cells(_HALF_SHELL)}, array_distinct({_cells(_OFFSETS)}))"
+    else:
+        targets = _cells(_HALF_SHELL) if box >= 3 * radius else f"array_distinct({_cells(_OFFSETS)})"
+    own = "(_xc * _nc + _yc) * _nc + _zc"
     payload = ["_id", *[f"_c_{c}" for c in carry], "_x", "_y", "_z"]
-    probe = base.select(
-        *keys, *[F.col(p).alias(f"l{p}") for p in payload], "_box", "_nc", own.alias("_own"), F.explode(targets).alias("_cell")
-    )
-    build = base.select(*keys, own.alias("_cell"), *[F.col(p).alias(f"r{p}") for p in payload])
-    d = norm(*[minimum_image(F.col(f"r_{a}") - F.col(f"l_{a}"), F.col("_box")) for a in "xyz"])
-    once = ((F.col("_nc") >= 3) & (F.col("_own") != F.col("_cell"))) | (F.col("l_id") < F.col("r_id"))
-    joined = probe.join(build, [*keys, "_cell"]).where(once).withColumn("d", d)
-    joined = joined.where(F.col("d") < radius if strict else F.col("d") <= radius)
-    first = F.col("l_id") < F.col("r_id")
-
-    def pick(name, low):
-        a, b = (F.col(f"l{name}"), F.col(f"r{name}"))
-        return F.when(first, a if low else b).otherwise(b if low else a)
-
-    return joined.select(
-        *keys,
-        pick("_id", True).alias("i"),
-        pick("_id", False).alias("j"),
-        "d",
-        *[pick(f"_c_{c}", low).alias(f"{c}_{s}") for c in carry for low, s in ((True, "i"), (False, "j"))],
+    probe = base.selectExpr(*keys, *[f"{p} AS l{p}" for p in payload], "_box", "_nc", f"{own} AS _own", f"explode({targets}) AS _cell")
+    build = base.selectExpr(*keys, f"{own} AS _cell", *[f"{p} AS r{p}" for p in payload])
+    test = "<" if strict else "<="
+    return (
+        probe.join(build, [*keys, "_cell"])
+        .where("(_nc >= 3 AND _own <> _cell) OR l_id < r_id")
+        .selectExpr("*", f"{_distance('r_', 'l_', '_box')} AS d")
+        .where(f"d {test} {float(radius)!r}D")
+        .selectExpr(*keys, *_ordered([("_id", "i", "j")], "l", "r", "l_id < r_id"), "d", *_ordered([(f"_c_{c}", f"{c}_i", f"{c}_j") for c in carry], "l", "r", "l_id < r_id"))
     )
 
 
@@ -98,33 +102,30 @@ def radius_pairs_open(
 ) -> DataFrame:
     """All pairs within ``radius`` without periodic images (cells are unbounded in every direction)."""
     keys = list(keys)
-    payload = [id, *carry, "x", "y", "z"]
-    cell = {a: F.floor(F.col(a) / F.lit(float(radius))) for a in "xyz"}
-    build = points.select(*keys, *[F.col(p).alias(f"r_{p}") for p in payload], *[cell[a].alias(f"_{a}c") for a in "xyz"])
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(o, "xyz")]) for o in _HALF_SHELL])
-    probe = points.select(
+    r = f"{float(radius)!r}D"
+    payload = ["_id", *[f"_c_{c}" for c in carry], "_x", "_y", "_z"]
+    base = points.selectExpr(
+        *keys, f"{id} AS _id", *[f"{c} AS _c_{c}" for c in carry], *[f"{a} AS _{a}" for a in "xyz"], *[f"floor({a} / {r}) AS _{a}c" for a in "xyz"]
+    )
+    build = base.selectExpr(*keys, "_xc", "_yc", "_zc", *[f"{p} AS r{p}" for p in payload])
+    shell = ", ".join(f"struct({a} AS a, {b} AS b, {c} AS c)" for a, b, c in _HALF_SHELL)
+    probe = base.selectExpr(*keys, *[f"{p} AS l{p}" for p in payload], "_xc AS _x0", "_yc AS _y0", "_zc AS _z0", f"explode(array({shell})) AS _o")
+    probe = probe.selectExpr(
         *keys,
-        *[F.col(p).alias(f"l_{p}") for p in payload],
-        F.explode(offsets).alias("_o"),
-        *[cell[a].alias(f"_{a}0") for a in "xyz"],
+        *[f"l{p}" for p in payload],
+        "_x0 + _o.a AS _xc",
+        "_y0 + _o.b AS _yc",
+        "_z0 + _o.c AS _zc",
+        "_o.a = 0 AND _o.b = 0 AND _o.c = 0 AS _own",
     )
-    for a in "xyz":
-        probe = probe.withColumn(f"_{a}c", F.col(f"_{a}0") + F.col(f"_o.{a}"))
-    own = (F.col("_o.x") == 0) & (F.col("_o.y") == 0) & (F.col("_o.z") == 0)
-    probe = probe.withColumn("_own", own).drop("_o", "_x0", "_y0", "_z0")
-    d = norm(*[F.col(f"r_{a}") - F.col(f"l_{a}") for a in "xyz"])
-    joined = (
+    test = "<" if strict else "<="
+    return (
         probe.join(build, [*keys, "_xc", "_yc", "_zc"])
-        .where(~F.col("_own") | (F.col(f"l_{id}") < F.col(f"r_{id}")))
-        .withColumn("d", d)
+        .where("NOT _own OR l_id < r_id")
+        .selectExpr("*", f"{_distance('r_', 'l_', None)} AS d")
+        .where(f"d {test} {r}")
+        .selectExpr(*keys, *_ordered([("_id", "i", "j")], "l", "r", "l_id < r_id"), "d", *_ordered([(f"_c_{c}", f"{c}_i", f"{c}_j") for c in carry], "l", "r", "l_id < r_id"))
     )
-    joined = joined.where(F.col("d") < radius if strict else F.col("d") <= radius)
-    first = F.col(f"l_{id}") < F.col(f"r_{id}")
-    out = []
-    for name, low_name, high_name in [(id, "i", "j"), *[(c, f"{c}_i", f"{c}_j") for c in carry]]:
-        a, b = F.col(f"l_{name}"), F.col(f"r_{name}")
-        out += [F.when(first, a).otherwise(b).alias(low_name), F.when(first, b).otherwise(a).alias(high_name)]
-    return joined.select(*keys, *out[:2], "d", *out[2:])
 
 
 def nearest_target_distance(
@@ -145,38 +146,33 @@ def nearest_target_distance(
     surviving cells. Frames without targets give no rows.
     """
     keys = list(keys)
-    side = _as_column(box)
+    side = _number(box)
     n = cells
 
     def located(df, extra):
-        out = df.select(*keys, *extra, *[wrap(F.col(a), side).alias(f"_{a}") for a in "xyz"], side.alias("_box"))
-        axes = [F.least(F.floor(F.col(f"_{a}") * n / F.col("_box")), F.lit(n - 1)) for a in "xyz"]
-        return out.withColumn("_cell", (axes[0] * n + axes[1]) * n + axes[2])
+        out = df.selectExpr(*keys, *extra, *[f"{a} - {side} * floor({a} / {side}) AS _{a}" for a in "xyz"], f"{side} AS _box")
+        at = [f"CAST(least(floor(_{a} * {n} / _box), {n - 1}) AS INT)" for a in "xyz"]
+        return out.selectExpr("*", f"({at[0]} * {n} + {at[1]}) * {n} + {at[2]} AS _cell")
 
-    q = located(queries, [F.col(id), *[F.col(c) for c in carry]])
+    q = located(queries, [id, *carry])
     t = located(targets, [])
-    q_cells = q.select(*keys, "_box", F.col("_cell").alias("_qc")).distinct()
-    t_cells = t.select(*keys, F.col("_cell").alias("_tc")).distinct()
-
-    def axis_gap(shift):
-        a = F.pmod(F.floor(F.col("_qc") / shift), F.lit(n))
-        b = F.pmod(F.floor(F.col("_tc") / shift), F.lit(n))
-        gap = F.abs(a - b)
-        return F.least(gap, F.lit(n) - gap)
-
-    width = F.col("_box") / n
-    gaps = [axis_gap(s) for s in (n * n, n, 1)]
-    least = norm(*[F.greatest(g - 1, F.lit(0)) * width for g in gaps])
-    most = norm(*[F.least((g + 1) * width, F.col("_box") / 2) for g in gaps])
-    cell_pairs = q_cells.join(t_cells, keys).select(*keys, "_qc", "_tc", least.alias("_least"), most.alias("_most"))
+    q_cells = q.selectExpr(*keys, "_box", "_cell AS _qc").distinct()
+    t_cells = t.selectExpr(*keys, "_cell AS _tc").distinct()
+    gap = {a: f"abs((_qc div {s}) % {n} - (_tc div {s}) % {n})" for a, s in zip("xyz", (n * n, n, 1))}
+    paired = q_cells.join(t_cells, keys).selectExpr(
+        *keys, "_qc", "_tc", f"_box / {n} AS _w", "_box / 2 AS _half", *[f"least({g}, {n} - {g}) AS _g{a}" for a, g in gap.items()]
+    )
+    least = " + ".join(f"pow(greatest(_g{a} - 1, 0) * _w, 2)" for a in "xyz")
+    most = " + ".join(f"pow(least((_g{a} + 1) * _w, _half), 2)" for a in "xyz")
+    cell_pairs = paired.selectExpr(*keys, "_qc", "_tc", f"{least} AS _least", f"{most} AS _most")
     reach = cell_pairs.groupBy(*keys, "_qc").agg(F.min("_most").alias("_reach"))
     # A hair of slack keeps exact ties safe from rounding.
-    live = cell_pairs.join(reach, [*keys, "_qc"]).where(F.col("_least") <= F.col("_reach") * (1 + 1e-9)).select(*keys, "_qc", "_tc")
+    live = cell_pairs.join(reach, [*keys, "_qc"]).where("_least <= _reach * 1.000000001D").select(*keys, "_qc", "_tc")
     probes = q.withColumnRenamed("_cell", "_qc").join(live, [*keys, "_qc"])
-    goal = t.select(*keys, F.col("_cell").alias("_tc"), *[F.col(f"_{a}").alias(f"_t{a}") for a in "xyz"])
-    d = norm(*[minimum_image(F.col(f"_t{a}") - F.col(f"_{a}"), F.col("_box")) for a in "xyz"])
+    goal = t.selectExpr(*keys, "_cell AS _tc", *[f"_{a} AS _t_{a}" for a in "xyz"])
     return (
         probes.join(goal, [*keys, "_tc"])
+        .selectExpr(*keys, id, *carry, f"{_distance('_t_', '_', '_box')} AS _d")
         .groupBy(*keys, id)
-        .agg(F.min(d).alias("distance"), *[F.first(c).alias(c) for c in carry])
+        .agg(F.min("_d").alias("distance"), *[F.first(c).alias(c) for c in carry])
     )

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.scalars import wrap
 from lattica.operators import graph, spatial
 from lattica.plans.registry import Tables
 
@@ -22,36 +21,33 @@ MED1_RESIDUES, OCT4_RESIDUES, DNA_BEADS = 200, 60, 80
 
 
 def beads(t: Tables) -> DataFrame:
-    li = t.lineitem
-    molecule = F.when(F.col("l_partkey") % 15 == 0, F.lit(0)).otherwise(F.col("l_partkey") % 150).cast("long")
-    out = li.select(
-        F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string")).alias("system"),
-        F.concat(F.lit("R"), (F.floor(F.col("l_suppkey") / 4) % 3).cast("string")).alias("replicate"),
-        F.col("l_suppkey").alias("frame"),
-        ((F.col("l_partkey") * 8 + F.col("l_linenumber")) * F.lit(4294967296) + F.col("l_orderkey")).alias("bead"),
-        wrap(F.col("l_extendedprice") * 0.0137, BOX).alias("x"),
-        wrap(F.col("l_orderkey") * 0.7310585, BOX).alias("y"),
-        wrap(F.col("l_partkey") * 1.6180339 + F.col("l_linenumber") * 2.7182818, BOX).alias("z"),
-        molecule.alias("molecule"),
-        F.col("l_orderkey").alias("_o"),
+    """One particle per line item: coordinates, molecule, species, residue, parent chain and fixed block."""
+    out = t.lineitem.selectExpr(
+        "concat('S', CAST(l_suppkey % 4 AS STRING)) AS system",
+        "concat('R', CAST((l_suppkey div 4) % 3 AS STRING)) AS replicate",
+        "l_suppkey AS frame",
+        "(l_partkey * 8 + l_linenumber) * 4294967296 + l_orderkey AS bead",
+        "l_extendedprice * 0.0137D AS x",
+        "l_orderkey * 0.7310585D AS y",
+        "l_partkey * 1.6180339D + l_linenumber * 2.7182818D AS z",
+        "if(l_partkey % 15 = 0, 0L, l_partkey % 150) AS molecule",
+        "l_orderkey AS o",
+    ).selectExpr(
+        "system", "replicate", "frame", "bead", *[f"{a} - {BOX}D * floor({a} / {BOX}D) AS {a}" for a in "xyz"], "molecule", "o",
+        "CASE WHEN molecule = 0 THEN 'DNA' WHEN molecule % 5 = 1 THEN 'MED1' ELSE 'OCT4' END AS species",
     )
-    species = F.when(F.col("molecule") == 0, "DNA").when(F.col("molecule") % 5 == 1, "MED1").otherwise("OCT4")
-    fragment = F.floor(F.col("molecule") / 5) % 2
-    residue = (
-        F.when(F.col("species") == "MED1", fragment * 100 + F.col("_o") % 100)
-        .when(F.col("species") == "OCT4", F.col("_o") % OCT4_RESIDUES)
-        .otherwise(F.col("_o") % DNA_BEADS)
+    out = out.selectExpr(
+        "system", "replicate", "frame", "bead", "x", "y", "z", "molecule", "species",
+        "CASE WHEN species = 'MED1' THEN ((molecule div 5) % 2) * 100 + o % 100 "
+        f"WHEN species = 'OCT4' THEN o % {OCT4_RESIDUES} ELSE o % {DNA_BEADS} END AS residue",
+        "CASE WHEN species = 'MED1' THEN molecule div 10 WHEN species = 'OCT4' THEN 1000 + molecule ELSE -1L END AS parent",
     )
-    parent = (
-        F.when(F.col("species") == "MED1", F.floor(F.col("molecule") / 10)).when(F.col("species") == "OCT4", 1000 + F.col("molecule")).otherwise(-1)
-    )
-    out = out.withColumn("species", species).withColumn("residue", residue.cast("long")).withColumn("parent", parent.cast("long"))
     block = (
         F.when(F.col("species") == "MED1", graph.block_key("parent", "residue", CUTS))
         .when(F.col("species") == "OCT4", 10000 + F.col("molecule"))
         .otherwise(-1)
     )
-    return out.withColumn("block", block.cast("long")).drop("_o")
+    return out.withColumn("block", block.cast("long"))
 
 
 BEADS_SQL = """
