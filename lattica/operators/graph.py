@@ -430,7 +430,7 @@ def binding_categories(edges: DataFrame, proteins: DataFrame, contacts: DataFram
     masks that overlap share a window, others do not. The number of masks does not grow with the proteins.
     """
     keys = list(keys)
-    mask = contacts.groupBy(*keys, "node").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("window").cast("int"))).alias("mask"))
+    mask = contacts.groupBy(*keys, "node").agg(F.expr("bit_or(shiftleft(1L, CAST(window AS INT)))").alias("mask"))
     masked = proteins.select(*keys, "node").join(mask, [*keys, "node"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
     per = masked.groupBy(*keys, "mask").agg(F.count("*").alias("n"))
 

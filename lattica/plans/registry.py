@@ -36,7 +36,7 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
             c = c.cast("long")
         elif kind == "b":
             c = c.cast("boolean")
-        elif kind[0] == "f":
+        else:
             c = F.round(c.cast("double"), int(kind[1:] or 6)) + F.lit(0.0)
         out.append(c.alias(name))
     return df.select(*out)
@@ -45,16 +45,15 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
 def shape_sql(body: str, spec: str) -> str:
     out = []
     for name, kind in _columns(spec):
+        quoted = f'"{name}"'
         if kind == "s":
-            out.append(f"CAST({name} AS VARCHAR) AS {name}")
+            out.append(f"CAST({quoted} AS VARCHAR) AS {quoted}")
         elif kind == "i":
-            out.append(f"CAST({name} AS BIGINT) AS {name}")
+            out.append(f"CAST({quoted} AS BIGINT) AS {quoted}")
         elif kind == "b":
-            out.append(f"CAST({name} AS BOOLEAN) AS {name}")
-        elif kind[0] == "f":
-            out.append(f"ROUND(CAST({name} AS DOUBLE), {int(kind[1:] or 6)}) + 0.0 AS {name}")
+            out.append(f"CAST({quoted} AS BOOLEAN) AS {quoted}")
         else:
-            out.append(name)
+            out.append(f"ROUND(CAST({quoted} AS DOUBLE), {int(kind[1:] or 6)}) + 0.0 AS {quoted}")
     return f"SELECT {', '.join(out)} FROM ({body}) AS q"
 
 
