@@ -430,7 +430,7 @@ def v1_missing_frames(t: Tables) -> DataFrame:
 @query(
     "v2_ledger",
     "check:s value:s required:s passed:b",
-    """SELECT 'discount range' AS "check", CAST(MIN(l_discount) AS VARCHAR) || '..' || CAST(MAX(l_discount) AS VARCHAR) AS value, '0.0..0.1' AS required,
+    """SELECT 'discount range' AS "check", CAST(MIN(l_discount) + 0.0 AS VARCHAR) || '..' || CAST(MAX(l_discount) AS VARCHAR) AS value, '0.0..0.1' AS required,
          MIN(l_discount) >= 0 AND MAX(l_discount) <= CAST(0.1 AS DOUBLE) AS passed FROM lineitem
        UNION ALL SELECT 'whole quantities', CAST(COUNT(*) FILTER (l_quantity <> FLOOR(l_quantity)) AS VARCHAR), '0 fractional values', COUNT(*) FILTER (l_quantity <> FLOOR(l_quantity)) = 0 FROM lineitem
        UNION ALL SELECT 'unique orders', CAST(COUNT(*) - COUNT(DISTINCT o_orderkey) AS VARCHAR), '0 duplicate keys', COUNT(*) = COUNT(DISTINCT o_orderkey) FROM orders
