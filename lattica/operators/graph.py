@@ -140,16 +140,17 @@ def _star_components(edges: DataFrame, keys: Sequence[str], max_rounds: int = 60
 
 
 def connected_components(
-    edges: DataFrame, nodes: DataFrame, keys: Sequence[str], *, method: str = "auto", fold_edges: int = 4096
+    edges: DataFrame, nodes: DataFrame, keys: Sequence[str], *, method: str = "auto", fold_edges: int = 4096, stored: bool = False
 ) -> DataFrame:
     """``nodes`` plus ``label``: the smallest node id of its component (its own id when isolated).
 
     ``fold`` keeps one frame's edges in one row and needs them bounded. ``star`` has no bound. ``auto`` measures the
-    edges per frame and sends every frame above ``fold_edges`` through ``star``; both are exact.
+    edges per frame and sends every frame above ``fold_edges`` through ``star``; both are exact. It reads the edges
+    twice and therefore writes them first, unless they are ``stored`` already.
     """
     keys = list(keys)
     if method == "auto":
-        edges = materialise(edges.select(*keys, "lo", "hi"), "edges")
+        edges = edges.select(*keys, "lo", "hi") if stored else materialise(edges.select(*keys, "lo", "hi"), "edges")
         counts = edges.groupBy(*keys).agg(F.count("*").alias("_n"))
         large = counts.where(F.col("_n") > fold_edges).select(*keys)
         if large.isEmpty():
@@ -326,8 +327,8 @@ def pair_kind_counts(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) ->
 def hop_classes(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], anchor: str = "DNA", **kw) -> DataFrame:
     """Proteins linked to the anchor, by class: ``direct``, ``second`` (next to a direct one) or ``third_plus``."""
     keys = list(keys)
-    edges = edges.select(*keys, "lo", "hi")
-    labelled = connected_components(edges, nodes, keys, **kw)
+    edges = materialise(edges.select(*keys, "lo", "hi"), "edges")
+    labelled = connected_components(edges, nodes, keys, stored=True, **kw)
     anchors = labelled.where(F.col("species") == anchor).select(*keys, "label").distinct()
     linked = labelled.where(F.col("species") != anchor).join(anchors, [*keys, "label"], "left_semi")
     anchor_nodes = nodes.where(F.col("species") == anchor).select(*keys, F.col("node").alias("from"))

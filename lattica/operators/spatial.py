@@ -1,8 +1,10 @@
 """Distance joins over particle coordinates.
 
-A frame is identified by ``keys``; every particle has an id and three coordinates. Spark has no spatial join, so
-particles are hashed to cells no smaller than the search radius and joined on the cell as an ordinary equi-join. A
-hot frame is therefore spread over its cells, and adaptive skew handling splits a hot cell.
+A frame is identified by ``keys``; every particle has an id and three coordinates. Spark has no spatial join, so space
+is cut into blocks a few search radii wide. A particle is stored in its own block and sent to every block that its
+search sphere touches (under five of them on average), and the two meet in an ordinary equi-join on frame and block. A hot frame
+is thereby spread over its blocks, and adaptive skew handling splits a hot block. Sending particles to all 14 or 27
+neighbour cells of one radius instead would move three to six times as many rows.
 
 Expressions are written as SQL text: one parse instead of thousands of calls into the JVM.
 """
@@ -10,14 +12,13 @@ Expressions are written as SQL text: one parse instead of thousands of calls int
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# One of every pair of opposite cell offsets, the own cell included.
-_OFFSETS = list(product((-1, 0, 1), repeat=3))
-_HALF_SHELL = [o for o in _OFFSETS if o >= (0, 0, 0)]
+# Block edge in search radii, and a hair of slack so that rounding cannot hide a pair at exactly the radius.
+BLOCK_RADII = 3.0
+SLACK = 1.000000001
 
 
 def _number(box) -> str:
@@ -25,15 +26,6 @@ def _number(box) -> str:
     return box if isinstance(box, str) else f"{float(box)!r}D"
 
 
-def _axis(name: str, offset: int) -> str:
-    return f"pmod({name} + {offset}, _nc)" if offset else name
-
-
-def _cells(offsets) -> str:
-    parts = [f"({_axis('_xc', a)} * _nc + {_axis('_yc', b)}) * _nc + {_axis('_zc', c)}" for a, b, c in offsets]
-    return f"array({', '.join(parts)})"
-
-
 def _distance(right: str, left: str, box: str | None) -> str:
     parts = []
     for a in "xyz":
@@ -44,11 +36,33 @@ def _distance(right: str, left: str, box: str | None) -> str:
     return f"sqrt({' + '.join(parts)})"
 
 
-def _ordered(names: Sequence[tuple[str, str, str]], left: str, right: str, first: str) -> list[str]:
-    out = []
-    for name, low, high in names:
-        out += [f"if({first}, {left}{name}, {right}{name}) AS {low}", f"if({first}, {right}{name}, {left}{name}) AS {high}"]
-    return out
+def _touched(df: DataFrame, kind: str) -> DataFrame:
+    """One row per block that the sphere of a particle touches, from its first and last block on each axis.
+
+    A sphere narrower than a block touches at most two blocks per axis, hence eight corners; a corner that repeats
+    another (same block on that axis) is left out. Corners are numbered instead of listed to keep the generated code
+    of this stage small enough to be compiled by the JVM.
+    """
+    corners = df.selectExpr("*", "explode(array(0, 1, 2, 3, 4, 5, 6, 7)) AS _e")
+    fresh = " AND ".join(f"NOT (_e & {bit} <> 0 AND _{a}0 = _{a}1)" for a, bit in zip("xyz", (1, 2, 4)))
+    return corners.where(fresh).selectExpr("*", *[f"CAST(if(_e & {bit} = 0, _{a}0, _{a}1) AS {kind}) AS _b{a}" for a, bit in zip("xyz", (1, 2, 4))])
+
+
+def _packed(carry: Sequence[str]) -> list[str]:
+    """Carried columns as one struct: the join then moves one value per row, whatever their number."""
+    return [f"named_struct({', '.join(f'{c!r}, {c}' for c in carry)}) AS _c"] if carry else []
+
+
+def _meet(probe: DataFrame, build: DataFrame, on: Sequence[str], keys: Sequence[str], box: str | None, radius: float, carry: Sequence[str], strict: bool) -> DataFrame:
+    """Pairs of probe and stored rows of one block within the radius, each taken once by id order."""
+    names = [f"l_c.{c} AS {c}_i, r_c.{c} AS {c}_j".split(", ") for c in carry]
+    return (
+        probe.join(build, list(on))
+        .where("l_id < r_id")
+        .selectExpr("*", f"{_distance('r_', 'l_', box)} AS d")
+        .where(f"d {'<' if strict else '<='} {float(radius)!r}D")
+        .selectExpr(*keys, "l_id AS i", "r_id AS j", "d", *[n for pair in names for n in pair])
+    )
 
 
 def radius_pairs(
@@ -64,68 +78,43 @@ def radius_pairs(
     """All pairs within ``radius`` under the minimum-image convention of a cubic box.
 
     ``box`` is a number or the name of a column. Result: keys, ``i`` < ``j``, ``d`` and, for every carried column,
-    ``<name>_i`` and ``<name>_j``. Each pair appears once. With at least three cells per axis a particle probes its
-    own cell and 13 of the 26 neighbours; smaller boxes, whose neighbour cells coincide, probe each distinct cell
-    and keep the ordered pairs.
+    ``<name>_i`` and ``<name>_j``. Each pair appears once: the particle with the smaller id looks for the other, and
+    the blocks it is sent to are distinct even in boxes of one or two blocks.
     """
     keys = list(keys)
     side = _number(box)
+    r = f"{float(radius) * SLACK!r}D"
     wrapped = points.selectExpr(
         *keys,
         f"{id} AS _id",
-        *[f"{c} AS _c_{c}" for c in carry],
+        *_packed(carry),
         *[f"{a} - {side} * floor({a} / {side}) AS _{a}" for a in "xyz"],
         f"{side} AS _box",
-        f"CAST(greatest(floor({side} / {float(radius)!r}D), 1) AS INT) AS _nc",
+        f"CAST(greatest(floor({side} / {float(radius) * BLOCK_RADII!r}D), 1) AS INT) AS _nb",
     )
-    base = wrapped.selectExpr("*", *[f"CAST(least(floor(_{a} * _nc / _box), _nc - 1) AS INT) AS _{a}c" for a in "xyz"])
-    if isinstance(box, str):
-        targets = f"if(_nc >= 3, {_cells(_HALF_SHELL)}, array_distinct({_cells(_OFFSETS)}))"
-    else:
-        targets = _cells(_HALF_SHELL) if box >= 3 * radius else f"array_distinct({_cells(_OFFSETS)})"
-    own = "(_xc * _nc + _yc) * _nc + _zc"
-    payload = ["_id", *[f"_c_{c}" for c in carry], "_x", "_y", "_z"]
-    probe = base.selectExpr(*keys, *[f"{p} AS l{p}" for p in payload], "_box", "_nc", f"{own} AS _own", f"explode({targets}) AS _cell")
-    build = base.selectExpr(*keys, f"{own} AS _cell", *[f"{p} AS r{p}" for p in payload])
-    test = "<" if strict else "<="
-    return (
-        probe.join(build, [*keys, "_cell"])
-        .where("(_nc >= 3 AND _own <> _cell) OR l_id < r_id")
-        .selectExpr("*", f"{_distance('r_', 'l_', '_box')} AS d")
-        .where(f"d {test} {float(radius)!r}D")
-        .selectExpr(*keys, *_ordered([("_id", "i", "j")], "l", "r", "l_id < r_id"), "d", *_ordered([(f"_c_{c}", f"{c}_i", f"{c}_j") for c in carry], "l", "r", "l_id < r_id"))
+    at = "(CAST(floor(({x}) * _nb / _box) AS INT) + _nb) % _nb"
+    payload = ["_id", *(["_c"] if carry else []), "_x", "_y", "_z"]
+    own = "({0} * _nb + {1}) * _nb + {2}".format(*[at.format(x=f"_{a}") for a in "xyz"])
+    build = wrapped.selectExpr(*keys, f"{own} AS _block", *[f"{p} AS r{p}" for p in payload])
+    ends = [f"{at.format(x=f'_{a} {sign} {r}')} AS _{a}{k}" for a in "xyz" for k, sign in enumerate("-+")]
+    probe = _touched(wrapped.selectExpr("*", *ends), "INT").selectExpr(
+        *keys, *[f"{p} AS l{p}" for p in payload], "_box", "(_bx * _nb + _by) * _nb + _bz AS _block"
     )
+    return _meet(probe, build, [*keys, "_block"], keys, "_box", radius, carry, strict)
 
 
 def radius_pairs_open(
     points: DataFrame, keys: Sequence[str], radius: float, *, id: str = "bead", carry: Sequence[str] = (), strict: bool = False
 ) -> DataFrame:
-    """All pairs within ``radius`` without periodic images (cells are unbounded in every direction)."""
+    """All pairs within ``radius`` without periodic images (blocks are unbounded in every direction)."""
     keys = list(keys)
-    r = f"{float(radius)!r}D"
-    payload = ["_id", *[f"_c_{c}" for c in carry], "_x", "_y", "_z"]
-    base = points.selectExpr(
-        *keys, f"{id} AS _id", *[f"{c} AS _c_{c}" for c in carry], *[f"{a} AS _{a}" for a in "xyz"], *[f"floor({a} / {r}) AS _{a}c" for a in "xyz"]
-    )
-    build = base.selectExpr(*keys, "_xc", "_yc", "_zc", *[f"{p} AS r{p}" for p in payload])
-    shell = ", ".join(f"struct({a} AS a, {b} AS b, {c} AS c)" for a, b, c in _HALF_SHELL)
-    probe = base.selectExpr(*keys, *[f"{p} AS l{p}" for p in payload], "_xc AS _x0", "_yc AS _y0", "_zc AS _z0", f"explode(array({shell})) AS _o")
-    probe = probe.selectExpr(
-        *keys,
-        *[f"l{p}" for p in payload],
-        "_x0 + _o.a AS _xc",
-        "_y0 + _o.b AS _yc",
-        "_z0 + _o.c AS _zc",
-        "_o.a = 0 AND _o.b = 0 AND _o.c = 0 AS _own",
-    )
-    test = "<" if strict else "<="
-    return (
-        probe.join(build, [*keys, "_xc", "_yc", "_zc"])
-        .where("NOT _own OR l_id < r_id")
-        .selectExpr("*", f"{_distance('r_', 'l_', None)} AS d")
-        .where(f"d {test} {r}")
-        .selectExpr(*keys, *_ordered([("_id", "i", "j")], "l", "r", "l_id < r_id"), "d", *_ordered([(f"_c_{c}", f"{c}_i", f"{c}_j") for c in carry], "l", "r", "l_id < r_id"))
-    )
+    r, w = f"{float(radius) * SLACK!r}D", f"{float(radius) * BLOCK_RADII!r}D"
+    payload = ["_id", *(["_c"] if carry else []), "_x", "_y", "_z"]
+    base = points.selectExpr(*keys, f"{id} AS _id", *_packed(carry), *[f"{a} AS _{a}" for a in "xyz"])
+    build = base.selectExpr(*keys, *[f"floor(_{a} / {w}) AS _b{a}" for a in "xyz"], *[f"{p} AS r{p}" for p in payload])
+    ends = [f"floor((_{a} {sign} {r}) / {w}) AS _{a}{k}" for a in "xyz" for k, sign in enumerate("-+")]
+    probe = _touched(base.selectExpr("*", *ends), "BIGINT").selectExpr(*keys, *[f"{p} AS l{p}" for p in payload], "_bx", "_by", "_bz")
+    return _meet(probe, build, [*keys, "_bx", "_by", "_bz"], keys, None, radius, carry, strict)
 
 
 def nearest_target_distance(

@@ -10,6 +10,7 @@ from lattica.functions.scalars import base_pair_index, int_div, odds_ratio, rati
 from lattica.operators import graph, spatial, statistics
 from lattica.plans import roles
 from lattica.plans.registry import Tables, query
+from lattica.session import materialise
 from lattica.plans.roles import BEADS_SQL, BOX, CUTOFFS, EDGES_SQL, KEYS, NODES_SQL, PAIRS_SQL, components_sql
 
 K = "system:s replicate:s frame:i"
@@ -474,9 +475,10 @@ ANCHOR_SQL = FIXED_SQL + components_sql("blk_edges", "blk_nodes", "bc")
 )
 def g13_anchor_component(t: Tables) -> DataFrame:
     """Blocks reachable from a virtual anchor tied to the blocks in contact with it."""
-    p = roles.pairs(t, roles.PRIMARY).where("d < 1.2")
+    p = roles.stored_pairs(t)
     tied = p.where("(species_i = 'DNA') <> (species_j = 'DNA')").selectExpr(*KEYS, "if(species_i = 'DNA', block_j, block_i) AS node").distinct()
-    return graph.component_with_anchor(graph.node_pairs(cross_pairs(t), KEYS, "block_i", "block_j"), block_nodes(t), tied, KEYS)
+    cross = p.where("species_i <> 'DNA' AND species_j <> 'DNA' AND parent_i <> parent_j")
+    return graph.component_with_anchor(graph.node_pairs(cross, KEYS, "block_i", "block_j"), block_nodes(t), tied, KEYS)
 
 
 INDIRECT_SQL = (
@@ -495,7 +497,7 @@ indirect AS (SELECT DISTINCT t.system, t.replicate, t.frame, t.v AS node FROM tn
 @query("g14_indirect_associates", f"{K} node:i", "SELECT * FROM indirect", INDIRECT_SQL)
 def g14_indirect_associates(t: Tables) -> DataFrame:
     """Long chains next to an anchor-bound short chain and not bound themselves."""
-    return graph.indirect_associates(roles.edges(t), roles.nodes(t), KEYS)
+    return graph.indirect_associates(materialise(roles.edges(t), "edges"), roles.nodes(t), KEYS)
 
 
 @query(
@@ -512,7 +514,7 @@ def g14_indirect_associates(t: Tables) -> DataFrame:
 )
 def g16_node_selection(t: Tables) -> DataFrame:
     """Size of each node selection."""
-    e, n = roles.edges(t), roles.nodes(t)
+    e, n = materialise(roles.edges(t), "edges"), roles.nodes(t)
     out = None
     for mode in ("dna_associated", "dna_neighborhood", "full"):
         part = graph.select_nodes(mode, e, n, KEYS).groupBy(*KEYS).agg(F.count("*").alias("nodes")).withColumn("mode", F.lit(mode))
@@ -532,7 +534,7 @@ def g16_node_selection(t: Tables) -> DataFrame:
 )
 def k8_largest_component_nodes(t: Tables) -> DataFrame:
     """K8: members of the largest protein component; ties go to more internal edges."""
-    e = roles.edges(t)
+    e = materialise(roles.edges(t), "edges")
     protein_edges = e.where("lo <> 0 AND hi <> 0")
     return graph.largest_component_nodes(graph.species_components(e, roles.nodes(t), KEYS), protein_edges, KEYS)
 
@@ -567,7 +569,7 @@ def touches(t: Tables, p: DataFrame | None = None) -> DataFrame:
 
 
 def local_repeat(t: Tables) -> DataFrame:
-    p = roles.pairs(t, roles.PRIMARY).where("d < 1.2")
+    p = roles.stored_pairs(t)
     proteins = roles.nodes(t).where("species <> 'DNA'")
     e = graph.node_pairs(p.where("species_i <> 'DNA' AND species_j <> 'DNA'"), KEYS, "molecule_i", "molecule_j")
     per = graph.binding_categories(e, proteins, touches(t, p), KEYS)
@@ -578,7 +580,7 @@ def local_repeat(t: Tables) -> DataFrame:
        f"SELECT {KEY_SQL}, e.lo, e.hi, s.lo IS NOT NULL AS shared_window FROM edges e LEFT JOIN shared s USING (frame, lo, hi) WHERE e.lo <> 0", WINDOW_SQL)
 def j7_shared_window_edges(t: Tables) -> DataFrame:
     """Edges whose ends touch a common window of the anchor."""
-    p = roles.pairs(t, roles.PRIMARY).where("d < 1.2")
+    p = roles.stored_pairs(t)
     e = graph.node_pairs(p.where("species_i <> 'DNA' AND species_j <> 'DNA'"), KEYS, "molecule_i", "molecule_j")
     return graph.shared_window_edges(e, touches(t, p), KEYS)
 

@@ -10,6 +10,7 @@ from lattica.operators import contrasts, histograms, profiles, quantiles, select
 from lattica.plans import roles
 from lattica.plans.queries_graph import NEAREST_SQL, nearest
 from lattica.plans.registry import Tables, query
+from lattica.session import materialise
 from lattica.plans.roles import BEADS_SQL, KEYS, PAIRS_SQL
 
 K = "system:s replicate:s frame:i"
@@ -192,7 +193,7 @@ fn AS (SELECT s.system, s.replicate, b AS bin, COALESCE(w, 0) / n_frames AS fram
 
 
 def weighted_histogram(t: Tables) -> DataFrame:
-    d = quantiles.parent_weights(nearest(t).where("species = 'MED1'"), KEYS)
+    d = quantiles.parent_weights(materialise(nearest(t).where("species = 'MED1'"), "distances"), KEYS)
     return histograms.frame_normalised_histogram(d, roles.beads(t).select(*KEYS), TRAJ, weight="weight", high=7.75, bins=31)
 
 
@@ -226,7 +227,7 @@ def a29_rebinned_profile(t: Tables) -> DataFrame:
 )
 def a13_frame_reach(t: Tables) -> DataFrame:
     """Interpolated q90 of every frame and the share of distances within a threshold."""
-    d = nearest(t)
+    d = materialise(nearest(t), "distances")
     near = d.groupBy(*KEYS).agg(F.avg((F.col("distance") <= 3).cast("double")).alias("within"))
     return quantiles.linear_quantile(d, KEYS, "distance", 0.9, out="q90").join(near, KEYS)
 
@@ -241,7 +242,7 @@ def a13_frame_reach(t: Tables) -> DataFrame:
 )
 def a16_distance_summary(t: Tables) -> DataFrame:
     """Count, weight, weighted mean and step q90 per frame and species."""
-    return quantiles.distance_summary(nearest(t).withColumn("w", 1 + F.col("molecule") % 4), [*KEYS, "species"], weight="w")
+    return quantiles.distance_summary(materialise(nearest(t), "distances").withColumn("w", 1 + F.col("molecule") % 4), [*KEYS, "species"], weight="w")
 
 
 @query(
@@ -253,7 +254,7 @@ def a16_distance_summary(t: Tables) -> DataFrame:
 )
 def v7_histogram_additivity(t: Tables) -> DataFrame:
     """V7: species histograms add up to the whole one and its running total ends at 1."""
-    d = nearest(t)
+    d = materialise(nearest(t), "distances")
     both = histograms.pooled_histogram(d, TRAJ, high=7.75, bins=31)
     split = histograms.pooled_histogram(d, [*TRAJ, "species"], high=7.75, bins=31).groupBy(*TRAJ, "bin").agg(F.sum("count").alias("parts"))
     return both.join(split, [*TRAJ, "bin"]).groupBy(*TRAJ).agg(F.max(F.abs(F.col("count") - F.col("parts"))).alias("gap"), F.max("cumulative_probability").alias("last"))
@@ -370,7 +371,7 @@ def p21_reverse_complement(t: Tables) -> DataFrame:
 @query(
     "s8_fixed_width_records",
     "doc_id:i records:i first_name:s n_numbers:i",
-    """SELECT doc_id, COUNT(*) AS records, ARG_MIN(name, k) AS first_name, COUNT(TRY_CAST(seq AS INTEGER)) AS n_numbers FROM (
+    """SELECT doc_id, COUNT(*) AS records, ARG_MIN(name, k) AS first_name, COUNT(*) FILTER (regexp_full_match(seq, '[+-]?[0-9]+')) AS n_numbers FROM (
          SELECT doc_id, k, TRIM(SUBSTRING(line, 13, 4)) AS name, TRIM(SUBSTRING(line, 23, 4)) AS seq FROM (
            SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, UNNEST(RANGE(LEN(string_split(text, chr(10))))) AS k FROM documents) WHERE LENGTH(line) > 6) GROUP BY ALL""",
 )
@@ -378,7 +379,7 @@ def s8_fixed_width_records(t: Tables) -> DataFrame:
     """Fixed-width fields of every line of whole texts; the first value per key in line order."""
     lines = t.documents.selectExpr("doc_id", "posexplode(split(text, '\\n', -1)) AS (k, line)").where("length(line) > 6")
     rec = lines.selectExpr("doc_id", "k", "trim(substring(line, 13, 4)) AS name", "trim(substring(line, 23, 4)) AS seq")
-    return rec.groupBy("doc_id").agg(F.count("*").alias("records"), F.min_by("name", "k").alias("first_name"), F.count(F.expr("try_cast(seq AS INT)")).alias("n_numbers"))
+    return rec.groupBy("doc_id").agg(F.count("*").alias("records"), F.min_by("name", "k").alias("first_name"), F.count_if(F.col("seq").rlike("^[+-]?[0-9]+$")).alias("n_numbers"))
 
 
 @query("s12_content_digests", "page_id:i sha256:s bytes:i", "SELECT page_id, sha256(html) AS sha256, strlen(html) AS bytes FROM pages")

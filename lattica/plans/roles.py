@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import graph, spatial
 from lattica.plans.registry import Tables
+from lattica.session import materialise
 
 BOX = 20.0
 KEYS = ["system", "replicate", "frame"]
@@ -21,6 +22,17 @@ MED1_RESIDUES, OCT4_RESIDUES, DNA_BEADS = 200, 60, 80
 
 
 def beads(t: Tables) -> DataFrame:
+    """The positions table of one query: derived from the line items once, written, and read by every step.
+
+    Stored trajectories are the natural input of the operators: scans then read plain columns, prune them, and stay
+    small enough to compile. The rows are spread by frame, as trajectory files would be.
+    """
+    if "_positions" not in t.__dict__:
+        t._positions = materialise(_derived_beads(t).repartition("frame"), "positions")
+    return t._positions
+
+
+def _derived_beads(t: Tables) -> DataFrame:
     """One particle per line item: coordinates, molecule, species, residue, parent chain and fixed block."""
     out = t.lineitem.selectExpr(
         "concat('S', CAST(l_suppkey % 4 AS STRING)) AS system",
@@ -75,6 +87,11 @@ beads AS (
 CARRY = ["molecule", "species", "parent", "block", "residue"]
 
 
+def stored_pairs(t: Tables) -> DataFrame:
+    """Contacts at the primary cutoff, written once for queries that read them several times."""
+    return materialise(pairs(t, PRIMARY).where(F.col("d") < PRIMARY), "pairs")
+
+
 def pairs(t: Tables, radius: float = max(CUTOFFS)) -> DataFrame:
     """Bead pairs within ``radius``, with the attributes of both beads."""
     return spatial.radius_pairs(beads(t), KEYS, BOX, radius, carry=CARRY)
