@@ -129,10 +129,10 @@ def _star_components(edges: DataFrame, keys: Sequence[str], max_rounds: int = 60
             .distinct()
         )
         current = materialise(small, "star")
-        mark = current.agg(F.count("*").alias("n"), F.sum(F.hash(*keys, "lo", "hi").cast("long")).alias("h")).first()
-        if seen == (mark["n"], mark["h"]):
+        mark = current.agg(F.count("*").alias("n"), F.sum(F.hash(*keys, "lo", "hi").cast("long")).alias("h"), F.bit_xor(F.xxhash64(*keys, "lo", "hi")).alias("x")).first()
+        if seen == tuple(mark):
             break
-        seen = (mark["n"], mark["h"])
+        seen = tuple(mark)
     else:
         raise RuntimeError("components did not settle")
     roots = current.select(*keys, F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
@@ -431,7 +431,7 @@ def binding_categories(edges: DataFrame, proteins: DataFrame, contacts: DataFram
     masks that overlap share a window, others do not. The number of masks does not grow with the proteins.
     """
     keys = list(keys)
-    mask = contacts.groupBy(*keys, "node").agg(F.expr("bit_or(shiftleft(1L, CAST(window AS INT)))").alias("mask"))
+    mask = contacts.groupBy(*keys, "node").agg(F.expr("bit_or(if(window BETWEEN 0 AND 62, shiftleft(1L, CAST(window AS INT)), raise_error('a window mask holds windows 0 to 62')))").alias("mask"))
     masked = proteins.select(*keys, "node").join(mask, [*keys, "node"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
     per = masked.groupBy(*keys, "mask").agg(F.count("*").alias("n"))
 

@@ -291,7 +291,7 @@ def a31_contact_matrix(t: Tables) -> DataFrame:
     rep = p.groupBy(*TRAJ, kind.alias("kind")).agg(F.avg("d").alias("x"))
     matrix = rep.groupBy("system").agg(*[F.avg(F.when(F.col("kind") == k, F.col("x"))).alias(k) for k in ("OO", "OM", "MM")])
     top = matrix.agg(F.max(F.greatest("OO", "OM", "MM")).alias("maximum"))
-    return matrix.crossJoin(F.broadcast(top))
+    return matrix.withColumn("maximum", top.scalar())
 
 
 @query(

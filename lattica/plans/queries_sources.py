@@ -79,8 +79,7 @@ def s6_stored_indices(t: Tables) -> DataFrame:
     """Original frame to stored index through the selected-frame map of every trajectory."""
     # A frame map lists at most the frames of the grid, so it is one bounded array per trajectory.
     maps = frames(t).groupBy("system", "replicate").agg(F.array_sort(F.collect_set("frame")).alias("source_frames_one_based"))
-    requested = t.spark.range(1, 721, 4).withColumnRenamed("id", "frame")
-    return sources.stored_indices(maps, requested)
+    return sources.stored_indices(maps, range(1, 721, 4))
 
 
 @query(

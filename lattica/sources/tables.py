@@ -87,11 +87,17 @@ def frame_maps(spark: SparkSession, root: str) -> DataFrame:
     return json_per_task(spark, root, C.FRAME_MAP_NAME, schema.FRAME_MAP)
 
 
-def stored_indices(maps: DataFrame, requested: DataFrame) -> DataFrame:
-    """Original frame -> stored index (zero-based); frames that are not stored have a missing index."""
+def stored_indices(maps: DataFrame, requested: Sequence[int]) -> DataFrame:
+    """Original frame -> stored index (zero-based); requested frames that are not stored have a missing index.
+
+    A range stays a sequence expression; nothing is joined or broadcast to list the requested frames.
+    """
+    if isinstance(requested, range):
+        wanted_frames = F.sequence(F.lit(requested[0]), F.lit(requested[-1]), F.lit(requested.step))
+    else:
+        wanted_frames = F.array(*[F.lit(int(f)) for f in requested])
     stored = maps.select("system", "replicate", F.posexplode("source_frames_one_based").alias("stored_index", "frame"))
-    tasks = maps.select("system", "replicate")
-    wanted = tasks.join(F.broadcast(requested.select("frame")))
+    wanted = maps.select("system", "replicate", F.explode(wanted_frames).alias("frame"))
     return wanted.join(stored, ["system", "replicate", "frame"], "left")
 
 
