@@ -69,8 +69,8 @@ clusters AS (SELECT system, replicate, frame, cutoff_nm,
 
 @query(
     "g3_cluster_metrics",
-    f"{K} cutoff_nm:f largest_cluster_size:i largest_cluster_fraction:f largest_cluster_residue_fraction:f second_cluster_size:i "
-    "second_cluster_fraction:f finite_cluster_mean_size:f n_clusters_size_ge_2:i monomer_fraction:f",
+    f"{K} cutoff_nm:f largest_cluster_size:i largest_cluster_fraction:f9 largest_cluster_residue_fraction:f9 second_cluster_size:i "
+    "second_cluster_fraction:f9 finite_cluster_mean_size:f9 n_clusters_size_ge_2:i monomer_fraction:f9",
     "SELECT * FROM clusters",
     CLUSTER_SQL,
 )
@@ -81,7 +81,7 @@ def g3_cluster_metrics(t: Tables) -> DataFrame:
 
 @query(
     "largest_cluster_by_system",
-    "system:s cutoff_nm:f largest_cluster_fraction_mean:f largest_cluster_fraction_sd:f largest_cluster_fraction_n:i",
+    "system:s cutoff_nm:f largest_cluster_fraction_mean:f9 largest_cluster_fraction_sd:f9 largest_cluster_fraction_n:i",
     """SELECT system, cutoff_nm, AVG(v) AS largest_cluster_fraction_mean, STDDEV_SAMP(v) AS largest_cluster_fraction_sd,
               COUNT(v) AS largest_cluster_fraction_n
        FROM (SELECT system, replicate, cutoff_nm, AVG(largest_cluster_fraction) AS v FROM clusters GROUP BY ALL) GROUP BY ALL""",
@@ -231,7 +231,7 @@ def g5_hop_classes(t: Tables) -> DataFrame:
 
 @query(
     "g5_hop_fractions",
-    f"{K} hop_class:s physical_fraction:f residue_fraction:f parent_fraction:f",
+    f"{K} hop_class:s physical_fraction:f9 residue_fraction:f9 parent_fraction:f9",
     f"""SELECT {KEY_SQL}, hop_class, COALESCE(cn, 0) / n AS physical_fraction, COALESCE(cr, 0) / r AS residue_fraction, COALESCE(cp, 0) / p AS parent_fraction
         FROM (SELECT {KEY_SQL}, COUNT(*) AS n, SUM(length) AS r, COUNT(DISTINCT parent) AS p FROM nodes WHERE species <> 'DNA' GROUP BY ALL)
         CROSS JOIN (SELECT UNNEST(['linked', 'direct', 'second', 'third_plus']) AS hop_class)
@@ -266,7 +266,7 @@ def g6_species_degrees(t: Tables) -> DataFrame:
 
 @query(
     "g7_degree_histogram",
-    f"{K} degree:i count:i probability:f",
+    f"{K} degree:i count:i probability:f9",
     "SELECT * FROM dhist",
     DEGREE_SQL,
 )
@@ -277,7 +277,7 @@ def g7_degree_histogram(t: Tables) -> DataFrame:
 
 @query(
     "a5_degree_group",
-    "system:s degree:i probability_mean:f probability_sd:f probability_n:i",
+    "system:s degree:i probability_mean:f9 probability_sd:f9 probability_n:i",
     f"""SELECT system, degree, AVG(p) AS probability_mean, STDDEV_SAMP(p) AS probability_sd, COUNT(p) AS probability_n FROM (
           SELECT system, replicate, degree, AVG(probability) AS p FROM dhist GROUP BY ALL) GROUP BY ALL""",
     DEGREE_SQL,
@@ -418,7 +418,7 @@ cont_edges AS MATERIALIZED (SELECT system, replicate, frame, lo, hi FROM blk_edg
 
 @query(
     "g12_residue_weighted_lcc",
-    f"{K} largest_weight_fraction:f",
+    f"{K} largest_weight_fraction:f9",
     f"SELECT {KEY_SQL}, MAX(w) / SUM(w) AS largest_weight_fraction FROM (SELECT {KEY_SQL}, label, SUM(length) AS w FROM contc GROUP BY ALL) GROUP BY ALL",
     CONT_SQL,
 )
@@ -456,7 +456,7 @@ def mask_lcc(t: Tables) -> DataFrame:
     return graph.weighted_largest_component(labelled, keys, "length")
 
 
-@query("g11_mask_lcc", f"{K} mask:s largest_weight_fraction:f", "SELECT * FROM masklcc", MASK_SQL)
+@query("g11_mask_lcc", f"{K} mask:s largest_weight_fraction:f9", "SELECT * FROM masklcc", MASK_SQL)
 def g11_mask_lcc(t: Tables) -> DataFrame:
     """Every covalent mask applied to every ensemble; residue share of the largest component."""
     return mask_lcc(t)
@@ -587,7 +587,7 @@ def j7_shared_window_edges(t: Tables) -> DataFrame:
 
 @query(
     "a20_binding_categories",
-    "system:s replicate:s binding_category:s edges:i opportunities:i conditional_probability:f",
+    "system:s replicate:s binding_category:s edges:i opportunities:i conditional_probability:f9",
     """SELECT system, replicate, binding_category, COALESCE(edges, 0) AS edges, COALESCE(opportunities, 0) AS opportunities,
          CASE WHEN opportunities > 0 THEN edges / opportunities END AS conditional_probability
        FROM (SELECT DISTINCT system, replicate FROM nodes) CROSS JOIN

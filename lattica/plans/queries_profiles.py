@@ -57,7 +57,7 @@ def med1_profile(t: Tables) -> DataFrame:
 
 @query(
     "a9_residue_profile",
-    "system:s residue_index:i contact_probability_mean:f contact_probability_sd:f contact_probability_n:i",
+    "system:s residue_index:i contact_probability_mean:f9 contact_probability_sd:f9 contact_probability_n:i",
     """SELECT system, residue_index, AVG(contact_probability) AS contact_probability_mean, STDDEV_SAMP(contact_probability) AS contact_probability_sd,
          COUNT(*) AS contact_probability_n FROM profile GROUP BY ALL""",
     PROFILE_SQL,
@@ -69,7 +69,7 @@ def a9_residue_profile(t: Tables) -> DataFrame:
 
 @query(
     "p23_unfragmented_profile",
-    "system:s residue_index:i low:f high:f rank:i",
+    "system:s residue_index:i low:f9 high:f9 rank:i",
     """SELECT system, residue_index, GREATEST(m - s, 0) AS low, m + s AS high, rank FROM (
          SELECT *, ROW_NUMBER() OVER (PARTITION BY system ORDER BY ROUND(m, 12) DESC, residue_index) AS rank FROM (
            SELECT system, residue_index, 2 * AVG(contact_probability) AS m, 2 * STDDEV_SAMP(contact_probability) AS s FROM profile GROUP BY ALL)) WHERE rank <= 10""",
@@ -164,7 +164,7 @@ def a23_sibling_pairs(t: Tables) -> DataFrame:
 
 @query(
     "a11_pooled_histogram",
-    "system:s replicate:s bin:i count:i probability:f cumulative_probability:f",
+    "system:s replicate:s bin:i count:i probability:f9 cumulative_probability:f9",
     """SELECT system, replicate, bin, count, count / SUM(count) OVER (PARTITION BY system, replicate) AS probability,
          SUM(count) OVER (PARTITION BY system, replicate ORDER BY bin) / SUM(count) OVER (PARTITION BY system, replicate) AS cumulative_probability FROM (
          SELECT s.system, s.replicate, b AS bin, COALESCE(n, 0) AS count FROM (SELECT DISTINCT system, replicate FROM nearest) s CROSS JOIN (SELECT UNNEST(RANGE(1, 33)) AS b)
@@ -199,7 +199,7 @@ def weighted_histogram(t: Tables) -> DataFrame:
 
 @query(
     "a12_frame_normalised_histogram",
-    "system:s replicate:s bin:i frame_mean_count:f frame_mean_probability:f cumulative_probability:f valid_frames:i",
+    "system:s replicate:s bin:i frame_mean_count:f9 frame_mean_probability:f9 cumulative_probability:f9 valid_frames:i",
     "SELECT *, SUM(frame_mean_probability) OVER (PARTITION BY system, replicate ORDER BY bin) AS cumulative_probability FROM fn",
     A12_SQL,
 )
@@ -210,7 +210,7 @@ def a12_frame_normalised_histogram(t: Tables) -> DataFrame:
 
 @query(
     "a29_rebinned_profile",
-    "system:s bin_start_nm:f frame_mean_count:f",
+    "system:s bin_start_nm:f frame_mean_count:f9",
     """SELECT system, bin_start_nm, AVG(v) AS frame_mean_count FROM (SELECT system, replicate, FLOOR((bin - 1) * 0.25) AS bin_start_nm, SUM(frame_mean_count) AS v FROM fn GROUP BY ALL) GROUP BY ALL""",
     A12_SQL,
 )

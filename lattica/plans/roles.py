@@ -25,10 +25,10 @@ def beads(t: Tables) -> DataFrame:
     """The positions table of one query: derived from the line items once, written, and read by every step.
 
     Stored trajectories are the natural input of the operators: scans then read plain columns, prune them, and stay
-    small enough to compile. The rows are spread by frame, as trajectory files would be.
+    small enough to compile. Rows are spread by frame and particle, so one hot frame still fills many files.
     """
     if "_positions" not in t.__dict__:
-        t._positions = materialise(_derived_beads(t).repartition("frame"), "positions")
+        t._positions = materialise(_derived_beads(t).repartition("frame", "bead"), "positions")
     return t._positions
 
 

@@ -5,6 +5,7 @@ Nothing here is a global: every operator works on the session of the DataFrame i
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -48,9 +49,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-lattica-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _local_folder(_application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-lattica-")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
