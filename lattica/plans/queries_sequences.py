@@ -306,18 +306,20 @@ def t6_template_instances(t: Tables) -> DataFrame:
 
 
 @query(
-    "t6_shifted_interactions", "l_orderkey:i copy:i template:i a1:i a2:i",
-    """SELECT l_orderkey, copy, template, k + stop - p_size AS a1, k + 1 + stop - p_size AS a2 FROM (SELECT *, UNNEST(RANGE(0, CAST(p_size AS BIGINT) - 1)) AS k FROM (
-         SELECT l_orderkey, l_partkey AS template, p_size, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey) - 1 AS copy,
-           SUM(p_size) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey) AS stop FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '2001-01-01'))""",
+    "t6_shifted_interactions", "l_orderkey:i copy:i template:i bonds:i first:i last:i total:i",
+    """SELECT l_orderkey, copy, template, COUNT(*) AS bonds, MIN(a) AS "first", MAX(a + 1) AS "last", SUM(a) AS total FROM (
+         SELECT *, k + stop - p_size AS a FROM (SELECT *, UNNEST(RANGE(0, CAST(p_size AS BIGINT) - 1)) AS k FROM (
+           SELECT l_orderkey, l_partkey AS template, p_size, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey) - 1 AS copy,
+             SUM(p_size) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey) AS stop FROM lineitem JOIN part ON l_partkey = p_partkey))) GROUP BY ALL""",
 )
 def t6_shifted_interactions(t: Tables) -> DataFrame:
-    """Bonds of each template copied to its instances with shifted indices (recent shipments)."""
-    li = t.lineitem.where("l_shipdate >= TIMESTAMP '2001-01-01'").selectExpr("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_partkey div 65536 AS _block")
+    """Bonds of each template copied to all its instances with shifted indices, summed up per instance."""
+    li = t.lineitem.selectExpr("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_partkey div 65536 AS _block")
     copies = sequences.dense_position(li, ["l_orderkey"], ["l_partkey", "l_linenumber", "l_suppkey"], "_block", out="copy").selectExpr("l_orderkey", "copy", "l_partkey AS template")
     templates = t.part.selectExpr("p_partkey AS template", "CAST(p_size AS BIGINT) AS length")
     bonds = templates.where("length > 1").selectExpr("template", "explode(sequence(0L, length - 2)) AS a1").withColumn("a2", F.col("a1") + 1)
-    return topology.shift_interactions(bonds, topology.instantiate(templates, copies, ["l_orderkey"], "copy"), ["a1", "a2"])
+    moved = topology.shift_interactions(bonds, topology.instantiate(templates, copies, ["l_orderkey"], "copy"), ["a1", "a2"])
+    return moved.groupBy("l_orderkey", "copy", "template").agg(F.count("*").alias("bonds"), F.min("a1").alias("first"), F.max("a2").alias("last"), F.sum("a1").alias("total"))
 
 
 @query(
