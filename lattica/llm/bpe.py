@@ -165,7 +165,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Tokens of byte slices by ranked pair merging, cached, and the way back."""
 
-    def __init__(self, ranks: dict[bytes, int], keep: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], keep: int = 250_000):
         self.ranks, self.keep = ranks, keep
         lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for token, rank in ranks.items():
@@ -278,7 +278,7 @@ def encode_texts(encoder: Encoder, texts: list[bytes]) -> tuple[np.ndarray, np.n
     return ids, np.diff(edges)
 
 
-def slices(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]:
+def slices(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
     """Texts in groups of about ``most`` bytes; a longer text is a group of its own."""
     group: list[bytes] = []
     size = 0
