@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, mixing, reshard
+from lattica.llm import bpe, mixing, quality, reshard, toxicity
 from lattica.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,13 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op10_reshard(spark: SparkSession, folder: str) -> DataFrame:
     return reshard.digests(table(spark, folder, "documents"))
+
+
+@register
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
