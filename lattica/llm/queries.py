@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, mixing, quality, reshard, toxicity
+from lattica.llm import bpe, mixing, neardup, quality, reshard, toxicity
 from lattica.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(table(spark, folder, "documents"))
