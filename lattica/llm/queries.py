@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import ann, bpe, exact_topk, mixing, neardup, quality, reshard, toxicity
+from lattica.llm import ann, bpe, exact_topk, mixing, neardup, quality, reshard, token_shards, toxicity
 from lattica.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,10 @@ scored AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
 """
+
+
+@register
+def op1_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_shards.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
