@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import ann, bpe, exact_topk, mixing, neardup, quality, reshard, token_shards, toxicity
+from lattica.llm import ann, bpe, exact_topk, mixing, neardup, pseudo_likelihood, quality, reshard, token_shards, toxicity
 from lattica.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op1_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return token_shards.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@register
+def op7_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudo_likelihood.scored(table(spark, folder, "documents"))
