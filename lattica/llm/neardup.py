@@ -25,6 +25,7 @@ from lattica.llm.common import stored, text_of
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
+IDLE = 2
 RARE, DAMPING = 0.01, 0.5
 WIDTH_BITS, DEPTH = 18, 2
 SLICE = 1 << 19
@@ -296,8 +297,9 @@ def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
 
     In each bucket that holds texts of several classes, one text after the other serves as the centre that all texts of
     other classes are compared with, and then leaves the bucket; so comparisons grow with the rows, and never all pairs of a
-    bucket are made. The centre is the text with most links so far. Rounds go on until no bucket is mixed or a round, after
-    the first, brings no link.
+    bucket are made. The centre is the text that was most similar, on average, to those it was compared with so far: in a
+    group of edited copies that is one near the original. Rounds go on until nothing is left to compare or IDLE rounds in a
+    row bring no link.
     """
     spark = docs.sparkSession
     sketch, documents = frequencies(docs)
@@ -311,13 +313,13 @@ def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     keys = cells.select("key").distinct()
     texts = with_keys(docs.select(text_of().alias("text")), ["text"], once=True).join(keys, "key", "left_semi")
     texts = stored(texts.groupBy("key").agg(F.min("text").alias("text")), "dup-texts")
-    state = stored(keys.select("key", F.col("key").alias("label"), F.lit(0).cast("long").alias("links")), "dup-state")
+    state = stored(keys.select("key", F.col("key").alias("label"), F.lit(0.0).alias("likeness"), F.lit(0).cast("long").alias("tests"), F.lit(0).cast("long").alias("links")), "dup-state")
     tested = None
-    turn = 0
+    idle = 0
     while True:
         open_cells = cells.join(state, "key")
         centres = open_cells.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("links", F.col("key").alias("other"), F.col("label").alias("other_label"))).alias("c")
+            F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct((F.col("likeness") / F.greatest("tests", F.lit(1))).alias("mean"), F.col("key").alias("other"), F.col("label").alias("other_label"))).alias("c")
         )
         centres = centres.where("low <> high").select("bucket", "c.other", "c.other_label")
         turns = stored(open_cells.join(centres, "bucket").select("bucket", "key", "label", "other", "other_label"), "dup-turns")
@@ -326,19 +328,32 @@ def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
             pairs = pairs.join(tested, ["key", "other"], "left_anti")
         checked = stored(verified(pairs, texts, weights), "dup-checked")
         tested = checked.select("key", "other") if tested is None else stored(tested.union(checked.select("key", "other")), "dup-tested")
-        links = checked.where(F.col("similarity") >= similarity)
-        turn += 1
-        if checked.isEmpty():
+        if turns.isEmpty():
             break
-        found = not links.isEmpty()
-        if found:
-            named = links.join(state.select("key", F.col("label").alias("u")), "key").join(state.select(F.col("key").alias("other"), F.col("label").alias("v")), "other")
-            merged = merged_labels(named.where("u <> v").select("u", "v"), "dup")
-            degrees = links.select("key").union(links.select("other")).groupBy("key").agg(F.count("*").alias("more"))
-            state = state.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").join(degrees, "key", "left")
-            state = stored(state.select("key", F.coalesce("to", "label").alias("label"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links")), "dup-state")
-        elif turn > 1:
+        links = checked.where(F.col("similarity") >= similarity)
+        named = links.join(state.select("key", F.col("label").alias("u")), "key").join(state.select(F.col("key").alias("other"), F.col("label").alias("v")), "other")
+        named = stored(named.where("u <> v").select("u", "v").distinct(), "dup-named")
+        idle = idle + 1 if named.isEmpty() else 0
+        if idle == IDLE:
             break
+        sides = checked.select("key", "similarity").union(checked.select("other", "similarity"))
+        seen = sides.groupBy("key").agg(F.sum("similarity").alias("more"), F.count("*").alias("times"), F.count(F.when(F.col("similarity") >= similarity, 1)).alias("linked"))
+        state = state.join(seen, "key", "left")
+        if idle:
+            label = F.col("label")
+        else:
+            state = state.join(merged_labels(named, "dup").select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+            label = F.coalesce("to", "label")
+        state = stored(
+            state.select(
+                "key",
+                label.alias("label"),
+                (F.col("likeness") + F.coalesce("more", F.lit(0.0))).alias("likeness"),
+                (F.col("tests") + F.coalesce("times", F.lit(0))).alias("tests"),
+                (F.col("links") + F.coalesce("linked", F.lit(0))).alias("links"),
+            ),
+            "dup-state",
+        )
         cells = stored(turns.where("key <> other").select("bucket", "key"), "dup-open")
     return members, state.where("links > 0").select("key", "label")
 
