@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import slices
@@ -25,7 +25,8 @@ from lattica.llm.common import stored, text_of
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
-IDLE = 2
+CENTRES = 8  # texts of a bucket that the others are compared with in one round
+ALIKE = 22  # equal samples, of BANDS * ROWS, that a pair needs to be verified; one of similarity 0.8 has fewer once in 100,000
 RARE, DAMPING = 0.01, 0.5
 WIDTH_BITS, DEPTH = 18, 2
 SLICE = 1 << 19
@@ -193,7 +194,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sketched(docs: DataFrame, weights: Callable[[], Weights]) -> DataFrame:
-    """doc_id, key and, for the first row of a key in each task, its bands (none for a text without words)."""
+    """doc_id, key and, for the first row of a key in each task, its bands and samples (none for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = weights()
@@ -203,17 +204,19 @@ def sketched(docs: DataFrame, weights: Callable[[], Weights]) -> DataFrame:
                 values, tf, counts, key = shingles(group)
                 keys = [k.tobytes() for k in key]
                 bands: list[np.ndarray | None] = [None] * len(group)
+                drawn: list[np.ndarray | None] = [None] * len(group)
                 if len(values):
                     some = np.flatnonzero(counts)
-                    for i, row in zip(some.tolist(), bands_of(samples(values, known.of(values, tf), counts[some]))):
+                    sampled = samples(values, known.of(values, tf), counts[some])
+                    for i, row, own in zip(some.tolist(), bands_of(sampled), sampled.astype(np.uint32).view(np.int32)):
                         if keys[i] not in seen:
                             seen.add(keys[i])
-                            bands[i] = row
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(group)), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "bands"]
-                )
+                            bands[i], drawn[i] = row, own
+                columns = [batch.column("doc_id").slice(at, len(group)), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(drawn, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "bands", "samples"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key binary, bands array<long>, samples array<int>")
 
 
 def with_keys(docs: DataFrame, columns: Sequence[str], once: bool = False) -> DataFrame:
@@ -295,11 +298,11 @@ def merged_labels(links: DataFrame, name: str) -> DataFrame:
 def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every row, and (key, label) of every key in a class of several texts.
 
-    In each bucket that holds texts of several classes, one text after the other serves as the centre that all texts of
-    other classes are compared with, and then leaves the bucket; so comparisons grow with the rows, and never all pairs of a
-    bucket are made. The centre is the text that was most similar, on average, to those it was compared with so far: in a
-    group of edited copies that is one near the original. Rounds go on until nothing is left to compare or IDLE rounds in a
-    row bring no link.
+    In each bucket that holds texts of several classes, CENTRES texts serve as centres that all texts of other classes are
+    compared with, and then leave the bucket; so comparisons grow with the rows, and never all pairs of a bucket are made.
+    Centres are the texts that were most similar, on average, to those they were compared with so far: in a group of edited
+    copies those near the original. Rounds go on until nothing is left to compare or, after the first, a round brings no
+    link. Pairs whose samples differ too much to be similar aren't verified.
     """
     spark = docs.sparkSession
     sketch, documents = frequencies(docs)
@@ -314,34 +317,40 @@ def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     texts = with_keys(docs.select(text_of().alias("text")), ["text"], once=True).join(keys, "key", "left_semi")
     texts = stored(texts.groupBy("key").agg(F.min("text").alias("text")), "dup-texts")
     state = stored(keys.select("key", F.col("key").alias("label"), F.lit(0.0).alias("likeness"), F.lit(0).cast("long").alias("tests"), F.lit(0).cast("long").alias("links")), "dup-state")
+    drawn = stored(rows.where("samples IS NOT NULL").select("key", "samples").join(keys, "key", "left_semi").dropDuplicates(["key"]), "dup-samples")
     tested = None
-    idle = 0
+    turn = 0
+    best_first = Window.partitionBy("bucket").orderBy(F.desc("mean"), F.desc("key"))
     while True:
-        open_cells = cells.join(state, "key")
-        centres = open_cells.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct((F.col("likeness") / F.greatest("tests", F.lit(1))).alias("mean"), F.col("key").alias("other"), F.col("label").alias("other_label"))).alias("c")
-        )
-        centres = centres.where("low <> high").select("bucket", "c.other", "c.other_label")
-        turns = stored(open_cells.join(centres, "bucket").select("bucket", "key", "label", "other", "other_label"), "dup-turns")
-        pairs = turns.where("label <> other_label").select(F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["key", "other"], "left_anti")
-        checked = stored(verified(pairs, texts, weights), "dup-checked")
-        tested = checked.select("key", "other") if tested is None else stored(tested.union(checked.select("key", "other")), "dup-tested")
+        mean = F.col("likeness") / F.greatest("tests", F.lit(1))
+        open_cells = cells.join(state.select("key", "label", mean.alias("mean")), "key")
+        mixed = open_cells.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        turns = stored(open_cells.join(mixed, "bucket"), "dup-turns")
         if turns.isEmpty():
             break
+        centres = turns.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= CENTRES)
+        centres = stored(centres.select("bucket", F.col("key").alias("other"), F.col("label").alias("other_label")), "dup-centres")
+        met = turns.join(centres, "bucket").where("label <> other_label")
+        pairs = met.select(F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["key", "other"], "left_anti")
+        alike = F.aggregate(F.zip_with("samples", "other_samples", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
+        pairs = pairs.join(drawn, "key").join(drawn.select(F.col("key").alias("other"), F.col("samples").alias("other_samples")), "other")
+        pairs = stored(pairs.select("key", "other", (alike / (BANDS * ROWS)).alias("estimate")), "dup-pairs")
+        tested = pairs.select("key", "other") if tested is None else stored(tested.union(pairs.select("key", "other")), "dup-tested")
+        checked = stored(verified(pairs.where(F.col("estimate") * (BANDS * ROWS) >= ALIKE - 0.5).select("key", "other"), texts, weights), "dup-checked")
         links = checked.where(F.col("similarity") >= similarity)
         named = links.join(state.select("key", F.col("label").alias("u")), "key").join(state.select(F.col("key").alias("other"), F.col("label").alias("v")), "other")
         named = stored(named.where("u <> v").select("u", "v").distinct(), "dup-named")
-        idle = idle + 1 if named.isEmpty() else 0
-        if idle == IDLE:
+        turn += 1
+        found = not named.isEmpty()
+        if turn > 1 and not found:
             break
-        sides = checked.select("key", "similarity").union(checked.select("other", "similarity"))
-        seen = sides.groupBy("key").agg(F.sum("similarity").alias("more"), F.count("*").alias("times"), F.count(F.when(F.col("similarity") >= similarity, 1)).alias("linked"))
-        state = state.join(seen, "key", "left")
-        if idle:
-            label = F.col("label")
-        else:
+        estimates = pairs.select("key", "estimate").union(pairs.select("other", "estimate")).groupBy("key").agg(F.sum("estimate").alias("more"), F.count("*").alias("times"))
+        linked = links.select("key").union(links.select("other")).groupBy("key").agg(F.count("*").alias("linked"))
+        state = state.join(estimates, "key", "left").join(linked, "key", "left")
+        label = F.col("label")
+        if found:
             state = state.join(merged_labels(named, "dup").select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
             label = F.coalesce("to", "label")
         state = stored(
@@ -354,7 +363,7 @@ def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
             ),
             "dup-state",
         )
-        cells = stored(turns.where("key <> other").select("bucket", "key"), "dup-open")
+        cells = stored(turns.select("bucket", "key").join(centres.select("bucket", F.col("other").alias("key")), ["bucket", "key"], "left_anti"), "dup-open")
     return members, state.where("links > 0").select("key", "label")
 
 
