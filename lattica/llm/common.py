@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.session import materialise
+from lattica.session import shared_folder
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -38,8 +39,21 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back; its shuffle files are freed."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with freed_shuffles(df.sparkSession):
-        return materialise(df, name)
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what ``stored`` wrote for the frames, once nothing that is still to be computed reads it."""
+    for df in frames:
+        if df is not None and hasattr(df, "stored_path"):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

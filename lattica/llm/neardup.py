@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import slices
-from lattica.llm.common import stored, text_of
+from lattica.llm.common import discard, stored, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -284,14 +284,19 @@ def merged_labels(links: DataFrame, name: str) -> DataFrame:
     """
     both = stored(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("label"))
-    labels = stored(labels, f"{name}-labels")
+    labels = earlier = stored(labels, f"{name}-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("near")), "v").groupBy(F.col("u").alias("node")).agg(F.min("near").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
         lower = stored(lower.join(jump, "label").select("node", "old", F.least("label", "jumped").alias("label")), f"{name}-labels")
         labels = lower.select("node", "label")
-        if lower.where("old <> label").isEmpty():
+        settled = lower.where("old <> label").isEmpty()
+        discard(earlier)
+        earlier = lower
+        if settled:
+            discard(both)
+            labels.stored_path = lower.stored_path
             return labels
 
 
@@ -312,7 +317,8 @@ def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     members = rows.select("doc_id", "key")
     cells = stored(rows.where("bands IS NOT NULL").select("key", F.explode("bands").alias("bucket")).distinct(), "dup-cells")
     shared = cells.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1").select("bucket")
-    cells = stored(cells.join(shared, "bucket"), "dup-shared")
+    all_cells, cells = cells, stored(cells.join(shared, "bucket"), "dup-shared")
+    discard(all_cells)
     keys = cells.select("key").distinct()
     texts = with_keys(docs.select(text_of().alias("text")), ["text"], once=True).join(keys, "key", "left_semi")
     texts = stored(texts.groupBy("key").agg(F.min("text").alias("text")), "dup-texts")
@@ -337,7 +343,6 @@ def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
         alike = F.aggregate(F.zip_with("samples", "other_samples", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
         pairs = pairs.join(drawn, "key").join(drawn.select(F.col("key").alias("other"), F.col("samples").alias("other_samples")), "other")
         pairs = stored(pairs.select("key", "other", (alike / (BANDS * ROWS)).alias("estimate")), "dup-pairs")
-        tested = pairs.select("key", "other") if tested is None else stored(tested.union(pairs.select("key", "other")), "dup-tested")
         checked = stored(verified(pairs.where(F.col("estimate") * (BANDS * ROWS) >= ALIKE - 0.5).select("key", "other"), texts, weights), "dup-checked")
         links = checked.where(F.col("similarity") >= similarity)
         named = links.join(state.select("key", F.col("label").alias("u")), "key").join(state.select(F.col("key").alias("other"), F.col("label").alias("v")), "other")
@@ -345,25 +350,30 @@ def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
         turn += 1
         found = not named.isEmpty()
         if turn > 1 and not found:
+            discard(turns, centres, pairs, checked, named)
             break
         estimates = pairs.select("key", "estimate").union(pairs.select("other", "estimate")).groupBy("key").agg(F.sum("estimate").alias("more"), F.count("*").alias("times"))
         linked = links.select("key").union(links.select("other")).groupBy("key").agg(F.count("*").alias("linked"))
-        state = state.join(estimates, "key", "left").join(linked, "key", "left")
-        label = F.col("label")
+        after = state.join(estimates, "key", "left").join(linked, "key", "left")
+        label, merged = F.col("label"), None
         if found:
-            state = state.join(merged_labels(named, "dup").select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+            merged = merged_labels(named, "dup")
+            after = after.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
             label = F.coalesce("to", "label")
-        state = stored(
-            state.select(
-                "key",
-                label.alias("label"),
-                (F.col("likeness") + F.coalesce("more", F.lit(0.0))).alias("likeness"),
-                (F.col("tests") + F.coalesce("times", F.lit(0))).alias("tests"),
-                (F.col("links") + F.coalesce("linked", F.lit(0))).alias("links"),
-            ),
-            "dup-state",
+        after = after.select(
+            "key",
+            label.alias("label"),
+            (F.col("likeness") + F.coalesce("more", F.lit(0.0))).alias("likeness"),
+            (F.col("tests") + F.coalesce("times", F.lit(0))).alias("tests"),
+            (F.col("links") + F.coalesce("linked", F.lit(0))).alias("links"),
         )
+        old = [state, cells, tested, turns, centres, pairs, checked, named, merged]
+        state = stored(after, "dup-state")
         cells = stored(turns.select("bucket", "key").join(centres.select("bucket", F.col("other").alias("key")), ["bucket", "key"], "left_anti"), "dup-open")
+        new = pairs.select("key", "other")
+        tested = stored(new if tested is None else tested.union(new), "dup-tested")
+        discard(*old)
+    discard(cells, drawn, texts, tested)
     return members, state.where("links > 0").select("key", "label")
 
 
