@@ -103,7 +103,7 @@ def _fold_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).selectExpr(*keys, "_z._nodes AS node", "_z.`1` AS label")
 
 
-def _star_components(edges: DataFrame, keys: Sequence[str], max_rounds: int = 60) -> DataFrame:
+def _star_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Components of graphs of any size: alternating large-star and small-star steps until nothing moves.
 
     Each step is a min per node (combined before the shuffle) and an equi-join; no node's neighbours are ever
@@ -112,7 +112,7 @@ def _star_components(edges: DataFrame, keys: Sequence[str], max_rounds: int = 60
     keys = list(keys)
     current = materialise(edges.select(*keys, "lo", "hi"), "star")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # Large star: neighbours above u attach to the smallest node around u.
         both = current.select(*keys, F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             current.select(*keys, F.col("hi").alias("u"), F.col("lo").alias("v"))
@@ -133,36 +133,18 @@ def _star_components(edges: DataFrame, keys: Sequence[str], max_rounds: int = 60
         if seen == tuple(mark):
             break
         seen = tuple(mark)
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(*keys, F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
     return current.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(roots)
 
 
-def connected_components(
-    edges: DataFrame, nodes: DataFrame, keys: Sequence[str], *, method: str = "auto", fold_edges: int = 4096, stored: bool = False
-) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], *, method: str = "star") -> DataFrame:
     """``nodes`` plus ``label``: the smallest node id of its component (its own id when isolated).
 
-    ``fold`` keeps one frame's edges in one row and needs them bounded. ``star`` has no bound. ``auto`` measures the
-    edges per frame and sends every frame above ``fold_edges`` through ``star``; both are exact. It reads the edges
-    twice and therefore writes them first, unless they are ``stored`` already.
+    ``star`` takes graphs of any size in a number of rounds that grows with the logarithm of their diameter. ``fold`` is for
+    callers who know that their frames are small: it keeps one frame's edges in one row.
     """
     keys = list(keys)
-    if method == "auto":
-        edges = edges.select(*keys, "lo", "hi") if stored else materialise(edges.select(*keys, "lo", "hi"), "edges")
-        counts = edges.groupBy(*keys).agg(F.count("*").alias("_n"))
-        large = counts.where(F.col("_n") > fold_edges).select(*keys)
-        if large.isEmpty():
-            labels = _fold_components(edges, keys)
-        else:
-            labels = _fold_components(edges.join(large, keys, "left_anti"), keys).unionByName(
-                _star_components(edges.join(large, keys, "left_semi"), keys)
-            )
-    elif method == "fold":
-        labels = _fold_components(edges, keys)
-    else:
-        labels = _star_components(edges, keys)
+    labels = _fold_components(edges, keys) if method == "fold" else _star_components(edges, keys)
     return nodes.join(labels, [*keys, "node"], "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -328,7 +310,7 @@ def hop_classes(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], anchor:
     """Proteins linked to the anchor, by class: ``direct``, ``second`` (next to a direct one) or ``third_plus``."""
     keys = list(keys)
     edges = materialise(edges.select(*keys, "lo", "hi"), "edges")
-    labelled = connected_components(edges, nodes, keys, stored=True, **kw)
+    labelled = connected_components(edges, nodes, keys, **kw)
     anchors = labelled.where(F.col("species") == anchor).select(*keys, "label").distinct()
     linked = labelled.where(F.col("species") != anchor).join(anchors, [*keys, "label"], "left_semi")
     anchor_nodes = nodes.where(F.col("species") == anchor).select(*keys, F.col("node").alias("from"))
@@ -424,43 +406,48 @@ def select_nodes(mode: str, edges: DataFrame, nodes: DataFrame, keys: Sequence[s
 
 
 def binding_categories(edges: DataFrame, proteins: DataFrame, contacts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Edges and possible pairs of every binding category, without listing the possible pairs.
+    """Edges and possible pairs of every binding category, for any number of windows.
 
-    ``contacts(keys, node, window)`` says which anchor windows a protein touches. A protein's set of windows is a
-    bit mask (bounded: there are few windows), proteins are counted per mask, and pairs are counted between masks:
-    masks that overlap share a window, others do not. The number of masks does not grow with the proteins.
+    ``contacts(keys, node, window)`` says which anchor windows a protein touches. Possible pairs follow from counts: of
+    proteins, of bound ones, and of distinct pairs that share a window. Only the last are listed, by an equi-join on the
+    window; all others are never listed.
     """
     keys = list(keys)
-    mask = contacts.groupBy(*keys, "node").agg(F.expr("bit_or(if(window BETWEEN 0 AND 62, shiftleft(1L, CAST(window AS INT)), raise_error('a window mask holds windows 0 to 62')))").alias("mask"))
-    masked = proteins.select(*keys, "node").join(mask, [*keys, "node"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-    per = masked.groupBy(*keys, "mask").agg(F.count("*").alias("n"))
-
-    def category(a, b):
-        return (
-            F.when((a == 0) & (b == 0), "neither_bound")
-            .when((a == 0) | (b == 0), "only_one_bound")
-            .when(a.bitwiseAND(b) == 0, "both_bound_different_windows")
-            .otherwise("shared_window")
-        )
-
-    other = per.select(*keys, F.col("mask").alias("mask2"), F.col("n").alias("n2"))
-    pairs = per.join(other, keys).where(F.col("mask") <= F.col("mask2"))
-    amount = F.when(F.col("mask") == F.col("mask2"), pair_count("n")).otherwise(F.col("n").cast("double") * F.col("n2"))
-    possible = pairs.groupBy(*keys, category(F.col("mask"), F.col("mask2")).alias("binding_category")).agg(F.sum(amount).alias("opportunities"))
+    touched = contacts.join(proteins.select(*keys, "node"), [*keys, "node"], "left_semi").select(*keys, "node", "window").distinct()
+    bound = touched.select(*keys, "node").distinct()
+    sizes = proteins.groupBy(*keys).agg(F.count("*").alias("n")).join(bound.groupBy(*keys).agg(F.count("*").alias("b")), keys, "left")
+    pairs = (
+        touched.withColumnRenamed("node", "lo")
+        .join(touched.withColumnRenamed("node", "hi"), [*keys, "window"])
+        .where("lo < hi")
+        .select(*keys, "lo", "hi")
+        .distinct()
+    )
+    sizes = sizes.join(pairs.groupBy(*keys).agg(F.count("*").alias("s")), keys, "left").fillna({"b": 0, "s": 0})
+    free, n_bound, shared = F.col("n") - F.col("b"), F.col("b"), F.col("s")
+    names = {
+        "neither_bound": free * (free - 1) / 2,
+        "only_one_bound": (free * n_bound).cast("double"),
+        "both_bound_different_windows": n_bound * (n_bound - 1) / 2 - shared,
+        "shared_window": shared.cast("double"),
+    }
+    dense = sizes.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("binding_category"), v.alias("opportunities")) for k, v in names.items()])).alias("_o")).select(*keys, "_o.*")
+    flags = bound.withColumn("_f", F.lit(True))
     linked = (
-        edges.join(masked.select(*keys, F.col("node").alias("lo"), F.col("mask").alias("_a")), [*keys, "lo"])
-        .join(masked.select(*keys, F.col("node").alias("hi"), F.col("mask").alias("_b")), [*keys, "hi"])
-        .groupBy(*keys, category(F.col("_a"), F.col("_b")).alias("binding_category"))
-        .agg(F.count("*").alias("edges"))
+        shared_window_edges(edges, touched, keys)
+        .join(flags.withColumnRenamed("node", "lo").withColumnRenamed("_f", "_a"), [*keys, "lo"], "left")
+        .join(flags.withColumnRenamed("node", "hi").withColumnRenamed("_f", "_b"), [*keys, "hi"], "left")
     )
-    names = F.explode(F.array(*[F.lit(c) for c in ("neither_bound", "only_one_bound", "both_bound_different_windows", "shared_window")]))
-    dense = proteins.select(*keys).distinct().select(*keys, names.alias("binding_category"))
-    return (
-        dense.join(possible, [*keys, "binding_category"], "left")
-        .join(linked, [*keys, "binding_category"], "left")
-        .fillna({"opportunities": 0.0, "edges": 0})
-        .select(*keys, "binding_category", "edges", "opportunities")
+    category = (
+        F.when(F.col("shared_window"), "shared_window")
+        .when(F.col("_a").isNull() & F.col("_b").isNull(), "neither_bound")
+        .when(F.col("_a").isNull() | F.col("_b").isNull(), "only_one_bound")
+        .otherwise("both_bound_different_windows")
     )
+    both_known = proteins.select(*keys, F.col("node").alias("lo")), proteins.select(*keys, F.col("node").alias("hi"))
+    linked = linked.join(both_known[0], [*keys, "lo"], "left_semi").join(both_known[1], [*keys, "hi"], "left_semi")
+    linked = linked.groupBy(*keys, category.alias("binding_category")).agg(F.count("*").alias("edges"))
+    return dense.join(linked, [*keys, "binding_category"], "left").fillna({"edges": 0}).select(*keys, "binding_category", "edges", "opportunities")
 
 
 def shared_window_edges(edges: DataFrame, contacts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ one round per step away from the root, each round written to the shared folder,
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -24,23 +25,27 @@ def image_steps(anchors: DataFrame, beads: DataFrame, keys: Sequence[str], box:
     return joined.selectExpr(*keys, "lo", "hi", *[f"CAST(rint((_{a}_hi - _{a}_lo) / {b}) AS INT) AS s{a}" for a in "xyz"])
 
 
-def place_components(steps: DataFrame, labelled: DataFrame, keys: Sequence[str], max_rounds: int = 1000) -> DataFrame:
-    """Shift of every node (``nx, ny, nz`` boxes) that makes its contacts to earlier nodes contiguous; roots stay."""
+def place_components(steps: DataFrame, labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shift of every node (``nx, ny, nz`` boxes) that makes its contacts to earlier nodes contiguous; roots stay.
+
+    The walk ends when no contact leads to a new node. Each round writes only the nodes it has placed, and a round needs no
+    more than the two before it: a step from a node leads to its own distance from the root, or one less or more.
+    """
     keys = list(keys)
     both = materialise(
         steps.selectExpr(*keys, "lo AS a", "hi AS b", "sx", "sy", "sz").unionByName(steps.selectExpr(*keys, "hi AS a", "lo AS b", "-sx AS sx", "-sy AS sy", "-sz AS sz")),
         "steps",
     )
-    roots = labelled.where("node = label").selectExpr(*keys, "node", "0 AS nx", "0 AS ny", "0 AS nz")
-    placed = frontier = materialise(roots, "placed")
-    for _ in range(max_rounds):
-        reach = both.join(frontier.withColumnRenamed("node", "a"), [*keys, "a"]).join(placed.select(*keys, F.col("node").alias("b")), [*keys, "b"], "left_anti")
+    frontier = materialise(labelled.where("node = label").selectExpr(*keys, "node", "0 AS nx", "0 AS ny", "0 AS nz"), "frontier")
+    rounds, recent = [frontier], frontier
+    while True:
+        reach = both.join(frontier.withColumnRenamed("node", "a"), [*keys, "a"]).join(recent.select(*keys, F.col("node").alias("b")), [*keys, "b"], "left_anti")
         nearest = reach.groupBy(*keys, F.col("b").alias("node")).agg(F.min(F.struct("a", "nx", "ny", "nz", "sx", "sy", "sz")).alias("_m"))
-        frontier = materialise(nearest.selectExpr(*keys, "node", *[f"_m.n{a} - _m.s{a} AS n{a}" for a in "xyz"]), "frontier")
-        if frontier.isEmpty():
-            return placed
-        placed = materialise(placed.unionByName(frontier), "placed")
-    raise RuntimeError("placement did not finish")
+        new = materialise(nearest.selectExpr(*keys, "node", *[f"_m.n{a} - _m.s{a} AS n{a}" for a in "xyz"]), "frontier")
+        if new.isEmpty():
+            return functools.reduce(DataFrame.unionByName, rounds)
+        rounds.append(new)
+        frontier, recent = new, frontier.unionByName(new)
 
 
 def broken_contacts(steps: DataFrame, placed: DataFrame, keys: Sequence[str]) -> DataFrame:

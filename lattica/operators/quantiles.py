@@ -1,8 +1,8 @@
 """Exact quantiles of groups of any size.
 
 Spark's exact percentile keeps all distinct values of a group in one task. Here values are first combined to
-(value, weight), then a few rounds cut the interval that holds the answer into buckets, keep the bucket where the
-cumulative weight crosses the goal, and only that bucket is sorted. Every step is an ordinary aggregation.
+(value, weight). Borders from a mergeable quantile sketch cut each group into buckets of about equally many distinct values,
+whatever their spread; bucket sums say which bucket the answer lies in, and only that bucket is sorted.
 """
 
 from __future__ import annotations
@@ -13,32 +13,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# A running sum may miss its goal by rounding, since buckets and values are added in different orders.
+TOLERANCE = 1e-12
+
+
+def _inside(pre: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return pre.join(target, list(keys)).where("v >= lo AND v <= hi")
+
 
 def _crossings(pre: DataFrame, goals: DataFrame, keys: Sequence[str], rounds: int, buckets: int) -> DataFrame:
-    """For each goal: the smallest value whose cumulative weight reaches it. ``goals(keys, tag, goal, lo, hi)``."""
+    """For each goal: the smallest value whose cumulative weight reaches it. ``goals(keys, tag, goal, lo, hi)``.
+
+    ``buckets`` is a power of two. After each round, the interval holds about one in ``buckets`` of its distinct values.
+    """
     keys = list(keys)
     at = W.partitionBy(*keys, "tag")
+    reached = F.col("_c") >= F.col("goal") - F.abs("goal") * TOLERANCE
     target = goals.withColumn("before", F.lit(0.0))
+    steps = []
+    while buckets > 1:
+        buckets //= 2
+        steps.append(str(buckets))
+    shares = [(i + 1) / 2 ** len(steps) for i in range(2 ** len(steps) - 1)]
+    place = f"aggregate(array({', '.join(steps)}), 0, (i, s) -> if(_cuts[i + s - 1] < v, i + s, i))"
     for _ in range(rounds):
-        inside = pre.join(target, keys).where("v >= lo AND v <= hi")
-        share = f"if(hi > lo, least(CAST(floor((v - lo) / (hi - lo) * {buckets}) AS INT), {buckets - 1}), 0)"
-        sums = inside.selectExpr("*", f"{share} AS _b").groupBy(*keys, "tag", "_b").agg(
+        inside = _inside(pre, target, keys)
+        cuts = inside.groupBy(*keys, "tag").agg(F.percentile_approx("v", shares, 4 * len(shares)).alias("_cuts"))
+        sums = inside.join(cuts, [*keys, "tag"]).selectExpr("*", f"{place} AS _b").groupBy(*keys, "tag", "_b").agg(
             F.sum("w").alias("_w"), F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.first("goal").alias("goal"), F.first("before").alias("before")
         )
         cum = sums.withColumn("_c", F.col("before") + F.sum("_w").over(at.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))
         target = (
-            cum.where("_c >= goal")
+            cum.where(reached)
             .groupBy(*keys, "tag")
             .agg(F.min(F.struct("_b", "goal", "_lo", "_hi", (F.col("_c") - F.col("_w")).alias("before"))).alias("_m"))
             .selectExpr(*keys, "tag", "_m.goal AS goal", "_m._lo AS lo", "_m._hi AS hi", "_m.before AS before")
         )
-    inside = pre.join(target, keys).where("v >= lo AND v <= hi")
     running = F.col("before") + F.sum("w").over(at.orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    return inside.withColumn("_c", running).where("_c >= goal").groupBy(*keys, "tag").agg(F.min("v").alias("value"))
+    return _inside(pre, target, keys).withColumn("_c", running).where(reached).groupBy(*keys, "tag").agg(F.min("v").alias("value"))
 
 
 def weighted_step_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, q: float = 0.9, *, out: str = "quantile", rounds: int = 1, buckets: int = 1024
+    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, q: float = 0.9, *, out: str = "quantile", rounds: int = 1, buckets: int = 256
 ) -> DataFrame:
     """Smallest value whose cumulative weight is at least ``q`` of the total; no interpolation."""
     keys = list(keys)
@@ -48,7 +64,7 @@ def weighted_step_quantile(
     return _crossings(pre, goals, keys, rounds, buckets).select(*keys, F.col("value").alias(out))
 
 
-def linear_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5, *, out: str = "quantile", rounds: int = 1, buckets: int = 1024) -> DataFrame:
+def linear_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5, *, out: str = "quantile", rounds: int = 1, buckets: int = 256) -> DataFrame:
     """Quantile interpolated between the two neighbouring order statistics (``q=0.5`` is the median)."""
     keys = list(keys)
     pre = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("w"))

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.session import materialise
+
 # Block edge in search radii, and a hair of slack so that rounding cannot hide a pair at exactly the radius.
 BLOCK_RADII = 3.0
 SLACK = 1.000000001
@@ -125,43 +127,51 @@ def nearest_target_distance(
     *,
     id: str = "bead",
     carry: Sequence[str] = (),
-    cells: int = 12,
 ) -> DataFrame:
     """Distance from each query point to the nearest target of its frame, periodic and without a search limit.
 
-    The box is cut into ``cells`` per axis. For each occupied query cell, a target cell can be skipped when its
-    least possible distance exceeds the smallest worst-case distance of any target cell. That pruning works on
-    cells only, so its size is bounded by ``cells`` and not by the data; points then meet just the targets of the
-    surviving cells. Frames without targets give no rows.
+    The search radius starts at the mean spacing of the frame's targets. A query meets the targets of the blocks that its
+    search sphere touches; one whose nearest target lies beyond the radius tries again with twice the radius, until the
+    block is the whole box. Work follows the local density, and a frame with few targets is one block from the start.
+    Each further radius is a written round of the points that are left. Frames without targets give no rows.
     """
     keys = list(keys)
     side = _number(box)
-    n = cells
+    counts = targets.groupBy(*keys).agg(F.count("*").alias("_n"))
+    densest = counts.agg(F.max("_n")).first()[0]
 
     def located(df, extra):
         out = df.selectExpr(*keys, *extra, *[f"{a} - {side} * floor({a} / {side}) AS _{a}" for a in "xyz"], f"{side} AS _box")
-        at = [f"CAST(least(floor(_{a} * {n} / _box), {n - 1}) AS INT)" for a in "xyz"]
-        return out.selectExpr("*", f"({at[0]} * {n} + {at[1]}) * {n} + {at[2]} AS _cell")
-
-    q = located(queries, [id, *carry])
-    t = located(targets, [])
-    q_cells = q.selectExpr(*keys, "_box", "_cell AS _qc").distinct()
-    t_cells = t.selectExpr(*keys, "_cell AS _tc").distinct()
-    gap = {a: f"abs((_qc div {s}) % {n} - (_tc div {s}) % {n})" for a, s in zip("xyz", (n * n, n, 1))}
-    paired = q_cells.join(t_cells, keys).selectExpr(
-        *keys, "_qc", "_tc", f"_box / {n} AS _w", "_box / 2 AS _half", *[f"least({g}, {n} - {g}) AS _g{a}" for a, g in gap.items()]
-    )
-    least = " + ".join(f"pow(greatest(_g{a} - 1, 0) * _w, 2)" for a in "xyz")
-    most = " + ".join(f"pow(least((_g{a} + 1) * _w, _half), 2)" for a in "xyz")
-    cell_pairs = paired.selectExpr(*keys, "_qc", "_tc", f"{least} AS _least", f"{most} AS _most")
-    reach = cell_pairs.groupBy(*keys, "_qc").agg(F.min("_most").alias("_reach"))
-    # A hair of slack keeps exact ties safe from rounding.
-    live = cell_pairs.join(reach, [*keys, "_qc"]).where("_least <= _reach * 1.000000001D").select(*keys, "_qc", "_tc")
-    probes = q.withColumnRenamed("_cell", "_qc").join(live, [*keys, "_qc"])
-    goal = t.selectExpr(*keys, "_cell AS _tc", *[f"_{a} AS _t_{a}" for a in "xyz"])
-    return (
-        probes.join(goal, [*keys, "_tc"])
-        .selectExpr(*keys, id, *carry, f"{_distance('_t_', '_', '_box')} AS _d")
-        .groupBy(*keys, id)
-        .agg(F.min("_d").alias("distance"), *[F.first(c).alias(c) for c in carry])
-    )
+        return out.join(counts, keys)
+
+    def blocks(widen: int) -> str:
+        return f"CAST(greatest(floor(cbrt(_n) / {BLOCK_RADII * widen!r}D), 1) AS INT)"
+
+    at = "(CAST(floor(({x}) * _nb / _box) AS INT) + _nb) % _nb"
+    own = "({0} * _nb + {1}) * _nb + {2}".format(*[at.format(x=f"_{a}") for a in "xyz"])
+    goal = located(targets, [])
+    left = located(queries, [id, *carry])
+    done, widen = None, 1
+    while True:
+        last = not densest or float(densest) ** (1 / 3) / (BLOCK_RADII * widen) < 2
+        reach = f"_box / (_nb * {BLOCK_RADII * SLACK!r}D)"
+        build = goal.withColumn("_nb", F.expr(blocks(widen))).selectExpr(*keys, f"{own} AS _block", *[f"_{a} AS _t_{a}" for a in "xyz"])
+        probe = left.withColumn("_nb", F.expr(blocks(widen)))
+        probe = probe.selectExpr("*", *[f"{at.format(x=f'_{a} {sign} {reach}')} AS _{a}{k}" for a in "xyz" for k, sign in enumerate("-+")])
+        probe = _touched(probe, "INT").withColumn("_block", F.expr("(_bx * _nb + _by) * _nb + _bz"))
+        kept = [*carry, *([] if last else ["_x", "_y", "_z", "_box", "_n", "_nb"])]
+        found = (
+            probe.join(build, [*keys, "_block"], "inner" if last else "left")
+            .selectExpr(*keys, id, *kept, f"{_distance('_t_', '_', '_box')} AS _d")
+            .groupBy(*keys, id)
+            .agg(F.min("_d").alias("distance"), *[F.first(c).alias(c) for c in kept])
+        )
+        if last:
+            found = found.select(*keys, id, "distance", *carry)
+            return found if done is None else done.unionByName(found)
+        found = materialise(found, "nearest")
+        near = F.expr(f"_nb = 1 OR distance <= {reach}")
+        settled = found.where(near).select(*keys, id, "distance", *carry)
+        done = settled if done is None else done.unionByName(settled)
+        left = found.where(~F.coalesce(near, F.lit(False))).select(*keys, id, *carry, "_x", "_y", "_z", "_box", "_n")
+        widen *= 2

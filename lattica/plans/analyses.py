@@ -40,7 +40,7 @@ def network(positions: DataFrame, pairs: DataFrame, cutoffs=C.CUTOFFS_NM, primar
     every = nodes.select("*", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs])).alias("cutoff_nm"))
     clusters = graph.cluster_metrics(graph.species_components(edges, every, at), at)
     main = edges.where(S.close("cutoff_nm", primary)).drop("cutoff_nm")
-    labelled = graph.connected_components(main, nodes, KEYS, stored=True)
+    labelled = graph.connected_components(main, nodes, KEYS)
     degree = graph.degrees(main, nodes, KEYS)
     kinds = graph.pair_kind_counts(main, nodes, KEYS)
     wide = kinds.groupBy(*KEYS).agg(*[F.max(F.when(F.col("kind") == k, F.col("contact_probability"))).alias(f"{k}_contact_probability") for k in ("OO", "MM", "OM", "OD", "MD")])

@@ -131,7 +131,7 @@ nearest AS MATERIALIZED (
 
 def nearest(t: Tables) -> DataFrame:
     b = roles.beads(t)
-    return spatial.nearest_target_distance(b.where("species <> 'DNA'"), b.where("species = 'DNA'"), KEYS, BOX, carry=["species", "molecule", "parent"], cells=5)
+    return spatial.nearest_target_distance(b.where("species <> 'DNA'"), b.where("species = 'DNA'"), KEYS, BOX, carry=["species", "molecule", "parent"])
 
 
 @query("j4_nearest_anchor", f"{K} bead:i distance:f", "SELECT * FROM nearest", NEAREST_SQL)
@@ -169,7 +169,7 @@ COMP_SQL = EDGES_SQL + components_sql("edges", "nodes", "comp")
 
 @query("g1_components", f"{K} node:i label:i", "SELECT * FROM comp", COMP_SQL)
 def g1_components(t: Tables) -> DataFrame:
-    """G1: components with isolated nodes; frames above the fold limit take the star method."""
+    """G1: components with isolated nodes."""
     return graph.connected_components(roles.edges(t), roles.nodes(t), KEYS)
 
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.functions import scalars as S
-from lattica.operators import contrasts, histograms, profiles, quantiles, selection, statistics
+from lattica.operators import contrasts, graph, histograms, profiles, quantiles, selection, statistics
 from lattica.plans import roles
 from lattica.plans.queries_graph import NEAREST_SQL, nearest
 from lattica.plans.registry import Tables, query
 from lattica.session import materialise
-from lattica.plans.roles import BEADS_SQL, KEYS, PAIRS_SQL
+from lattica.plans.roles import BEADS_SQL, EDGES_SQL, KEYS, PAIRS_SQL
 
 K = "system:s replicate:s frame:i"
 TRAJ = ["system", "replicate"]
@@ -179,44 +180,48 @@ def a11_pooled_histogram(t: Tables) -> DataFrame:
 A12_SQL = (
     NEAREST_SQL
     + """
-wd AS (SELECT *, 1.0 / COUNT(*) OVER (PARTITION BY frame, parent) AS w, LEAST(FLOOR(distance / 0.25), 31)::BIGINT + 1 AS bin FROM nearest WHERE species = 'MED1'),
-perbin AS (SELECT system, replicate, frame, bin, SUM(w) AS w FROM wd GROUP BY ALL),
-perframe AS (SELECT frame, SUM(w) AS tot FROM perbin GROUP BY ALL),
-fn AS (SELECT s.system, s.replicate, b AS bin, COALESCE(w, 0) / n_frames AS frame_mean_count, COALESCE(p, 0) / valid_frames AS frame_mean_probability, valid_frames FROM
+wd AS (SELECT *, 1.0 / COUNT(*) OVER (PARTITION BY frame, parent) AS w, LEAST(FLOOR(distance / 0.25), 31)::BIGINT + 1 AS bin FROM nearest),
+typed AS (SELECT *, 'all' AS type FROM wd UNION ALL SELECT *, species AS type FROM wd),
+perbin AS (SELECT system, replicate, type, frame, bin, SUM(w) AS w FROM typed GROUP BY ALL),
+perframe AS (SELECT frame, type, SUM(w) AS tot FROM perbin GROUP BY ALL),
+fn AS (SELECT s.system, s.replicate, v.type, b AS bin, COALESCE(w, 0) / n_frames AS frame_mean_count, COALESCE(p, 0) / valid_frames AS frame_mean_probability, valid_frames FROM
    (SELECT system, replicate, COUNT(DISTINCT frame) AS n_frames FROM beads GROUP BY ALL) s
-   JOIN (SELECT system, replicate, COUNT(DISTINCT frame) AS valid_frames FROM perbin GROUP BY ALL) v USING (system, replicate)
+   JOIN (SELECT system, replicate, type, COUNT(DISTINCT frame) AS valid_frames FROM perbin GROUP BY ALL) v USING (system, replicate)
    CROSS JOIN (SELECT UNNEST(RANGE(1, 33)) AS b)
-   LEFT JOIN (SELECT system, replicate, bin, SUM(w) AS w, SUM(w / tot) AS p FROM perbin JOIN perframe USING (frame) GROUP BY ALL) h
-     ON h.system = s.system AND h.replicate = s.replicate AND h.bin = b),
+   LEFT JOIN (SELECT system, replicate, type, bin, SUM(w) AS w, SUM(w / tot) AS p FROM perbin JOIN perframe USING (frame, type) GROUP BY ALL) h
+     ON h.system = s.system AND h.replicate = s.replicate AND h.type = v.type AND h.bin = b),
 """
 )
 
 
 def weighted_histogram(t: Tables) -> DataFrame:
-    d = quantiles.parent_weights(materialise(nearest(t).where("species = 'MED1'"), "distances"), KEYS)
-    return histograms.frame_normalised_histogram(d, roles.beads(t).select(*KEYS), TRAJ, weight="weight", high=7.75, bins=31)
+    """Histograms of parent-weighted distances for all proteins and for each species."""
+    d = quantiles.parent_weights(materialise(nearest(t), "distances"), KEYS)
+    d = d.withColumn("type", F.explode(F.array(F.lit("all"), F.col("species"))))
+    frames = roles.beads(t).select(*KEYS).distinct().withColumn("type", F.explode(F.array(*[F.lit(x) for x in ("all", "OCT4", "MED1")])))
+    return histograms.frame_normalised_histogram(d, frames, [*TRAJ, "type"], weight="weight", high=7.75, bins=31)
 
 
 @query(
     "a12_frame_normalised_histogram",
-    "system:s replicate:s bin:i frame_mean_count:f9 frame_mean_probability:f9 cumulative_probability:f9 valid_frames:i",
-    "SELECT *, SUM(frame_mean_probability) OVER (PARTITION BY system, replicate ORDER BY bin) AS cumulative_probability FROM fn",
+    "system:s replicate:s type:s bin:i frame_mean_count:f9 frame_mean_probability:f9 cumulative_probability:f9 valid_frames:i",
+    "SELECT *, SUM(frame_mean_probability) OVER (PARTITION BY system, replicate, type ORDER BY bin) AS cumulative_probability FROM fn",
     A12_SQL,
 )
 def a12_frame_normalised_histogram(t: Tables) -> DataFrame:
-    """Parent-weighted distances, normalised per frame, averaged over frames."""
+    """Parent-weighted distances, normalised per frame, averaged over frames, by type."""
     return weighted_histogram(t)
 
 
 @query(
     "a29_rebinned_profile",
-    "system:s bin_start_nm:f frame_mean_count:f9",
-    """SELECT system, bin_start_nm, AVG(v) AS frame_mean_count FROM (SELECT system, replicate, FLOOR((bin - 1) * 0.25) AS bin_start_nm, SUM(frame_mean_count) AS v FROM fn GROUP BY ALL) GROUP BY ALL""",
+    "system:s type:s bin_start_nm:f frame_mean_count:f9",
+    """SELECT system, type, bin_start_nm, AVG(v) AS frame_mean_count FROM (SELECT system, replicate, type, FLOOR((bin - 1) * 0.25) AS bin_start_nm, SUM(frame_mean_count) AS v FROM fn GROUP BY ALL) GROUP BY ALL""",
     A12_SQL,
 )
 def a29_rebinned_profile(t: Tables) -> DataFrame:
-    """Fine bins summed to 1 nm per trajectory, then averaged."""
-    return histograms.rebin(weighted_histogram(t), TRAJ, ["system"], "frame_mean_count")
+    """Fine bins summed to 1 nm per trajectory, then averaged, by type."""
+    return histograms.rebin(weighted_histogram(t), [*TRAJ, "type"], ["system", "type"], "frame_mean_count")
 
 
 @query(
@@ -267,7 +272,7 @@ def v7_histogram_additivity(t: Tables) -> DataFrame:
     "a28_arm_pivot",
     "replicate:s S0:f S1:f S2:f S3:f",
     """SELECT replicate, MAX(v) FILTER (system = 'S0') AS S0, MAX(v) FILTER (system = 'S1') AS S1, MAX(v) FILTER (system = 'S2') AS S2, MAX(v) FILTER (system = 'S3') AS S3
-       FROM (SELECT system, replicate, AVG(distance) AS v FROM nearest GROUP BY ALL) GROUP BY ALL""",
+       FROM (SELECT system, replicate, AVG(distance) AS v FROM nearest GROUP BY ALL) GROUP BY ALL HAVING COUNT(v) = 4""",
     NEAREST_SQL,
 )
 def a28_arm_pivot(t: Tables) -> DataFrame:
@@ -278,20 +283,23 @@ def a28_arm_pivot(t: Tables) -> DataFrame:
 
 @query(
     "a31_contact_matrix",
-    "system:s OO:f OM:f MM:f maximum:f",
-    """SELECT *, MAX(GREATEST(OO, OM, MM)) OVER () AS maximum FROM (SELECT system, AVG(x) FILTER (kind = 'OO') AS OO, AVG(x) FILTER (kind = 'OM') AS OM, AVG(x) FILTER (kind = 'MM') AS MM FROM (
-         SELECT system, replicate, CASE WHEN species_i <> species_j THEN 'OM' WHEN species_i = 'OCT4' THEN 'OO' ELSE 'MM' END AS kind, AVG(d) AS x FROM pairs
-         WHERE d < 1.2 AND species_i <> 'DNA' AND species_j <> 'DNA' GROUP BY ALL) GROUP BY ALL)""",
-    PAIRS_SQL,
+    "system:s OO:f9 OM:f9 MM:f9 maximum:f9",
+    """SELECT *, MAX(GREATEST(OO, OM, MM)) OVER () AS maximum FROM (SELECT system, AVG(v) FILTER (kind = 'OO') AS OO, AVG(v) FILTER (kind = 'OM') AS OM, AVG(v) FILTER (kind = 'MM') AS MM
+       FROM (SELECT system, replicate, kind, AVG(p) AS v FROM (
+         SELECT b.*, CASE WHEN possible > 0 THEN COALESCE(e, 0) / possible END AS p FROM (
+           SELECT system, replicate, frame, UNNEST(['OO', 'MM', 'OM']) AS kind, UNNEST([o * (o - 1) / 2, m * (m - 1) / 2, o * m]) AS possible
+           FROM (SELECT system, replicate, frame, COUNT(*) FILTER (species = 'OCT4')::DOUBLE AS o, COUNT(*) FILTER (species = 'MED1')::DOUBLE AS m FROM nodes GROUP BY ALL)) b
+         LEFT JOIN (SELECT e.frame, CASE WHEN a.species <> c.species THEN 'OM' WHEN a.species = 'OCT4' THEN 'OO' ELSE 'MM' END AS kind, COUNT(*) AS e
+           FROM edges e JOIN nodes a ON e.frame = a.frame AND e.lo = a.node JOIN nodes c ON e.frame = c.frame AND e.hi = c.node
+           WHERE a.species <> 'DNA' AND c.species <> 'DNA' GROUP BY ALL) h USING (frame, kind)) GROUP BY ALL) GROUP BY ALL)""",
+    EDGES_SQL,
 )
 def a31_contact_matrix(t: Tables) -> DataFrame:
-    """Systems x pair kinds, means over trajectories, and the overall maximum."""
-    p = primary(t).where("species_i <> 'DNA' AND species_j <> 'DNA'")
-    kind = F.when(F.col("species_i") != F.col("species_j"), "OM").when(F.col("species_i") == "OCT4", "OO").otherwise("MM")
-    rep = p.groupBy(*TRAJ, kind.alias("kind")).agg(F.avg("d").alias("x"))
-    matrix = rep.groupBy("system").agg(*[F.avg(F.when(F.col("kind") == k, F.col("x"))).alias(k) for k in ("OO", "OM", "MM")])
-    top = matrix.agg(F.max(F.greatest("OO", "OM", "MM")).alias("maximum"))
-    return matrix.withColumn("maximum", top.scalar())
+    """Contact probabilities of systems x pair kinds, means over frames, then trajectories, and the overall maximum."""
+    kinds = graph.pair_kind_counts(roles.edges(t), roles.nodes(t), KEYS).where("kind IN ('OO', 'OM', 'MM')")
+    rep = statistics.trajectory_means(kinds, [*TRAJ, "kind"], ["contact_probability"])
+    matrix = rep.groupBy("system").agg(*[F.avg(F.when(F.col("kind") == k, F.col("contact_probability"))).alias(k) for k in ("OO", "OM", "MM")])
+    return matrix.withColumn("maximum", F.max(F.greatest("OO", "OM", "MM")).over(W.partitionBy()))  # a row per system
 
 
 @query(

@@ -101,7 +101,7 @@ def g15_component_placement(t: Tables) -> DataFrame:
     p = roles.stored_pairs(t)
     whole = materialise(polymer.unwrap_chain(chains(t), [*KEYS, "molecule"], "pos", BOX).select(*KEYS, "bead", "ux", "uy", "uz"), "whole")
     steps = materialise(placement.image_steps(graph.contact_anchors(p, KEYS), whole, KEYS, BOX), "steps")
-    labelled = materialise(graph.connected_components(steps.select(*KEYS, "lo", "hi"), roles.nodes(t), KEYS, stored=True), "labels")
+    labelled = materialise(graph.connected_components(steps.select(*KEYS, "lo", "hi"), roles.nodes(t), KEYS), "labels")
     return placement.broken_contacts(steps, placement.place_components(steps, labelled, KEYS), KEYS)
 
 

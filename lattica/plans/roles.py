@@ -22,13 +22,13 @@ MED1_RESIDUES, OCT4_RESIDUES, DNA_BEADS = 200, 60, 80
 
 
 def beads(t: Tables) -> DataFrame:
-    """The positions table of one query: derived from the line items once, written, and read by every step.
+    """The positions of one query, derived in the plan from the line items.
 
-    Stored trajectories are the natural input of the operators: scans then read plain columns, prune them, and stay
-    small enough to compile. Rows are spread by frame and particle, so one hot frame still fills many files.
+    The exchange by frame and particle keeps the derivation's wide expressions out of the stages that read it, so both stay
+    small enough to be compiled; a plan that reads the positions several times reuses it. A hot frame is spread.
     """
     if "_positions" not in t.__dict__:
-        t._positions = materialise(_derived_beads(t).repartition("frame", "bead"), "positions")
+        t._positions = _derived_beads(t).repartition("frame", "bead")
     return t._positions
 
 
@@ -87,14 +87,26 @@ beads AS (
 CARRY = ["molecule", "species", "parent", "block", "residue"]
 
 
+_CONTACTS: dict[tuple[str, str], DataFrame] = {}
+
+
+def contacts(t: Tables) -> DataFrame:
+    """All bead pairs at the largest cutoff, with the attributes of both beads: searched once for a session and a folder of
+    tables, written to the shared folder, and read by every contact query."""
+    at = (t.spark.sparkContext.applicationId, t.folder)
+    if at not in _CONTACTS:
+        _CONTACTS[at] = materialise(spatial.radius_pairs(beads(t), KEYS, BOX, max(CUTOFFS), carry=CARRY), "contacts")
+    return _CONTACTS[at]
+
+
 def stored_pairs(t: Tables) -> DataFrame:
-    """Contacts at the primary cutoff, written once for queries that read them several times."""
-    return materialise(pairs(t, PRIMARY).where(F.col("d") < PRIMARY), "pairs")
+    """Contacts at the primary cutoff."""
+    return pairs(t, PRIMARY).where(F.col("d") < PRIMARY)
 
 
 def pairs(t: Tables, radius: float = max(CUTOFFS)) -> DataFrame:
     """Bead pairs within ``radius``, with the attributes of both beads."""
-    return spatial.radius_pairs(beads(t), KEYS, BOX, radius, carry=CARRY)
+    return contacts(t).where(F.col("d") <= radius)
 
 
 PAIRS_SQL = (

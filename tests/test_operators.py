@@ -73,6 +73,24 @@ def test_nearest_target_matches_brute_force(spark):
         assert abs(got[(f, b)] - np.sqrt((d * d).sum(1)).min()) < 1e-9
 
 
+def test_nearest_distance_over_several_radii(spark):
+    """Dense targets in a corner and empty space elsewhere: far queries need wider searches; a frame without targets drops out."""
+    rng = np.random.default_rng(9)
+    targets = [(0, i, *map(float, rng.uniform(0, 2, 3))) for i in range(1500)] + [(1, 0, 5.0, 5.0, 5.0)]
+    near = [(0, 10_000 + i, *map(float, rng.uniform(0, 2, 3))) for i in range(40)]
+    far = [(f, 20_000 + i, *map(float, rng.uniform(0, L, 3))) for f in range(3) for i in range(40)]
+    found = spatial.nearest_target_distance(points(spark, near + far), points(spark, targets), ["frame"], L)
+    assert "_qc" not in found.columns
+    got = {(r.frame, r.bead): r.distance for r in found.collect()}
+    assert set(got) == {(f, b) for f, b, *_ in near + far if f < 2}
+    for f, b, *xyz in near + far:
+        if f < 2:
+            d = np.array([x[2:] for x in targets if x[0] == f]) - np.array(xyz)
+            d -= L * np.round(d / L)
+            assert abs(got[(f, b)] - np.sqrt((d * d).sum(1)).min()) < 1e-9
+    assert spatial.nearest_target_distance(points(spark, near), points(spark, []), ["frame"], L).count() == 0
+
+
 def union_find(n, edges):
     label = list(range(n))
     for a, b in edges:
@@ -81,14 +99,14 @@ def union_find(n, edges):
     return label
 
 
-@pytest.mark.parametrize("method,limit", [("fold", 0), ("star", 0), ("auto", 60)])
-def test_components_match_union_find(spark, method, limit):
+@pytest.mark.parametrize("method", ["fold", "star"])
+def test_components_match_union_find(spark, method):
     rng = np.random.default_rng(1)
     n, edges = 70, {f: {tuple(sorted(map(int, rng.choice(70, 2, replace=False)))) for _ in range(k)} for f, k in ((0, 40), (1, 90), (2, 1))}
     edges[3] = {(i, i + 1) for i in range(69)}  # a path: the longest chain of labels
     e = spark.createDataFrame([(f, *p) for f, es in edges.items() for p in es], "frame int, lo int, hi int")
     v = spark.createDataFrame([(f, i) for f in edges for i in range(n)], "frame int, node int")
-    got = graph.connected_components(e, v, ["frame"], method=method, fold_edges=limit)
+    got = graph.connected_components(e, v, ["frame"], method=method)
     for f, es in edges.items():
         rows = sorted((r.node, r.label) for r in got.where(F.col("frame") == f).collect())
         assert [r[1] for r in rows] == union_find(n, es)
@@ -109,10 +127,20 @@ def test_anchor_does_not_bridge_proteins(spark):
     assert [r.node for r in graph.indirect_associates(edges, nodes, ["frame"]).collect()] == [0]
 
 
-def test_binding_categories_count_all_pairs(spark):
+def test_long_path_is_one_component(spark):
+    n = 5000
+    order = np.random.default_rng(3).permutation(n)
+    edges = spark.createDataFrame([(0, *sorted((int(a), int(b)))) for a, b in zip(order, order[1:])], "frame int, lo int, hi int")
+    nodes = spark.createDataFrame([(0, i) for i in range(n)], "frame int, node int")
+    labels = graph.connected_components(edges, nodes, ["frame"]).groupBy("label").count().collect()
+    assert [(r.label, r["count"]) for r in labels] == [(0, n)]
+
+
+@pytest.mark.parametrize("count", [5, 100])
+def test_binding_categories_count_all_pairs(spark, count):
     rng = np.random.default_rng(2)
     n = 14
-    windows = {i: set(map(int, rng.choice(5, rng.integers(0, 4), replace=False))) for i in range(n)}
+    windows = {i: set(map(int, rng.choice(count, rng.integers(0, 4), replace=False))) for i in range(n)}
     edges = {tuple(sorted(map(int, rng.choice(n, 2, replace=False)))) for _ in range(30)}
     want = {}
     for a, b in itertools.combinations(range(n), 2):
@@ -171,6 +199,32 @@ def test_quantiles_with_outliers(spark, rounds):
         assert got == pytest.approx(np.quantile(v, q), rel=1e-9)
 
 
+def test_last_bucket_is_small_under_heavy_tails(spark, monkeypatch):
+    """Values over 600 orders of magnitude: after one round the sorted bucket holds a small share of the group."""
+    df = spark.range(20_000).selectExpr("'k' AS k", "pow(10D, (id % 20000) * 0.03D - 300) AS v")
+    held = []
+    inside = quantiles._inside
+
+    def counted(pre, target, keys):
+        out = inside(pre, target, keys)
+        held.append(out)
+        return out
+
+    monkeypatch.setattr(quantiles, "_inside", counted)
+    got = quantiles.linear_quantile(df, ["k"], "v", 0.5, buckets=64).first().quantile
+    assert got == pytest.approx(np.quantile(10.0 ** (np.arange(20_000) * 0.03 - 300), 0.5), rel=1e-9)
+    assert held[-1].groupBy("tag").count().agg(F.max("count")).first()[0] <= 20_000 / 64 * 2
+
+
+def test_step_quantile_on_a_boundary(spark):
+    """Weights 1/k that add up to the goal exactly, in whatever order they are added."""
+    rows = [("k", float(i), 1.0 / 7) for i in range(70)]
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    for q in (0.1, 0.3, 0.5, 0.9):
+        for buckets in (4, 16, 64):
+            assert quantiles.weighted_step_quantile(df.repartition(5), ["k"], "v", "w", q, buckets=buckets).first().quantile == round(70 * q) - 1
+
+
 def test_chunked_sequences_equal_whole_ones(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=57)
