@@ -12,6 +12,7 @@ from lattica.plans import roles
 from lattica.plans.queries_graph import NEAREST_SQL, nearest
 from lattica.plans.registry import Tables, query
 from lattica.session import materialise
+from lattica.sources import tables
 from lattica.plans.roles import BEADS_SQL, EDGES_SQL, KEYS, PAIRS_SQL
 
 K = "system:s replicate:s frame:i"
@@ -40,49 +41,65 @@ od AS MATERIALIZED (SELECT system, replicate, frame, molecule_i AS xm, residue_i
 """
 )
 
+# A side and its partner: whose residues are profiled, and what they touch.
+PROFILES = [("MED1", "OCT4"), ("OCT4", "MED1"), ("MED1", "DNA"), ("OCT4", "DNA")]
+RESIDUES = {"MED1": roles.MED1_RESIDUES, "OCT4": roles.OCT4_RESIDUES}
+
 PROFILE_SQL = (
     CONTACT_SQL
     + """
-profile AS (SELECT s.system, s.replicate, r + 1 AS residue_index, COALESCE(h, 0) / den AS contact_probability FROM
-   (SELECT system, replicate, COUNT(*) FILTER (species = 'MED1') AS den FROM nodes GROUP BY ALL) s CROSS JOIN (SELECT UNNEST(RANGE(0, 200)) AS r) k
-   LEFT JOIN (SELECT system, replicate, xr, COUNT(*) AS h FROM (SELECT DISTINCT system, replicate, frame, xm, xr FROM om) GROUP BY ALL) c
-     ON c.system = s.system AND c.replicate = s.replicate AND c.xr = r WHERE den > 0),
+sides AS MATERIALIZED (SELECT system, replicate, frame, species_i AS side, molecule_i AS m, residue_i AS r, species_j AS partner FROM pairs WHERE d < 1.2 AND species_i <> species_j
+   UNION ALL SELECT system, replicate, frame, species_j, molecule_j, residue_j, species_i FROM pairs WHERE d < 1.2 AND species_i <> species_j),
+profile AS (SELECT s.system, s.replicate, p.side, p.partner, k.r + 1 AS residue_index, COALESCE(h, 0) / den AS contact_probability FROM
+   (VALUES ('MED1', 'OCT4', 200), ('OCT4', 'MED1', 60), ('MED1', 'DNA', 200), ('OCT4', 'DNA', 60)) p(side, partner, n)
+   JOIN (SELECT system, replicate, species, COUNT(*) AS den FROM nodes GROUP BY ALL) s ON s.species = p.side
+   JOIN (SELECT UNNEST(RANGE(0, 200)) AS r) k ON k.r < p.n
+   LEFT JOIN (SELECT system, replicate, side, partner, r, COUNT(*) AS h FROM (SELECT DISTINCT system, replicate, frame, side, partner, m, r FROM sides) GROUP BY ALL) c
+     ON c.system = s.system AND c.replicate = s.replicate AND c.side = p.side AND c.partner = p.partner AND c.r = k.r),
 """
 )
 
 
-def med1_profile(t: Tables) -> DataFrame:
-    c = profiles.directed_contacts(primary(t), KEYS, COLUMNS, "MED1", "OCT4")
-    return profiles.residue_profile(c, chain_frames(t, "MED1"), TRAJ, "frame", roles.MED1_RESIDUES, "x_molecule", "x_residue")
+def site_profiles(t: Tables) -> DataFrame:
+    """Contact profiles of all four sides."""
+    out = None
+    for side, partner in PROFILES:
+        c = profiles.directed_contacts(primary(t), KEYS, COLUMNS, side, partner)
+        part = profiles.residue_profile(c, chain_frames(t, side).where("denominator > 0"), TRAJ, "frame", RESIDUES[side], "x_molecule", "x_residue")
+        part = part.withColumn("side", F.lit(side)).withColumn("partner", F.lit(partner))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
     "a9_residue_profile",
-    "system:s residue_index:i contact_probability_mean:f9 contact_probability_sd:f9 contact_probability_n:i",
-    """SELECT system, residue_index, AVG(contact_probability) AS contact_probability_mean, STDDEV_SAMP(contact_probability) AS contact_probability_sd,
+    "system:s side:s partner:s residue_index:i contact_probability_mean:f9 contact_probability_sd:f9 contact_probability_n:i",
+    """SELECT system, side, partner, residue_index, AVG(contact_probability) AS contact_probability_mean, STDDEV_SAMP(contact_probability) AS contact_probability_sd,
          COUNT(*) AS contact_probability_n FROM profile GROUP BY ALL""",
     PROFILE_SQL,
 )
 def a9_residue_profile(t: Tables) -> DataFrame:
-    """Dense contact profile over residues, then mean and SD over trajectories."""
-    return statistics.two_level_stats(med1_profile(t), ["system", "residue_index"], ["contact_probability"])
+    """Dense contact profiles over residues, then mean and SD over trajectories."""
+    return statistics.two_level_stats(site_profiles(t), ["system", "side", "partner", "residue_index"], ["contact_probability"])
 
 
 @query(
     "p23_unfragmented_profile",
-    "system:s residue_index:i low:f9 high:f9 rank:i",
-    """SELECT system, residue_index, GREATEST(m - s, 0) AS low, m + s AS high, rank FROM (
-         SELECT *, ROW_NUMBER() OVER (PARTITION BY system ORDER BY ROUND(m, 12) DESC, residue_index) AS rank FROM (
-           SELECT system, residue_index, 2 * AVG(contact_probability) AS m, 2 * STDDEV_SAMP(contact_probability) AS s FROM profile GROUP BY ALL)) WHERE rank <= 10""",
+    "system:s side:s partner:s residue_index:i low:f9 high:f9 rank:i",
+    """SELECT system, side, partner, residue_index, GREATEST(m - s, 0) AS low, m + s AS high, rank FROM (
+         SELECT *, ROW_NUMBER() OVER (PARTITION BY system, side, partner ORDER BY ROUND(m, 12) DESC, residue_index) AS rank FROM (
+           SELECT system, side, partner, residue_index, f * am AS m, f * asd AS s FROM (
+             SELECT system, side, partner, residue_index, CASE WHEN side = 'MED1' THEN 2 ELSE 1 END AS f, AVG(contact_probability) AS am, STDDEV_SAMP(contact_probability) AS asd
+             FROM profile GROUP BY system, side, partner, residue_index))) WHERE rank <= 10""",
     PROFILE_SQL,
 )
 def p23_unfragmented_profile(t: Tables) -> DataFrame:
-    """Per-chain profile to per-residue probability, SD band with floor 0, top ten residues."""
-    g = statistics.two_level_stats(med1_profile(t), ["system", "residue_index"], ["contact_probability"])
-    g = g.withColumn("side", F.lit("MED1")).withColumn("fragments", F.lit(2))
+    """Per-chain profiles to per-residue probability, SD band with floor 0, top ten residues."""
+    g = statistics.two_level_stats(site_profiles(t), ["system", "side", "partner", "residue_index"], ["contact_probability"])
+    g = g.withColumn("fragments", F.lit(2))
     m, s = (S.undo_fragments(f"contact_probability_{k}", "side", "fragments") for k in ("mean", "sd"))
     g = g.withColumn("low", F.greatest(m - s, F.lit(0.0))).withColumn("high", m + s).withColumn("_rank", F.round(m, 12))
-    return selection.top_k(g, ["system"], "_rank", ["residue_index"])
+    return selection.top_k(g, ["system", "side", "partner"], "_rank", ["residue_index"])
 
 
 @query(
@@ -118,6 +135,26 @@ def a10_contact_map_od(t: Tables) -> DataFrame:
     return profiles.contact_map(c, chain_frames(t, "OCT4"), TRAJ, ["frame", "x_molecule"], 3, 4)
 
 
+@query(
+    "a10_contact_map_md",
+    "system:s replicate:s x_bin:i y_bin:i contact_probability:f9",
+    """SELECT s.system, s.replicate, x AS x_bin, y AS y_bin, COALESCE(h, 0) / den AS contact_probability FROM
+         (SELECT system, replicate, COUNT(*) FILTER (species = 'MED1') AS den FROM nodes GROUP BY ALL) s CROSS JOIN (SELECT UNNEST(RANGE(0, 4)) AS x) CROSS JOIN (SELECT UNNEST(RANGE(0, 4)) AS y)
+         LEFT JOIN (SELECT system, replicate, xb, yb, COUNT(*) AS h FROM (SELECT DISTINCT system, replicate, frame, xm, xr // 50 AS xb, LEAST(yr, 79 - yr) // 10 AS yb FROM md) GROUP BY ALL) c
+           ON c.system = s.system AND c.replicate = s.replicate AND c.xb = x AND c.yb = y""",
+    CONTACT_SQL
+    + """
+md AS MATERIALIZED (SELECT system, replicate, frame, molecule_i AS xm, residue_i AS xr, residue_j AS yr FROM pairs WHERE d < 1.2 AND species_i = 'MED1' AND species_j = 'DNA'
+   UNION ALL SELECT system, replicate, frame, molecule_j, residue_j, residue_i FROM pairs WHERE d < 1.2 AND species_i = 'DNA' AND species_j = 'MED1'),
+""",
+)
+def a10_contact_map_md(t: Tables) -> DataFrame:
+    """Contact map of the other species against base-pair bins of the anchor."""
+    c = profiles.directed_contacts(primary(t), KEYS, COLUMNS, "MED1", "DNA")
+    c = c.withColumn("x_bin", S.int_div("x_residue", 50)).withColumn("y_bin", S.int_div(S.base_pair_index("y_residue", roles.DNA_BEADS), 10))
+    return profiles.contact_map(c, chain_frames(t, "MED1"), TRAJ, ["frame", "x_molecule"], 4, 4)
+
+
 @query(
     "a18_anchor_coverage",
     f"{K} fraction_OCT4:f fraction_MED1:f fraction_any:f",
@@ -381,19 +418,19 @@ def p21_reverse_complement(t: Tables) -> DataFrame:
     "doc_id:i records:i first_name:s n_numbers:i",
     """SELECT doc_id, COUNT(*) AS records, ARG_MIN(name, k) AS first_name, COUNT(*) FILTER (regexp_full_match(seq, '[+-]?[0-9]+')) AS n_numbers FROM (
          SELECT doc_id, k, TRIM(SUBSTRING(line, 13, 4)) AS name, TRIM(SUBSTRING(line, 23, 4)) AS seq FROM (
-           SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, UNNEST(RANGE(LEN(string_split(text, chr(10))))) AS k FROM documents) WHERE LENGTH(line) > 6) GROUP BY ALL""",
+           SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, UNNEST(RANGE(LEN(string_split(text, chr(10))))) AS k FROM documents)) GROUP BY ALL""",
 )
 def s8_fixed_width_records(t: Tables) -> DataFrame:
     """Fixed-width fields of every line of whole texts; the first value per key in line order."""
-    lines = t.documents.selectExpr("doc_id", "posexplode(split(text, '\\n', -1)) AS (k, line)").where("length(line) > 6")
-    rec = lines.selectExpr("doc_id", "k", "trim(substring(line, 13, 4)) AS name", "trim(substring(line, 23, 4)) AS seq")
-    return rec.groupBy("doc_id").agg(F.count("*").alias("records"), F.min_by("name", "k").alias("first_name"), F.count_if(F.col("seq").rlike("^[+-]?[0-9]+$")).alias("n_numbers"))
+    lines = t.documents.selectExpr("doc_id", "posexplode(split(text, '\\n', -1)) AS (k, value)")
+    rec = tables.fixed_width_fields(lines, ["doc_id", "k"])
+    return rec.groupBy("doc_id").agg(F.count("*").alias("records"), F.min_by(F.coalesce("name", F.lit("")), "k").alias("first_name"), F.count("res_seq").alias("n_numbers"))
 
 
 @query("s12_content_digests", "page_id:i sha256:s bytes:i", "SELECT page_id, sha256(html) AS sha256, strlen(html) AS bytes FROM pages")
 def s12_content_digests(t: Tables) -> DataFrame:
     """Digest and size of whole contents."""
-    return t.pages.select("page_id", F.sha2("html", 256).alias("sha256"), F.octet_length("html").alias("bytes"))
+    return tables.content_digests(t.pages, ["page_id"], "html")
 
 
 @query(

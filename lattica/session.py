@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     return _local_folder(spark.sparkContext.applicationId)
 

@@ -101,17 +101,25 @@ def stored_indices(maps: DataFrame, requested: Sequence[int]) -> DataFrame:
     return wanted.join(stored, ["system", "replicate", "frame"], "left")
 
 
+# Field name -> (first column, width, type) of the Protein Data Bank's atom record.
+ATOM_FIELDS = {
+    "recname": (1, 6, "STRING"), "serial": (7, 5, "INT"), "name": (13, 4, "STRING"), "alt_loc": (17, 1, "STRING"), "res_name": (18, 3, "STRING"),
+    "chain": (22, 1, "STRING"), "res_seq": (23, 4, "INT"), "i_code": (27, 1, "STRING"), "x": (31, 8, "DOUBLE"), "y": (39, 8, "DOUBLE"), "z": (47, 8, "DOUBLE"),
+    "occupancy": (55, 6, "DOUBLE"), "temp_factor": (61, 6, "DOUBLE"), "element": (77, 2, "STRING"), "charge": (79, 2, "STRING"),
+}
+
+
+def fixed_width_fields(lines: DataFrame, keep: Sequence[str], value: str = "value", fields: dict[str, tuple[int, int, str]] = ATOM_FIELDS) -> DataFrame:
+    """Fields of fixed-width lines of any length, beside the columns to keep. A blank field, or one that isn't of its type,
+    is missing."""
+    columns = [f"try_cast(nullif(trim(substring({value}, {a}, {n})), '') AS {kind}) AS {name}" for name, (a, n, kind) in fields.items()]
+    return lines.selectExpr(*keep, *columns)
+
+
 def atom_records(spark: SparkSession, path: str) -> DataFrame:
     """Fixed-width atom records of many files (Protein Data Bank columns)."""
-    # Field name -> (first column, width, type) of the PDB format.
-    fields = {
-        "recname": (1, 6, "STRING"), "serial": (7, 5, "INT"), "name": (13, 4, "STRING"), "alt_loc": (17, 1, "STRING"), "res_name": (18, 3, "STRING"),
-        "chain": (22, 1, "STRING"), "res_seq": (23, 4, "INT"), "i_code": (27, 1, "STRING"), "x": (31, 8, "DOUBLE"), "y": (39, 8, "DOUBLE"), "z": (47, 8, "DOUBLE"),
-        "occupancy": (55, 6, "DOUBLE"), "temp_factor": (61, 6, "DOUBLE"), "element": (77, 2, "STRING"), "charge": (79, 2, "STRING"),
-    }
     lines = spark.read.text(path, recursiveFileLookup=True).where("startswith(value, 'ATOM  ') OR startswith(value, 'HETATM')")
-    columns = [f"CAST(nullif(trim(substring(value, {a}, {n})), '') AS {kind}) AS {name}" for name, (a, n, kind) in fields.items()]
-    out = lines.selectExpr("_metadata.file_path AS file", *columns)
+    out = fixed_width_fields(lines, ["_metadata.file_path AS file"])
     return out.fillna({"occupancy": 0.0, "temp_factor": 0.0, "element": "", "charge": ""})
 
 
@@ -121,11 +129,17 @@ def checksum_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("length(value) > 0").select(F.lower(parts[0]).alias("sha256"), F.regexp_replace(parts[1], r"^\*", "").alias("path"))
 
 
+def content_digests(rows: DataFrame, keep: Sequence[str], content: str = "content") -> DataFrame:
+    """SHA-256 and size in bytes of each row's whole content, beside the columns to keep."""
+    return rows.select(*keep, F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("bytes"))
+
+
 def file_digests(spark: SparkSession, root: str) -> DataFrame:
-    """Digest of every whole file below ``root``, by path relative to it."""
+    """Digest of every whole file below ``root``, by path relative to it. A file is one value, so 2 GiB is the most it may
+    have; larger trajectories are verified by the digests of their parts."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.regexp_extract("path", re.escape(root.rstrip("/")) + "/(.*)$", 1)
-    return files.select(relative.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return content_digests(files.withColumn("path", relative), ["path"])
 
 
 def result_table(spark: SparkSession, path: str, ddl: str, kind: str = "parquet") -> DataFrame:
