@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.constants import MASK_BOUNDARIES
 from lattica.functions.scalars import base_pair_index, int_div, odds_ratio, ratio
-from lattica.operators import graph, spatial, statistics
+from lattica.operators import graph, quality, spatial, statistics
 from lattica.plans import roles
 from lattica.plans.registry import Tables, query
 from lattica.session import materialise
@@ -509,14 +509,16 @@ def g14_indirect_associates(t: Tables) -> DataFrame:
         UNION ALL SELECT {KEY_SQL}, 'dna_neighborhood', COUNT(DISTINCT node) FROM
           (SELECT system, replicate, b.frame, b.node FROM bound b JOIN nodes USING (frame, node)
            UNION ALL SELECT {KEY_SQL}, node FROM nodes WHERE species = 'DNA') GROUP BY ALL
-        UNION ALL SELECT {KEY_SQL}, 'full', COUNT(*) FROM nodes GROUP BY ALL""",
-    INDIRECT_SQL,
+        UNION ALL SELECT {KEY_SQL}, 'full', COUNT(*) FROM nodes GROUP BY ALL
+        UNION ALL SELECT {KEY_SQL}, 'dna_linked', COUNT(*) FROM (SELECT {KEY_SQL}, node FROM hops UNION ALL SELECT {KEY_SQL}, node FROM nodes WHERE species = 'DNA') GROUP BY ALL
+        UNION ALL SELECT {KEY_SQL}, 'largest_component', MAX(size) FROM (SELECT {KEY_SQL}, label, COUNT(*) AS size FROM pcomp GROUP BY ALL) GROUP BY {KEY_SQL}""",
+    HOPS_SQL + INDIRECT_SQL.removeprefix(EDGES_SQL) + PROTEIN_SQL.removeprefix(EDGES_SQL),
 )
 def g16_node_selection(t: Tables) -> DataFrame:
     """Size of each node selection."""
     e, n = materialise(roles.edges(t), "edges"), roles.nodes(t)
     out = None
-    for mode in ("dna_associated", "dna_neighborhood", "full"):
+    for mode in ("dna_associated", "dna_neighborhood", "dna_linked", "full", "largest_component"):
         part = graph.select_nodes(mode, e, n, KEYS).groupBy(*KEYS).agg(F.count("*").alias("nodes")).withColumn("mode", F.lit(mode))
         out = part if out is None else out.unionByName(part)
     return out
@@ -568,12 +570,15 @@ def touches(t: Tables, p: DataFrame | None = None) -> DataFrame:
     return dna.select(*KEYS, "node", int_div(base_pair_index("r", roles.DNA_BEADS), 4).alias("window")).distinct()
 
 
-def local_repeat(t: Tables) -> DataFrame:
+def binding(t: Tables) -> DataFrame:
     p = roles.stored_pairs(t)
     proteins = roles.nodes(t).where("species <> 'DNA'")
     e = graph.node_pairs(p.where("species_i <> 'DNA' AND species_j <> 'DNA'"), KEYS, "molecule_i", "molecule_j")
-    per = graph.binding_categories(e, proteins, touches(t, p), KEYS)
-    return per.groupBy("system", "replicate", "binding_category").agg(F.sum("edges").alias("edges"), F.sum("opportunities").alias("opportunities"))
+    return graph.binding_categories(e, proteins, touches(t, p), KEYS)
+
+
+def local_repeat(t: Tables) -> DataFrame:
+    return binding(t).groupBy("system", "replicate", "binding_category").agg(F.sum("edges").alias("edges"), F.sum("opportunities").alias("opportunities"))
 
 
 @query("j7_shared_window_edges", f"{K} lo:i hi:i shared_window:b",
@@ -628,3 +633,31 @@ def a21_odds_ratio(t: Tables) -> DataFrame:
     )
     repeat = wide.withColumn("log2_odds_ratio", F.log2(odds_ratio("a", "b", "c", "d")))
     return statistics.two_level_stats(repeat, ["system"], ["log2_odds_ratio"]).withColumn("geometric_mean_odds_ratio", F.pow(F.lit(2.0), "log2_odds_ratio_mean"))
+
+
+@query(
+    "v3_conservation_ledger",
+    "check:s value:s required:s passed:b",
+    """SELECT 'degree sum is twice the edges' AS "check", CAST(MAX(ABS(k - 2 * e)) AS VARCHAR) AS value, '<= 0' AS required, MAX(ABS(k - 2 * e)) <= 0 AS passed FROM
+         (SELECT frame, SUM(degree)::BIGINT AS k FROM deg GROUP BY ALL) JOIN (SELECT frame, COUNT(*) AS e FROM edges GROUP BY ALL) USING (frame)
+       UNION ALL SELECT 'binding categories hold all pairs', CAST(ROUND(MAX(ABS(o - n * (n - 1) / 2)), 9) AS VARCHAR), '<= 1e-06', MAX(ABS(o - n * (n - 1) / 2)) <= 0.000001 FROM
+         (SELECT frame, COUNT(*)::DOUBLE AS o FROM cats GROUP BY ALL) JOIN (SELECT frame, COUNT(*)::DOUBLE AS n FROM nodes WHERE species <> 'DNA' GROUP BY ALL) USING (frame)
+       UNION ALL SELECT 'hop classes add up to the linked', CAST(ROUND(MAX(ABS(a - b)), 9) AS VARCHAR), '<= 1e-06', MAX(ABS(a - b)) <= 0.000001 FROM
+         (SELECT h.frame, COUNT(*)::DOUBLE / MAX(n) AS a, (COUNT(*) FILTER (hop = 'direct') + COUNT(*) FILTER (hop = 'second') + COUNT(*) FILTER (hop = 'third_plus'))::DOUBLE / MAX(n) AS b
+          FROM hops h JOIN (SELECT frame, COUNT(*) AS n FROM nodes WHERE species <> 'DNA' GROUP BY ALL) USING (frame) GROUP BY ALL)""",
+    HOPS_SQL + DEGREE_SQL.removeprefix(EDGES_SQL) + WINDOW_SQL.removeprefix(EDGES_SQL),
+)
+def v3_conservation_ledger(t: Tables) -> DataFrame:
+    """V3, V7: degrees add up to twice the edges, categories to all pairs, hop classes to the linked proteins."""
+    e, n = materialise(roles.edges(t), "edges"), roles.nodes(t)
+    ends = graph.degrees(e, n, KEYS).groupBy(*KEYS).agg(F.sum("degree").alias("k")).join(e.groupBy(*KEYS).agg(F.count("*").alias("e")), KEYS)
+    proteins = n.where("species <> 'DNA'")
+    possible = binding(t).groupBy(*KEYS).agg(F.sum("opportunities").alias("o")).join(proteins.groupBy(*KEYS).agg(F.count("*").cast("double").alias("n")), KEYS)
+    hops = graph.hop_fractions(graph.hop_classes(e, n, KEYS), n, KEYS).groupBy(*KEYS).agg(
+        F.sum(F.when(F.col("hop_class") == "linked", F.col("physical_fraction"))).alias("a"), F.sum(F.when(F.col("hop_class") != "linked", F.col("physical_fraction"))).alias("b")
+    )
+    return quality.ledger(
+        quality.max_gap(ends, "degree sum is twice the edges", F.col("k"), 2 * F.col("e"), 0),
+        quality.max_gap(possible, "binding categories hold all pairs", F.col("o"), F.col("n") * (F.col("n") - 1) / 2, 1e-6),
+        quality.max_gap(hops, "hop classes add up to the linked", F.col("a"), F.col("b"), 1e-6),
+    )
