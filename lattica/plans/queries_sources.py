@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lattica.operators import graph, placement, polymer, quality
 from lattica.plans import roles
-from lattica.plans.queries_sequences import chains
+from lattica.plans.queries_sequences import WHOLE_SQL, chains
 from lattica.plans.queries_statistics import FRAMES_SQL, frames
 from lattica.plans.registry import Tables, query
-from lattica.plans.roles import BOX, EDGES_SQL, KEYS
+from lattica.plans.roles import BEADS_SQL, BOX, EDGES_SQL, KEYS, components_sql
 from lattica.session import materialise, shared_folder
 from lattica.sources import tables as sources
 from lattica.streaming import incremental, monitor
@@ -95,7 +95,38 @@ def v12_design_counts(t: Tables) -> DataFrame:
     return design.join(n, "l_orderkey", "left").fillna({"observed": 0}).where("observed <> expected")
 
 
-@query("g15_component_placement", f"{K} broken:i contacts:i")
+G15_SQL = (
+    EDGES_SQL
+    + WHOLE_SQL.removeprefix(BEADS_SQL)
+    + """
+anc AS (SELECT system, replicate, frame, lo, hi, bl, bh FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY frame, lo, hi ORDER BY d, bl, bh) AS k FROM (
+   SELECT system, replicate, frame, LEAST(molecule_i, molecule_j) AS lo, GREATEST(molecule_i, molecule_j) AS hi, d,
+     CASE WHEN molecule_i > molecule_j THEN j ELSE i END AS bl, CASE WHEN molecule_i > molecule_j THEN i ELSE j END AS bh FROM pairs WHERE d < 1.2 AND molecule_i <> molecule_j)) WHERE k = 1),
+steps AS MATERIALIZED (SELECT a.system, a.replicate, a.frame, a.lo, a.hi, """
+    + ", ".join(f"CAST(ROUND_EVEN((h.u{a} - l.u{a}) / CAST(20.0 AS DOUBLE), 0) AS INT) AS s{a}" for a in "xyz")
+    + """ FROM anc a JOIN whole l ON l.frame = a.frame AND l.bead = a.bl JOIN whole h ON h.frame = a.frame AND h.bead = a.bh),
+"""
+    + components_sql("steps", "nodes", "scomp")
+    + """
+walk AS MATERIALIZED (SELECT frame, lo AS a, hi AS b, sx, sy, sz FROM steps UNION ALL SELECT frame, hi, lo, -sx, -sy, -sz FROM steps),
+lev AS (SELECT frame, node, 0 AS l FROM scomp WHERE node = label UNION SELECT w.frame, w.b, v.l + 1 FROM lev v JOIN walk w ON w.frame = v.frame AND w.a = v.node WHERE v.l < 25),
+near AS MATERIALIZED (SELECT frame, node, MIN(l) AS l FROM lev GROUP BY ALL),
+par AS MATERIALIZED (SELECT w.frame, w.b AS node, MIN(w.a) AS a FROM walk w JOIN near x ON x.frame = w.frame AND x.node = w.a JOIN near y ON y.frame = w.frame AND y.node = w.b
+   WHERE x.l = y.l - 1 GROUP BY ALL),
+placed AS (SELECT frame, node, 0 AS nx, 0 AS ny, 0 AS nz FROM near WHERE l = 0
+   UNION ALL SELECT p.frame, p.node, q.nx - w.sx, q.ny - w.sy, q.nz - w.sz FROM placed q JOIN par p ON p.frame = q.frame AND p.a = q.node
+     JOIN walk w ON w.frame = p.frame AND w.a = p.a AND w.b = p.node),
+"""
+)
+
+
+@query(
+    "g15_component_placement",
+    f"{K} broken:i contacts:i",
+    """SELECT s.system, s.replicate, s.frame, COUNT(*) FILTER (NOT (h.nx + s.sx = l.nx AND h.ny + s.sy = l.ny AND h.nz + s.sz = l.nz)) AS broken, COUNT(*) AS contacts
+       FROM steps s JOIN placed l ON l.frame = s.frame AND l.node = s.lo JOIN placed h ON h.frame = s.frame AND h.node = s.hi GROUP BY ALL""",
+    G15_SQL,
+)
 def g15_component_placement(t: Tables) -> DataFrame:
     """Chains moved next to their contact partners; contacts that still cross the box are counted."""
     p = roles.stored_pairs(t)
