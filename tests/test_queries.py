@@ -3,6 +3,10 @@
 ``check.py`` compares every registered query; here a selection of each kind keeps the suite short.
 """
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +47,16 @@ def test_every_oracle_has_a_query():
     assert len(entry.queries()) > 100
 
 
+def test_entry_without_the_pipeline_operators():
+    """The other queries are there when the subpackage is not, and any other import error shows."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = "import sys; sys.path.insert(0, {!r}); sys.modules[{!r}] = None; import __spark_entry__ as e; print(sum(k.startswith('op') or k == 'pipeline' for k in e.queries()), len(e.queries()))"
+    run = lambda name: subprocess.run([sys.executable, "-c", code.format(root, name)], capture_output=True, text=True)
+    own, all_queries = map(int, run("lattica.llm").stdout.split())
+    assert own == 0 and all_queries > 100
+    assert run("lattica.operators.graph").returncode != 0
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["system", "cutoff_nm", "largest_cluster_fraction_mean", "largest_cluster_fraction_sd", "largest_cluster_fraction_n"]
