@@ -78,6 +78,14 @@ def linear_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0
     return found.join(spread.select(*keys, "h"), keys).select(*keys, (F.col("_a") + share * (F.col("_b") - F.col("_a"))).alias(out))
 
 
+def medians(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Median of every metric (columns of the same names) per key: one quantile over all metrics in long form."""
+    keys = list(keys)
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")).select(*keys, "_m.*")
+    found = linear_quantile(long, [*keys, "metric"], "value", 0.5)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.col("quantile"))).alias(m) for m in metrics])
+
+
 def distance_summary(df: DataFrame, keys: Sequence[str], value: str = "distance", weight: str | None = None, q: float = 0.9, prefix: str = "") -> DataFrame:
     """Count, total weight, weighted mean and step quantile of the distances of every group."""
     keys = list(keys)

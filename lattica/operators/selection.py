@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica import constants as C
-from lattica.operators.quantiles import linear_quantile
+from lattica.operators.quantiles import linear_quantile, medians
 
 
 def ordered_by(df: DataFrame, order: dict[str, Sequence[str]], tie: Sequence[str] = ()) -> DataFrame:
@@ -32,10 +32,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def _centres(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    out = df.groupBy(*keys).agg(*[F.greatest(F.coalesce(F.stddev_samp(m), F.lit(0.0)), F.lit(C.SCALE_FLOOR)).alias(f"_s_{m}") for m in metrics])
-    for m in metrics:
-        out = out.join(linear_quantile(df, keys, m, 0.5, out=f"_m_{m}"), list(keys))
-    return out
+    scales = df.groupBy(*keys).agg(*[F.greatest(F.coalesce(F.stddev_samp(m), F.lit(0.0)), F.lit(C.SCALE_FLOOR)).alias(f"_s_{m}") for m in metrics])
+    return scales.join(medians(df, keys, metrics).select(*keys, *[F.col(m).alias(f"_m_{m}") for m in metrics]), list(keys))
 
 
 def _deviation(metrics: Sequence[str]):

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.functions import scalars as S
-from lattica.operators import contrasts, graph, histograms, profiles, quantiles, selection, statistics
+from lattica.operators import contrasts, graph, histograms, polymer, profiles, quantiles, selection, spatial, statistics
 from lattica.plans import roles
 from lattica.plans.queries_graph import NEAREST_SQL, nearest
+from lattica.plans.queries_sequences import WHOLE_SQL, chains
 from lattica.plans.registry import Tables, query
 from lattica.session import materialise
 from lattica.sources import tables
@@ -287,6 +288,52 @@ def a16_distance_summary(t: Tables) -> DataFrame:
     return quantiles.distance_summary(materialise(nearest(t), "distances").withColumn("w", 1 + F.col("molecule") % 4), [*KEYS, "species"], weight="w")
 
 
+SCOPE_SQL = (
+    NEAREST_SQL
+    + WHOLE_SQL.removeprefix(BEADS_SQL)
+    + """
+centres AS MATERIALIZED (SELECT system, replicate, frame, 'chain_centre' AS scope, species, molecule AS id, AVG(ux) AS x, AVG(uy) AS y, AVG(uz) AS z FROM whole WHERE species <> 'DNA' GROUP BY ALL
+   UNION ALL SELECT system, replicate, frame, 'block_centre', species, block, AVG(ux), AVG(uy), AVG(uz) FROM whole WHERE species <> 'DNA' GROUP BY ALL),
+cdist AS MATERIALIZED (SELECT c.system, c.replicate, c.frame, c.scope, c.species, c.id, MIN(SQRT("""
+    + " + ".join(f"POWER(c.{a} - b.{a} - 20.0 * ROUND_EVEN(CAST((c.{a} - b.{a}) / 20.0 AS DOUBLE), 0), 2)" for a in "xyz")
+    + """)) AS distance FROM centres c JOIN beads b ON b.frame = c.frame AND b.species = 'DNA' GROUP BY ALL),
+scoped AS (SELECT system, replicate, frame, 'bead' AS scope, species, distance, 1.0::DOUBLE AS w FROM nearest
+   UNION ALL SELECT system, replicate, frame, 'parent_weighted_bead', species, distance, 1.0::DOUBLE / COUNT(*) OVER (PARTITION BY frame, parent) FROM nearest
+   UNION ALL SELECT system, replicate, frame, scope, species, distance, 1.0::DOUBLE FROM cdist),
+scope_type AS MATERIALIZED (SELECT *, 'all' AS protein_type FROM scoped UNION ALL SELECT *, species AS protein_type FROM scoped),
+"""
+)
+
+
+def centre_distances(t: Tables) -> DataFrame:
+    """Distance of every chain's and every block's centre to the nearest anchor bead of its frame."""
+    whole = polymer.unwrap_chain(chains(t), [*KEYS, "molecule"], "pos", roles.BOX).where("species <> 'DNA'")
+    kinds = F.explode(F.array(F.struct(F.lit("chain_centre").alias("scope"), F.col("molecule").alias("id")), F.struct(F.lit("block_centre").alias("scope"), F.col("block").alias("id"))))
+    each = whole.select(*KEYS, "species", "ux", "uy", "uz", kinds.alias("_k")).select(*KEYS, "species", "ux", "uy", "uz", "_k.*")
+    centres = each.groupBy(*KEYS, "species", "scope", "id").agg(*[F.avg(f"u{a}").alias(a) for a in "xyz"])
+    return spatial.nearest_target_distance(
+        centres.withColumn("bead", F.struct("scope", "id")), roles.beads(t).where("species = 'DNA'"), KEYS, roles.BOX, carry=["species"]
+    ).select(*KEYS, "bead.scope", "species", "distance")
+
+
+@query(
+    "a14_scope_summary",
+    f"{K} scope:s protein_type:s count:i total_weight:f mean_nm:f q90_nm:f",
+    """SELECT a.*, b.q90_nm FROM (SELECT system, replicate, frame, scope, protein_type, COUNT(*) AS count, SUM(w) AS total_weight, SUM(distance * w) / SUM(w) AS mean_nm FROM scope_type GROUP BY ALL) a JOIN
+         (SELECT frame, scope, protein_type, MIN(distance) AS q90_nm FROM (SELECT *, SUM(w) OVER (PARTITION BY frame, scope, protein_type ORDER BY distance) AS c,
+            SUM(w) OVER (PARTITION BY frame, scope, protein_type) AS tot FROM scope_type) WHERE c >= CAST(0.9 AS DOUBLE) * tot * (1 - 1e-12) GROUP BY ALL) b USING (frame, scope, protein_type)""",
+    SCOPE_SQL,
+)
+def a14_scope_summary(t: Tables) -> DataFrame:
+    """Distances of beads, parent-weighted beads, chain centres and block centres, for all proteins and each species."""
+    beads = nearest(t)
+    plain = beads.select(*KEYS, F.lit("bead").alias("scope"), "species", "distance", F.lit(1.0).alias("weight"))
+    weighted = quantiles.parent_weights(beads, KEYS).select(*KEYS, F.lit("parent_weighted_bead").alias("scope"), "species", "distance", "weight")
+    scoped = plain.unionByName(weighted).unionByName(centre_distances(t).withColumn("weight", F.lit(1.0)))
+    typed = materialise(scoped.withColumn("protein_type", F.explode(F.array(F.lit("all"), F.col("species")))).drop("species"), "scopes")
+    return quantiles.distance_summary(typed, [*KEYS, "scope", "protein_type"], weight="weight")
+
+
 @query(
     "v7_histogram_additivity",
     "system:s replicate:s gap:i last:f",

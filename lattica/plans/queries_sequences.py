@@ -23,7 +23,7 @@ K = "system:s replicate:s frame:i"
 
 
 def chains(t: Tables) -> DataFrame:
-    b = roles.beads(t).selectExpr(*KEYS, "bead", "x", "y", "z", "molecule", "species", "residue", "bead div 35184372088832 AS _block")
+    b = roles.beads(t).selectExpr(*KEYS, "bead", "x", "y", "z", "molecule", "species", "residue", "block", "bead div 35184372088832 AS _block")
     return sequences.dense_position(b, [*KEYS, "molecule"], ["bead"], "_block").drop("_block")
 
 
