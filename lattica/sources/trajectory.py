@@ -1,4 +1,7 @@
-"""Binary trajectories (DCD) as a Spark data source: one task per file and range of frames.
+"""Binary trajectories (DCD) as a Spark data source: one task per file and range of wanted frames.
+
+A file that stores selected frames only has a frame map beside it (``trajectory_frames.json``); its records then carry the
+original frame numbers. Files are opened by path, so the folder must be mounted on the driver and the executors.
 
 Register with ``spark.dataSource.register(TrajectoryDataSource)`` and read with
 ``spark.read.format("dcd").option("path", folder).load()``. Options: ``frames`` (``first:last:step``, one-based and
@@ -8,15 +11,32 @@ inclusive; only those frames are read), ``frames_per_task`` and ``angstrom`` (``
 from __future__ import annotations
 
 import glob
+import json
 import os
 import struct
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lattica.constants import FRAME_MAP_NAME
+
 
 class FrameRange(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    """Stored records of one file with their original frame numbers."""
+
+    def __init__(self, path: str, records: list[tuple[int, int]]):
+        self.path, self.records = path, records
+
+
+def original_frames(path: str, stored: int):
+    """Frame number of each stored record: by the map beside the file, or counted from 1."""
+    beside = os.path.join(os.path.dirname(path), FRAME_MAP_NAME)
+    if not os.path.exists(beside):
+        return range(1, stored + 1)
+    with open(beside) as f:
+        frames = json.load(f)["source_frames_one_based"]
+    if len(frames) != stored or sorted(set(frames)) != frames:
+        raise ValueError(f"{beside}: frames must be sorted, unique and as many as the {stored} stored records")
+    return frames
 
 
 def header(path: str) -> dict[str, int]:
@@ -43,11 +63,17 @@ class TrajectoryReader(DataSourceReader):
         self.scale = 0.1 if options.get("angstrom", "true") == "true" else 1.0
         self.wanted = tuple(int(v) for v in options["frames"].split(":")) if "frames" in options else None
 
+    def _wanted(self, frame: int) -> bool:
+        if not self.wanted:
+            return True
+        first, last, step = self.wanted
+        return first <= frame <= last and (frame - first) % step == 0
+
     def partitions(self):
         out = []
         for path in sorted(glob.glob(os.path.join(self.root, "**", "*.dcd"), recursive=True)):
-            frames = header(path)["frames"]
-            out += [FrameRange(path, lo, min(lo + self.per_task, frames)) for lo in range(0, frames, self.per_task)]
+            records = [(i, f) for i, f in enumerate(original_frames(path, header(path)["frames"])) if self._wanted(f)]
+            out += [FrameRange(path, records[lo : lo + self.per_task]) for lo in range(0, len(records), self.per_task)]
         return out
 
     def read(self, partition: FrameRange):
@@ -58,18 +84,13 @@ class TrajectoryReader(DataSourceReader):
         replicate, system = partition.path.split(os.sep)[-3:-1]
         n = h["atoms"]
         with open(partition.path, "rb") as f:
-            for index in range(partition.first, partition.last):
-                frame = index + 1
-                if self.wanted:
-                    lo, hi, step = self.wanted
-                    if frame < lo or frame > hi or (frame - lo) % step:
-                        continue
+            for index, frame in partition.records:
                 f.seek(h["start"] + index * h["bytes"] + h["cell"])
                 raw = np.frombuffer(f.read(3 * (4 * n + 8)), dtype="<f4").reshape(3, n + 2)[:, 1:-1] * np.float32(self.scale)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([system] * n),
-                        pa.array([replicate] * n),
+                        pa.repeat(system, n),
+                        pa.repeat(replicate, n),
                         pa.array(np.full(n, frame, dtype=np.int32)),
                         pa.array(np.arange(n, dtype=np.int32)),
                         *[pa.array(axis) for axis in raw],

@@ -1,6 +1,7 @@
 """Operators against hand-computed answers and brute force."""
 
 import itertools
+import json
 import struct
 
 import numpy as np
@@ -354,6 +355,13 @@ def test_trajectory_source(spark, tmp_path):
     rows = {(r.frame, r.bead): (r.x, r.y, r.z) for r in df.collect()}
     assert {f for f, _ in rows} == {2, 4, 6} and df.first().system == "sys" and df.first().replicate == "work"
     assert np.allclose(rows[(4, 1)], frames[3, 1] / 10)
+    (folder / "trajectory_frames.json").write_text(json.dumps({"source_frames_one_based": [1, 5, 9, 13, 17, 21, 25]}))
+    df = spark.read.format("dcd").option("path", str(tmp_path)).option("frames", "5:21:8").option("frames_per_task", "2").load()
+    rows = {(r.frame, r.bead): (r.x, r.y, r.z) for r in df.collect()}
+    assert {f for f, _ in rows} == {5, 13, 21} and np.allclose(rows[(13, 1)], frames[3, 1] / 10)
+    (folder / "trajectory_frames.json").write_text(json.dumps({"source_frames_one_based": [1, 5]}))
+    with pytest.raises(Exception, match="stored records"):
+        spark.read.format("dcd").option("path", str(tmp_path)).load().collect()
 
 
 def test_file_sources(spark, tmp_path):
