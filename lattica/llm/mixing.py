@@ -104,9 +104,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, columns: Sequence[str], **options) -> DataFrame:
     """The documents of the mix, whole: a row for every service that is taken by at least half, with ``columns``.
 
-    Only the one document of a source that meets its target is rounded; a document without words is served once.
+    Only the one document of a source that meets its target is rounded; a document without words is served once. The queue
+    runs on sizes and hashes; texts move once, to meet their number of services. Rows that are equal in all ``columns``
+    share theirs.
     """
-    line = queue(docs, keep=[c for c in columns if c != "doc_id"], **options)
-    services = line.groupBy("row", "copy").agg(*[F.first(c).alias(c) for c in columns], F.first("size").alias("row_size"), F.sum("taken").alias("taken"))
-    served = F.when(F.col("row_size") == 0, F.col("copy") == 0).otherwise(F.col("taken") * 2 >= F.col("row_size"))
-    return services.where(served).select(*columns)
+    keys = ["_mix_a", "_mix_b"]
+    own = docs.select(*columns).withColumn("_mix_a", F.xxhash64(*columns)).withColumn("_mix_b", F.xxhash64(F.lit(1), *columns))
+    line = queue(own, keep=keys, **options)
+    copies = line.groupBy("row", "copy").agg(*[F.first(c).alias(c) for c in (*keys, "size")], F.sum("taken").alias("taken"))
+    served = F.when(F.col("size") == 0, F.col("copy") == 0).otherwise(F.col("taken") * 2 >= F.col("size"))
+    each = copies.groupBy("row").agg(*[F.first(k).alias(k) for k in keys], F.count(F.when(served, 1)).alias("services"))
+    services = stored(each.groupBy(*keys).agg(F.sum("services").alias("_services"), F.count("*").alias("_rows")).where("_services > 0"), "mix-services")
+    found = own.join(services, keys)
+    rows = found.where("_rows = 1")
+    if not services.where("_rows > 1").isEmpty():
+        rows = rows.unionByName(found.where("_rows > 1").dropDuplicates(keys))
+    return rows.withColumn("_service", F.explode(F.sequence(F.lit(1), F.col("_services")))).select(*columns)

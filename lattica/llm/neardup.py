@@ -25,7 +25,7 @@ from lattica.llm.common import discard, stored, text_of
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
-CENTRES = 8  # texts of a bucket that the others are compared with in one round
+CENTRES = 3  # texts of a bucket that the others are compared with in one round
 ALIKE = 22  # equal samples, of BANDS * ROWS, that a pair needs to be verified; one of similarity 0.8 has fewer once in 100,000
 RARE, DAMPING = 0.01, 0.5
 WIDTH_BITS, DEPTH = 18, 2
