@@ -26,6 +26,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
 CENTRES = 3  # texts of a bucket that the others are compared with in one round
+BEST = 4  # pairs of a text with one other class that are verified before the rest
+BLOCK, ASKED = 512, 8192  # members of a bucket, and texts compared with them, in one task
 ALIKE = 22  # equal samples, of BANDS * ROWS, that a pair needs to be verified; one of similarity 0.8 has fewer once in 100,000
 RARE, DAMPING = 0.01, 0.5
 WIDTH_BITS, DEPTH = 18, 2
@@ -300,14 +302,60 @@ def merged_labels(links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def alike_pairs(cells: DataFrame, state: DataFrame, drawn: DataFrame) -> DataFrame:
+    """All pairs (key, other, estimate) of the buckets' texts in different classes with at least ALIKE equal samples.
+
+    Every text outside a bucket's largest class is compared with every other text of the bucket, so all pairs of different
+    classes are met and none within the largest. Buckets are cut into blocks of members and of texts that ask, and a task
+    compares the samples of one block of each; only pairs that pass leave it.
+    """
+    labelled = cells.select("bucket", "key").join(state.select("key", "label"), "key")
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("members"), F.max("n").alias("most"), F.count("*").alias("kinds"))
+    sizes = sizes.where("kinds > 1").select("bucket", "main", F.ceil(F.col("members") / BLOCK).alias("blocks"), F.ceil((F.col("members") - F.col("most")) / ASKED).alias("turns"))
+    rows = labelled.join(sizes, "bucket").join(drawn, "key")
+    own = F.xxhash64("key", "bucket")
+    members = rows.select("bucket", F.pmod(own, F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "key", "label", "samples", F.lit(False).alias("asks"))
+    asking = rows.where("label <> main")
+    asking = asking.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(own, F.col("turns")).alias("turn"), "key", "label", "samples", F.lit(True).alias("asks"))
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches))
+        keys, kinds = np.array(held.column("key").to_pylist(), object), np.array(held.column("label").to_pylist(), object)
+        kind = np.unique(kinds, return_inverse=True)[1]
+        drawn_ = np.array(held.column("samples").to_pylist(), np.int32).reshape(len(keys), BANDS * ROWS)
+        asks = held.column("asks").to_numpy()
+        known, asked = np.flatnonzero(~asks), np.flatnonzero(asks)
+        columns = np.ascontiguousarray(drawn_[known].T)
+        for i in asked:
+            equal = np.zeros(len(known), np.int16)
+            for column, value in zip(columns, drawn_[i]):
+                equal += column == value
+            near = np.flatnonzero((equal >= ALIKE) & (kind[known] != kind[i]))
+            if len(near):
+                other = keys[known[near]]
+                low = [min(keys[i], x) for x in other]
+                high = [max(keys[i], x) for x in other]
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(equal[near] / (BANDS * ROWS), pa.float64())], ["key", "other", "estimate"])
+
+    return members.union(asking).groupBy("bucket", "block", "turn").applyInArrow(run, "key binary, other binary, estimate double").dropDuplicates(["key", "other"])
+
+
+def across(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """Pairs whose texts are in different classes, with the labels u and v."""
+    named = pairs.join(state.select("key", F.col("label").alias("u")), "key").join(state.select(F.col("key").alias("other"), F.col("label").alias("v")), "other")
+    return named.where("u <> v")
+
+
 def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every row, and (key, label) of every key in a class of several texts.
 
-    In each bucket that holds texts of several classes, CENTRES texts serve as centres that all texts of other classes are
-    compared with, and then leave the bucket; so comparisons grow with the rows, and never all pairs of a bucket are made.
-    Centres are the texts that were most similar, on average, to those they were compared with so far: in a group of edited
-    copies those near the original. Rounds go on until nothing is left to compare or, after the first, a round brings no
-    link. Pairs whose samples differ too much to be similar aren't verified.
+    First, in each bucket that holds texts of several classes, CENTRES texts serve as centres that all texts of other classes
+    are compared with, and then leave the bucket. Centres are the texts that were most similar, on average, to those they were
+    compared with so far: in a group of edited copies those near the original. These rounds join large groups at little
+    cost and go on while they bring links. Then every bucket that is still mixed is finished: all its pairs of different
+    classes are compared, and those that are alike are verified, the best of each text and class first and then all that are
+    still in different classes. Pairs whose samples differ too much to be similar aren't verified.
     """
     spark = docs.sparkSession
     sketch, documents = frequencies(docs)
@@ -349,9 +397,6 @@ def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
         named = stored(named.where("u <> v").select("u", "v").distinct(), "dup-named")
         turn += 1
         found = not named.isEmpty()
-        if turn > 1 and not found:
-            discard(turns, centres, pairs, checked, named)
-            break
         estimates = pairs.select("key", "estimate").union(pairs.select("other", "estimate")).groupBy("key").agg(F.sum("estimate").alias("more"), F.count("*").alias("times"))
         linked = links.select("key").union(links.select("other")).groupBy("key").agg(F.count("*").alias("linked"))
         after = state.join(estimates, "key", "left").join(linked, "key", "left")
@@ -373,7 +418,34 @@ def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
         new = pairs.select("key", "other")
         tested = stored(new if tested is None else tested.union(new), "dup-tested")
         discard(*old)
-    discard(cells, drawn, texts, tested)
+        if turn > 1 and not found:
+            break
+    left = alike_pairs(cells, state, drawn)
+    left = stored(left if tested is None else left.join(tested, ["key", "other"], "left_anti"), "dup-left")
+    discard(cells, drawn, tested)
+    for last in (False, True):
+        due = across(left, state)
+        if not last:
+            ends = due.select("key", "other", "estimate", F.col("key").alias("own"), F.col("v").alias("to"))
+            ends = ends.union(due.select("key", "other", "estimate", F.col("other").alias("own"), F.col("u").alias("to")))
+            place = F.row_number().over(Window.partitionBy("own", "to").orderBy(F.desc("estimate"), "key", "other"))
+            due = ends.withColumn("place", place).where(F.col("place") <= BEST)
+        due = stored(due.select("key", "other").distinct(), "dup-due")
+        if due.isEmpty():
+            discard(due)
+            break
+        links = stored(verified(due, texts, weights).where(F.col("similarity") >= similarity).select("key", "other"), "dup-links")
+        named = stored(across(links, state).select("u", "v").distinct(), "dup-named")
+        old = [left, due, links, named]
+        left = stored(left.join(due, ["key", "other"], "left_anti"), "dup-left")
+        if not named.isEmpty():
+            merged = merged_labels(named, "dup")
+            linked = links.select("key").union(links.select("other")).groupBy("key").agg(F.count("*").alias("linked"))
+            after = state.join(linked, "key", "left").join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+            old += [state, merged]
+            state = stored(after.select("key", F.coalesce("to", "label").alias("label"), (F.col("links") + F.coalesce("linked", F.lit(0))).alias("links")), "dup-state")
+        discard(*old)
+    discard(left, texts)
     return members, state.where("links > 0").select("key", "label")
 
 

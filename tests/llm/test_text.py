@@ -240,3 +240,17 @@ def test_pipeline_stages(spark, small, stored_odd, tmp_path, odd_labels):
     stored_odd.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
     odd_labels.where("false").write.parquet(str(tmp_path / "none" / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pairs_without_centres_are_found(spark, tmp_path):
+    """Pairs of copies that share one passage with all others, so their buckets' centres are unrelated to them."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(600)]
+    rows = []
+    for k in range(100):
+        own, edited = ([f"{kind}{k}x{i}" for i in range(60)] for kind in "oe")
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + own[:20] + edited[20:]))]
+    path = str(tmp_path / "documents")
+    spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert own_classes(neardup.classes(docs)) == brute_classes(docs.orderBy("doc_id").collect())
