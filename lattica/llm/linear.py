@@ -63,9 +63,14 @@ def with_scores(docs: DataFrame, columns: Sequence[str], model: Callable[[], Cal
     return kept.mapInArrow(run, schema)
 
 
-def labelled_sample(labels: DataFrame, label: str, most: int, held_out: int = 2) -> DataFrame:
-    """At most ``most`` labelled ids for fitting, the first by a hash; without ids whose CRC-32 modulo 4 is ``held_out``
-    and without null ids or labels. A repeated id counts once, with its largest label."""
+def usable_labels(labels: DataFrame, label: str, held_out: int = 2) -> DataFrame:
+    """doc_id and label of all ids but those whose CRC-32 modulo 4 is ``held_out`` and without null ids or labels. A repeated
+    id counts once, with its largest label."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != held_out)
-    return usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return usable.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def labelled_sample(labels: DataFrame, label: str, most: int, held_out: int = 2) -> DataFrame:
+    """At most ``most`` of the usable labels for fitting, the first by a hash."""
+    return usable_labels(labels, label, held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import stored, text_of
-from lattica.llm.linear import fit_logistic, labelled_sample, sigmoid, with_scores
+from lattica.llm.linear import fit_logistic, labelled_sample, sigmoid, usable_labels, with_scores
 
 SAMPLE = 12_000  # labelled documents used to fit
 THRESHOLD = 0.3
@@ -60,8 +60,8 @@ class Model:
         return lambda texts: sigmoid(np.clip(features(texts) @ self.weights + self.intercept, -LOGIT_LIMIT, LOGIT_LIMIT))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> tuple[Model, DataFrame]:
-    """The document classifier, fitted on at most ``most`` labelled documents, and their ids and labels.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Model:
+    """The document classifier, fitted on at most ``most`` labelled documents.
 
     Without documents of both labels every text scores the smoothed share of label 1.
     """
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     width = features([""]).shape[1]
     if found.empty or found["label"].nunique() < 2:
         good = float((found["label"] > 0).sum())
-        return Model(np.zeros(width), float(np.log((good + 0.5) / (len(found) - good + 0.5)))), wanted
+        return Model(np.zeros(width), float(np.log((good + 0.5) / (len(found) - good + 0.5))))
     x = np.frombuffer(b"".join(found["features"]), "<f4").reshape(len(found), width).astype(np.float64)
     mean, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread < 1e-6] = np.inf
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     n = len(x)
     weights, intercept = fit_logistic(np.arange(n + 1) * width, np.tile(np.arange(width), n), x.ravel(), (found["label"] > 0).to_numpy(np.float64), width, ridge=1.0, rounds=300)
     weights = weights / spread
-    return Model(weights, intercept - float(mean @ weights)), wanted
+    return Model(weights, intercept - float(mean @ weights))
 
 
 def _strength(groups: DataFrame, centre: Column, total: str = "n", good: str = "good") -> float:
@@ -133,14 +133,14 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of every document with document_score, site_rate, path_rate and score (0 to 1, higher is better).
 
     Null and empty texts are scored by their (empty) style; null sources and languages are groups of their own; equal
-    rows score alike. A labelled document of the fitting sample adds its label to its site's evidence, any other one its
-    document score. Columns that aren't asked for are left out, so their names can't clash.
+    rows score alike. A labelled document outside the held-out quarter adds its label to its site's evidence, any other
+    one its document score. Columns that aren't asked for are left out, so their names can't clash.
     """
-    model, wanted = fit(docs, labels)
+    model = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(*[F.col(c).alias(f"kept_{c}") for c in columns if c != "text"], F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("site"), F.col("lang").cast("string").alias("path"))
     single = stored(with_scores(own.select("doc_id", "site", "path", "text"), ["doc_id", "site", "path"], lambda: sent.value.scorer(), "document_score"), "quality-evidence")
-    evidence = single.join(F.broadcast(wanted), "doc_id", "left").select("site", "path", F.coalesce((F.col("label") > 0).cast("double"), F.col("document_score")).alias("good"))
+    evidence = single.select("doc_id", "site", "path", "document_score").join(usable_labels(labels, "quality"), "doc_id", "left").select("site", "path", F.coalesce((F.col("label") > 0).cast("double"), F.col("document_score")).alias("good"))
     rates, overall = posteriors(evidence)
     rates = stored(rates, "quality-rates")
     if columns == ["doc_id"]:

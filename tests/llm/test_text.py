@@ -254,3 +254,15 @@ def test_pairs_without_centres_are_found(spark, tmp_path):
     spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string").repartition(4).write.parquet(path)
     docs = spark.read.parquet(path)
     assert own_classes(neardup.classes(docs)) == brute_classes(docs.orderBy("doc_id").collect())
+
+
+def test_all_labels_are_evidence(spark, tmp_path, monkeypatch):
+    """Labels beyond the fitting sample count for the sites: here they alone tell two sites of equal texts apart."""
+    rows = [(i, f"some plain words {i % 7}", "en", "ab"[i % 2], 18) for i in range(400)]
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(path)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    monkeypatch.setattr(quality.fit, "__defaults__", ("quality", 4))
+    got = quality.scored(spark.read.parquet(path), labels, ["doc_id", "source"])
+    rate = {r.source: r.quality_site_rate for r in got.collect()}
+    assert rate["b"] - rate["a"] > 0.5
