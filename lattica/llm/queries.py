@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import ann, bpe, exact_topk, mixing, neardup, pseudo_likelihood, quality, reshard, token_shards, toxicity
+from lattica.llm import ann, bpe, exact_topk, filter_audit, mixing, neardup, pseudo_likelihood, quality, reshard, token_shards, toxicity
 from lattica.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,11 @@ def op1_token_shards(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op7_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     return pseudo_likelihood.scored(table(spark, folder, "documents"))
+
+
+@register
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+ORACLE["op11_filter_audit"] = filter_audit.ORACLE
