@@ -14,22 +14,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import numbered, stored, text_of
+from lattica.llm.common import discard, stored, text_of
 from lattica.llm.raw import encoded, grouped, joined, of_bytes, runs
 
 FILTERS = "ABCDE"
 LEAST_WORDS = 50
 DISTINCT_PERCENT, CAPITAL_PERCENT = 65, 5
 SYMBOLS = b"#$%&*|"
-SHARD = 1 << 22  # bytes of text in a shard
+SHARD = 1 << 24  # bytes of text in a shard
 SALTS = 16
 BLANK, SIGNS = of_bytes(b" \t\n\v\f\r"), of_bytes(SYMBOLS)
 ROWS = "doc_ids array<long>, parts array<string>, keys array<binary>, flags array<int>, entries array<int>"
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Small differences of neighbouring integers, compressed."""
+    return pa.compress(np.diff(values, prepend=0).astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def spread(data: bytes, count: int) -> np.ndarray:
+    """The integers that ``squeezed`` was given."""
+    return np.cumsum(np.frombuffer(pa.decompress(data, 4 * count, codec="zstd", asbytes=True), "<i4"), dtype=np.int64) if count else np.empty(0, np.int64)
+
+
 def term_shards(docs: DataFrame) -> DataFrame:
     """Shards of whole documents: their ids, parts, text digests, flags of the filters C and D (as bits), entries per row,
     the entries (columns as places in the shard's own words, and counts) and those words."""
@@ -48,7 +58,7 @@ def term_shards(docs: DataFrame) -> DataFrame:
                 points = np.add.reduceat((raw & 0xC0) != 0x80, begins, dtype=np.int64) - 1
                 flags = 4 * (100 * capitals > CAPITAL_PERCENT * points) + 8 * (np.add.reduceat(SIGNS[raw], begins, dtype=np.int64) > 0)
                 per_row = np.bincount(cell // max(1, len(words)), minlength=len(texts))
-                columns = (cell % max(1, len(words))).astype("<i4")
+                columns = cell % max(1, len(words))
                 lists = [
                     batch.column("doc_id").slice(at, len(texts)).to_pylist(),
                     batch.column("part").slice(at, len(texts)).to_pylist(),
@@ -58,7 +68,7 @@ def term_shards(docs: DataFrame) -> DataFrame:
                 ]
                 kinds = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int32()]
                 out = [pa.array([number]), *[pa.array([x], pa.list_(kind)) for x, kind in zip(lists, kinds)]]
-                out += [pa.array([columns.tobytes()]), pa.array([counts.astype("<i4").tobytes()])]
+                out += [pa.array([squeezed(columns)]), pa.array([squeezed(counts)])]
                 out.append(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words))
                 number += 1
                 yield pa.RecordBatch.from_arrays(out, ["shard", "doc_ids", "parts", "keys", "flags", "entries", "columns", "counts", "words"])
@@ -68,9 +78,14 @@ def term_shards(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(shards: DataFrame) -> DataFrame:
-    """Every word of all shards once, with a gapless number from 0 in byte order: word, id."""
-    words = stored(shards.select(F.explode("words").alias("word")).distinct(), "audit-words")
-    return numbered(words, [F.col("word")], "id", "audit-dictionary")
+    """Every word of all shards once, with a gapless number from 0, written to the shared folder: word, id."""
+    words = shards.select(F.explode("words").alias("word")).distinct()
+    words = stored(words.select("word", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")), "audit-words")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = words.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    out = words.join(F.broadcast(before), "part").select("word", (F.col("before") + F.col("at")).alias("id"))  # one row per shuffle partition
+    out.stored_path = words.stored_path
+    return out
 
 
 def csr_shards(docs: DataFrame) -> DataFrame:
@@ -81,8 +96,11 @@ def csr_shards(docs: DataFrame) -> DataFrame:
     their documents' order; indices ascend within a row.
     """
     local = stored(term_shards(docs), "audit-shards")
-    own = local.select("shard", F.posexplode("words").alias("place", "word")).join(dictionary(local), "word")
+    known = dictionary(local)
+    own = local.select("shard", F.posexplode("words").alias("place", "word")).join(known, "word")
     numbers = own.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("numbers"))
+    numbers = stored(numbers, "audit-numbers")
+    discard(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,8 +109,8 @@ def csr_shards(docs: DataFrame) -> DataFrame:
                 number = row.column("numbers").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 per_row = row.column("entries").flatten().to_numpy()
                 indptr = np.concatenate([[0], np.cumsum(per_row, dtype=np.int64)])
-                indices = number[np.frombuffer(row.column("columns")[0].as_buffer(), "<i4")]
-                data = np.frombuffer(row.column("counts")[0].as_buffer(), "<i4")
+                indices = number[spread(row.column("columns")[0].as_py(), int(indptr[-1]))]
+                data = spread(row.column("counts")[0].as_py(), int(indptr[-1])).astype("<i4")
                 order = np.lexsort((indices, np.repeat(np.arange(len(per_row)), per_row)))
                 kept = [row.column(c) for c in ("shard", "doc_ids", "parts", "keys", "flags")]
                 out = [*kept, pa.array([indptr], pa.list_(pa.int64())), pa.array([indices[order].astype("<i8").tobytes()]), pa.array([data[order].tobytes()])]

@@ -1,5 +1,6 @@
 """Filter audit, licence scan and collocations against plain versions."""
 
+import hashlib
 import itertools
 import re
 from collections import Counter, defaultdict
@@ -77,18 +78,26 @@ def test_audit_of_repeated_texts_and_signs(spark, no_labels):
 
 def test_csr_shards_rebuild_every_document(stored_odd):
     rows = filter_audit.csr_shards(stored_odd).collect()
-    held = []
+    documents, columns = [], defaultdict(Counter)
     for r in rows:
         indices, data = np.frombuffer(r["indices"], "<i8"), np.frombuffer(r["data"], "<i4")
-        for k in range(len(r["doc_ids"])):
+        for k, key in enumerate(r["keys"]):
             at = slice(r["indptr"][k], r["indptr"][k + 1])
             assert (np.diff(indices[at]) > 0).all()
-            held.append(dict(zip(indices[at].tolist(), data[at].tolist())))
-    texts = [Counter(w.encode() for w in WORD.findall(r.text or "")) for r in stored_odd.select("text").collect()]
-    words = sorted(set().union(*texts))
-    want = sorted(sorted((words.index(w), n) for w, n in t.items()) for t in texts if len(t) < 100)
-    assert sorted(sorted(h.items()) for h in held if len(h) < 100) == want
-    assert sorted(map(len, held)) == sorted(map(len, texts))
+            documents.append((bytes(key), sorted(data[at].tolist())))
+            for i, n in zip(indices[at].tolist(), data[at].tolist()):
+                columns[i][bytes(key)] += n
+    want, words = [], defaultdict(Counter)
+    for r in stored_odd.select("text").collect():
+        text = (r.text or "").encode()
+        key = hashlib.sha256(text).digest()
+        counts = Counter(WORD.findall(r.text or ""))
+        want.append((key, sorted(counts.values())))
+        for w, n in counts.items():
+            words[w][key] += n
+    assert sorted(documents) == sorted(want)
+    assert sorted(sorted(x.items()) for x in columns.values()) == sorted(sorted(x.items()) for x in words.values())
+    assert sorted(columns) == list(range(len(words)))
 
 
 def test_audit_of_nothing(no_documents, no_labels):
