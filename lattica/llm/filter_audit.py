@@ -98,15 +98,16 @@ def csr_shards(docs: DataFrame) -> DataFrame:
     local = stored(term_shards(docs), "audit-shards")
     known = dictionary(local)
     own = local.select("shard", F.posexplode("words").alias("place", "word")).join(known, "word")
-    numbers = own.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("numbers"))
-    numbers = stored(numbers, "audit-numbers")
+    numbers = stored(own.groupBy("shard").agg(F.collect_list("place").alias("places"), F.collect_list("id").alias("ids")), "audit-numbers")
     discard(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                number = row.column("numbers").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                places = row.column("places").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                number = np.empty(len(places), np.int64)
+                number[places] = row.column("ids").flatten().to_numpy(zero_copy_only=False)
                 per_row = row.column("entries").flatten().to_numpy()
                 indptr = np.concatenate([[0], np.cumsum(per_row, dtype=np.int64)])
                 indices = number[spread(row.column("columns")[0].as_py(), int(indptr[-1]))]
@@ -116,7 +117,7 @@ def csr_shards(docs: DataFrame) -> DataFrame:
                 out = [*kept, pa.array([indptr], pa.list_(pa.int64())), pa.array([indices[order].astype("<i8").tobytes()]), pa.array([data[order].tobytes()])]
                 yield pa.RecordBatch.from_arrays(out, ["shard", "doc_ids", "parts", "keys", "flags", "indptr", "indices", "data"])
 
-    sent = local.drop("words").join(numbers, "shard", "left").select("shard", *[c.split()[0] for c in ROWS.split(", ")], "columns", "counts", "numbers")
+    sent = local.drop("words").join(numbers, "shard", "left").select("shard", *[c.split()[0] for c in ROWS.split(", ")], "columns", "counts", "places", "ids")
     return sent.mapInArrow(run, f"shard long, {ROWS.rsplit(', ', 1)[0]}, indptr array<long>, indices binary, data binary")
 
 
