@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import ann, bpe, exact_topk, filter_audit, mixing, neardup, pseudo_likelihood, quality, reshard, token_shards, toxicity
+from lattica.llm import ann, bpe, collocations, exact_topk, filter_audit, license_scan, mixing, neardup, pseudo_likelihood, quality, reshard, token_shards, toxicity
 from lattica.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,19 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op11_filter_audit"] = filter_audit.ORACLE
+
+
+@register
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+ORACLE["op12_license_scan"] = license_scan.ORACLE
+
+
+@register
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+ORACLE["op13_collocations"] = collocations.ORACLE
