@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import cut_index, pair_count, ratio
-from lattica.session import materialise
+from lattica.operators.forest import nested_components
+from lattica.session import discard, materialise
 
 
 # ---------------------------------------------------------------------------------------------- projections
@@ -38,6 +39,14 @@ def pairs_by_cutoff(pairs: DataFrame, cutoffs: Sequence[float]) -> DataFrame:
     return pairs.select("*", F.explode(options).alias("cutoff_nm"))
 
 
+def levelled_pairs(pairs: DataFrame, keys: Sequence[str], a: str, b: str, cutoffs: Sequence[float]) -> DataFrame:
+    """Undirected node pairs with the place, in rising order, of the first cutoff that their closest beads are below."""
+    rule = F.coalesce(*[F.when(F.col("_d") < float(c), i) for i, c in enumerate(sorted(cutoffs))])
+    near = pairs.where((F.col(a) != F.col(b)) & (F.col("d") < float(max(cutoffs))))
+    near = near.groupBy(*keys, F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).agg(F.min("d").alias("_d"))
+    return near.select(*keys, "lo", "hi", rule.alias("level"))
+
+
 def block_key(parent, residue, cuts: Sequence[int]):
     """Node key of a fixed-resolution block: parent * (number of blocks) + block index."""
     return F.col(parent) * (len(cuts) + 1) + cut_index(residue, cuts)
@@ -128,7 +137,8 @@ def _star_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
             .unionByName(low.select(*keys, F.col("m").alias("lo"), "hi"))
             .distinct()
         )
-        current = materialise(small, "star")
+        last, current = current, materialise(small, "star")
+        discard(last)
         mark = current.agg(F.count("*").alias("n"), F.sum(F.hash(*keys, "lo", "hi").cast("long")).alias("h"), F.bit_xor(F.xxhash64(*keys, "lo", "hi")).alias("x")).first()
         if seen == tuple(mark):
             break
@@ -137,25 +147,53 @@ def _star_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return current.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(roots)
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], *, method: str = "star") -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], *, method: str = "contract") -> DataFrame:
     """``nodes`` plus ``label``: the smallest node id of its component (its own id when isolated).
 
-    ``star`` takes graphs of any size in a number of rounds that grows with the logarithm of their diameter. ``fold`` is for
-    callers who know that their frames are small: it keeps one frame's edges in one row.
+    ``contract`` takes graphs of any size: each round leaves at most half of the nodes that still have edges. ``star`` moves all edges
+    in a number of rounds that grows with the logarithm of the diameter. ``fold`` is for callers who know that their frames are small: it keeps one frame's edges in one row.
     """
     keys = list(keys)
+    if method == "contract":
+        return nested_components(edges.select(*keys, "lo", "hi", F.lit(0).alias("level")), nodes, keys).drop("level")
     labels = _fold_components(edges, keys) if method == "fold" else _star_components(edges, keys)
     return nodes.join(labels, [*keys, "node"], "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def species_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], anchor: str = "DNA", **kw) -> DataFrame:
     """Components of the protein graph: the anchor neither belongs to it nor bridges it."""
-    proteins = nodes.where(F.col("species") != anchor)
+    return connected_components(protein_edges(edges, nodes, keys, anchor).select(*keys, "lo", "hi"), nodes.where(F.col("species") != anchor), keys, **kw)
+
+
+def protein_edges(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], anchor: str = "DNA") -> DataFrame:
     anchors = nodes.where(F.col("species") == anchor).select(*keys, F.col("node").alias("_a"))
-    kept = edges
     for end in ("lo", "hi"):
-        kept = kept.join(anchors.withColumnRenamed("_a", end), [*keys, end], "left_anti")
-    return connected_components(kept.select(*keys, "lo", "hi"), proteins, keys, **kw)
+        edges = edges.join(anchors.withColumnRenamed("_a", end), [*keys, end], "left_anti")
+    return edges
+
+
+def components_by_cutoff(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], cutoffs: Sequence[float], anchor: str = "DNA") -> DataFrame:
+    """Components of the protein graph at every cutoff, from one contraction of the levelled edges: with ``cutoff_nm``."""
+    proteins = nodes.where(F.col("species") != anchor)
+    labelled = nested_components(protein_edges(edges, nodes, keys, anchor), proteins, keys, len(cutoffs))
+    return labelled.withColumn("cutoff_nm", F.element_at(F.array(*[F.lit(float(c)) for c in sorted(cutoffs)]), F.col("level") + 1)).drop("level")
+
+
+def nested_mask_edges(contact: DataFrame, blocks: DataFrame, keys: Sequence[str], masks: dict[str, list[int]]) -> tuple[DataFrame, list[str]]:
+    """Contacts and covalent edges of masks that each hold the one before, with levels, and the masks in that order."""
+    order = sorted(masks, key=lambda m: len(masks[m]))
+    if any(not set(masks[a]) <= set(masks[b]) for a, b in zip(order, order[1:])):
+        raise ValueError("each mask must hold the bonds of the smaller one")
+    place = F.coalesce(*[F.when(F.col("mask") == m, i) for i, m in enumerate(order)])
+    bonds = mask_edges(blocks, keys, masks).groupBy(*keys, "lo", "hi").agg(F.min(place).alias("level"))
+    return contact.select(*keys, "lo", "hi", F.lit(0).alias("level")).unionByName(bonds), order
+
+
+def components_by_mask(contact: DataFrame, blocks: DataFrame, nodes: DataFrame, keys: Sequence[str], masks: dict[str, list[int]]) -> DataFrame:
+    """Components under every covalent mask, from one contraction: ``nodes`` with ``mask`` and ``label``."""
+    edges, order = nested_mask_edges(contact, blocks, keys, masks)
+    labelled = nested_components(edges, nodes, keys, len(order))
+    return labelled.withColumn("mask", F.element_at(F.array(*[F.lit(m) for m in order]), F.col("level") + 1)).drop("level")
 
 
 # ---------------------------------------------------------------------------------------- component metrics

@@ -33,12 +33,8 @@ def j2_primary_pairs(t: Tables) -> DataFrame:
 
 
 def _lcc(t: Tables) -> DataFrame:
-    by_cutoff = graph.pairs_by_cutoff(roles.pairs(t), CUTOFFS)
-    keys = [*KEYS, "cutoff_nm"]
-    edges = graph.node_pairs(by_cutoff, keys, "molecule_i", "molecule_j")
-    each = F.explode(F.array(*[F.lit(c) for c in CUTOFFS])).alias("cutoff_nm")
-    nodes = roles.nodes(t).select("*", each)
-    return graph.cluster_metrics(graph.species_components(edges, nodes, keys), keys)
+    edges = graph.levelled_pairs(roles.pairs(t), KEYS, "molecule_i", "molecule_j", CUTOFFS)
+    return graph.cluster_metrics(graph.components_by_cutoff(edges, roles.nodes(t), KEYS, CUTOFFS), [*KEYS, "cutoff_nm"])
 
 
 CLUSTER_SQL = (
@@ -448,12 +444,9 @@ masklcc AS MATERIALIZED (SELECT system, replicate, frame, mask, MAX(w) / SUM(w)
 
 def mask_lcc(t: Tables) -> DataFrame:
     n = block_nodes(t)
-    keys = [*KEYS, "mask"]
-    each = F.explode(F.array(*[F.lit(m) for m in MASK_BOUNDARIES])).alias("mask")
-    contact = graph.node_pairs(cross_pairs(t), KEYS, "block_i", "block_j").select(*KEYS, "lo", "hi", each)
-    e = graph.union_edges(contact.select(*keys, "lo", "hi"), graph.mask_edges(_med1_blocks(n), KEYS, MASK_BOUNDARIES))
-    labelled = graph.connected_components(e, n.select("*", each), keys)
-    return graph.weighted_largest_component(labelled, keys, "length")
+    contact = graph.node_pairs(cross_pairs(t), KEYS, "block_i", "block_j")
+    labelled = graph.components_by_mask(contact, _med1_blocks(n), n, KEYS, MASK_BOUNDARIES)
+    return graph.weighted_largest_component(labelled, [*KEYS, "mask"], "length")
 
 
 @query("g11_mask_lcc", f"{K} mask:s largest_weight_fraction:f9", "SELECT * FROM masklcc", MASK_SQL)

@@ -66,4 +66,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what ``materialise`` wrote for the frames, once nothing that is still to be computed reads it."""
+    for df in frames:
+        if df is not None and hasattr(df, "stored_path"):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import contrasts, graph, placement, polymer, quality, quantiles, selection, sequences, spatial, topology
+from lattica.operators import contrasts, forest, graph, placement, polymer, quality, quantiles, selection, sequences, spatial, topology
 from lattica.sources import tables as sources
 from lattica.sources.trajectory import TrajectoryDataSource
 from lattica.streaming import incremental, monitor
@@ -100,7 +100,7 @@ def union_find(n, edges):
     return label
 
 
-@pytest.mark.parametrize("method", ["fold", "star"])
+@pytest.mark.parametrize("method", ["fold", "star", "contract"])
 def test_components_match_union_find(spark, method):
     rng = np.random.default_rng(1)
     n, edges = 70, {f: {tuple(sorted(map(int, rng.choice(70, 2, replace=False)))) for _ in range(k)} for f, k in ((0, 40), (1, 90), (2, 1))}
@@ -137,6 +137,24 @@ def test_long_path_is_one_component(spark):
     assert [(r.label, r["count"]) for r in labels] == [(0, n)]
 
 
+def test_nested_components_and_forest(spark):
+    rng = np.random.default_rng(8)
+    n, levels = 60, 3
+    edges = {(f, *sorted(map(int, rng.choice(n, 2, replace=False)))): int(rng.integers(levels)) for f in (0, 1) for _ in range(60)}
+    e = spark.createDataFrame([(*k, v) for k, v in edges.items()], "frame int, lo int, hi int, level int")
+    v = spark.createDataFrame([(f, i, "x") for f in (0, 1, 2) for i in range(n)], "frame int, node int, kind string")
+    got = {(r.frame, r.level, r.node): r.label for r in forest.nested_components(e, v, ["frame"], levels).collect()}
+    tree = [tuple(r) for r in forest.spanning_forest(e, v, ["frame"], levels).collect()]
+    assert len(set(tree)) == len(tree) and all(edges[t[:3]] == t[3] for t in tree)
+    for f in (0, 1, 2):
+        for level in range(levels):
+            want = union_find(n, [k[1:] for k, at in edges.items() if k[0] == f and at <= level])
+            assert [got[f, level, i] for i in range(n)] == want
+            assert union_find(n, [t[1:3] for t in tree if t[0] == f and t[3] <= level]) == want
+            assert sum(t[0] == f and t[3] <= level for t in tree) == n - len(set(want))
+    assert forest.spanning_forest(e.limit(0), v, ["frame"], levels).count() == 0
+
+
 @pytest.mark.parametrize("count", [5, 100])
 def test_binding_categories_count_all_pairs(spark, count):
     rng = np.random.default_rng(2)
