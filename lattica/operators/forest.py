@@ -25,28 +25,36 @@ def _rank(node: str) -> Column:
     return F.struct(F.xxhash64(node), F.col(node))
 
 
-def _moved(df: DataFrame, maps: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """``column`` replaced by where the map leads, if anywhere."""
-    lead = maps.select(*keys, F.col("node").alias(column), F.col("to").alias("_to"))
-    return df.join(lead, [*keys, column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+def _moved(df: DataFrame, maps: DataFrame, keys: Sequence[str], column: str, values: Sequence[str] = (), sign: int = 1) -> DataFrame:
+    """``column`` replaced by where the map leads, if anywhere; the map's values are then added to the row's, or taken from them."""
+    lead = maps.select(*keys, F.col("node").alias(column), F.col("to").alias("_to"), *[F.col(v).alias(f"_{v}") for v in values])
+    change = {v: F.col(v) + sign * F.coalesce(f"_{v}", F.lit(0)) for v in values}
+    return df.join(lead, [*keys, column], "left").withColumns({column: F.coalesce("_to", column), **change}).drop("_to", *[f"_{v}" for v in values])
 
 
-def _contract(edges: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
+def _contract(edges: DataFrame, keys: Sequence[str], values: Sequence[str] = ()) -> list[DataFrame]:
     """Maps (node, to) of the rounds that contract the edges (u, v, lo, hi) until none is left; lo and hi are the edge that a
-    node hooked along."""
+    node hooked along.
+
+    ``values`` are differences along edges: of v from u, taken from u's. A map's values are what a node has more than the one
+    that it goes to.
+    """
     maps: list[DataFrame] = []
     current = edges
+    kept = ["lo", "hi", *values]
     while not current.isEmpty():
-        both = current.select(*keys, "u", "v", "lo", "hi").unionByName(current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"), "lo", "hi"))
-        least = both.groupBy(*keys, "u").agg(F.min(F.struct(_rank("v").alias("rank"), "v", "lo", "hi")).alias("m"))
-        hooks = least.where(F.col("m.rank") < _rank("u")).select(*keys, F.col("u").alias("node"), F.col("m.v").alias("to"), "m.lo", "m.hi")
+        turned = current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"), "lo", "hi", *[(-F.col(v)).alias(v) for v in values])
+        both = current.select(*keys, "u", "v", *kept).unionByName(turned)
+        least = both.groupBy(*keys, "u").agg(F.min(F.struct(_rank("v").alias("rank"), "v", *kept)).alias("m"))
+        hooks = least.where(F.col("m.rank") < _rank("u")).select(*keys, F.col("u").alias("node"), F.col("m.v").alias("to"), *[f"m.{c}" for c in kept])
         jumped = hooks
         for _ in range(JUMPS):
-            jumped = _moved(jumped, hooks, keys, "to")
+            jumped = _moved(jumped, hooks, keys, "to", values)
         jumped = materialise(jumped, "hooks")
-        after = _moved(_moved(current, jumped, keys, "u"), jumped, keys, "v").where("u <> v")
-        after = after.groupBy(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("lo", "hi")).alias("e"))
-        after = materialise(after.select(*keys, "u", "v", "e.lo", "e.hi"), "contracted")
+        after = _moved(_moved(current, jumped, keys, "u", values, -1), jumped, keys, "v", values).where("u <> v")
+        after = after.withColumns({v: F.when(F.col("u") > F.col("v"), -F.col(v)).otherwise(F.col(v)) for v in values}) if values else after
+        after = after.groupBy(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct(*kept)).alias("e"))
+        after = materialise(after.select(*keys, "u", "v", *[f"e.{c}" for c in kept]), "contracted")
         discard(current)
         current = after
         maps.append(jumped)
@@ -105,3 +113,22 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], lev
         tree = tree.select(*keys, "lo", "hi", F.lit(level).alias("level"))
         out = tree if out is None else out.unionByName(tree)
     return edges.select(*keys, "lo", "hi", "level").limit(0) if out is None else out
+
+
+def potentials(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Differences along edges summed up along a spanning forest: keys, node, label and the ``values`` of every node.
+
+    An edge (keys, lo, hi, values) says that hi has that much less than lo. Every component's smallest node has 0. Offsets are
+    composed while the components are contracted, so the rounds grow with the logarithm of a chain's length. Where
+    edges contradict each other around a loop, those outside the forest are not met.
+    """
+    keys = list(keys)
+    own = edges.where(F.col("lo") != F.col("hi")).select(*keys, F.col("lo").alias("u"), F.col("hi").alias("v"), "lo", "hi", *values)
+    maps = _contract(materialise(own, "contracted"), keys, values)
+    at = nodes.select(*keys, "node", F.col("node").alias("root"), *[F.lit(0).cast("long").alias(v) for v in values])
+    for m in maps:
+        at = _moved(at, m, keys, "root", values)
+    at = materialise(at, "offsets")
+    discard(*maps)
+    zero = at.groupBy(*keys, "root").agg(F.min(F.struct("node", *values)).alias("_z"))
+    return at.join(zero, [*keys, "root"]).select(*keys, "node", F.col("_z.node").alias("label"), *[(F.col(v) - F.col(f"_z.{v}")).alias(v) for v in values])

@@ -1,8 +1,8 @@
 """Placement of connected chains next to each other across the periodic boundary.
 
-Every contact says by how many box lengths its two chains are apart. Walking the contacts outward from the root of a
-component turns those steps into one whole-box shift per chain. The walk is a breadth-first search written as joins:
-one round per step away from the root, each round written to the shared folder, no frame gathered anywhere.
+Every contact says by how many box lengths its two chains are apart. Summed along a spanning forest, those steps give one
+whole-box shift per chain, in rounds that grow with the logarithm of a component's depth. Only where contacts form a closed loop
+through the box does the path matter: such components are walked breadth first from their root.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.session import materialise
+from lattica.operators.forest import potentials
+from lattica.session import discard, materialise
 
 
 def image_steps(anchors: DataFrame, beads: DataFrame, keys: Sequence[str], box: float) -> DataFrame:
@@ -26,12 +27,24 @@ def image_steps(anchors: DataFrame, beads: DataFrame, keys: Sequence[str], box:
 
 
 def place_components(steps: DataFrame, labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Shift of every node (``nx, ny, nz`` boxes) that makes its contacts to earlier nodes contiguous; roots stay.
+    """Shift of every node (``nx, ny, nz`` boxes) that makes its contacts to earlier nodes contiguous; roots stay."""
+    keys = list(keys)
+    moved = potentials(steps.selectExpr(*keys, "lo", "hi", "sx AS nx", "sy AS ny", "sz AS nz"), labelled, keys, ["nx", "ny", "nz"])
+    placed = materialise(moved.selectExpr(*keys, "node", "label", *[f"CAST(n{a} AS INT) AS n{a}" for a in "xyz"]), "placed")
+    loops = materialise(_met(steps, placed, keys).where("NOT whole").select(*keys, "label").distinct(), "loops")
+    if loops.isEmpty():
+        return placed.drop("label")
+    inside = materialise(placed.join(loops, [*keys, "label"]).select(*keys, "node", "label"), "looped")
+    walked = _walked(steps.join(inside.select(*keys, F.col("node").alias("lo")), [*keys, "lo"], "left_semi"), inside, keys)
+    return placed.join(loops, [*keys, "label"], "left_anti").drop("label").unionByName(walked)
+
+
+def _walked(steps: DataFrame, labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The shifts of components with loops, from a walk outward that ends when no contact leads to a new node.
 
-    The walk ends when no contact leads to a new node. Each round writes only the nodes it has placed, and a round needs no
-    more than the two before it: a step from a node leads to its own distance from the root, or one less or more.
+    Each round writes only the nodes it has placed, and a round needs no more than the two before it: a step from a node leads
+    to its own distance from the root, or one less or more.
     """
-    keys = list(keys)
     both = materialise(
         steps.selectExpr(*keys, "lo AS a", "hi AS b", "sx", "sy", "sz").unionByName(steps.selectExpr(*keys, "hi AS a", "lo AS b", "-sx AS sx", "-sy AS sy", "-sz AS sz")),
         "steps",
@@ -43,18 +56,24 @@ def place_components(steps: DataFrame, labelled: DataFrame, keys: Sequence[str])
         nearest = reach.groupBy(*keys, F.col("b").alias("node")).agg(F.min(F.struct("a", "nx", "ny", "nz", "sx", "sy", "sz")).alias("_m"))
         new = materialise(nearest.selectExpr(*keys, "node", *[f"_m.n{a} - _m.s{a} AS n{a}" for a in "xyz"]), "frontier")
         if new.isEmpty():
+            discard(both)
             return functools.reduce(DataFrame.unionByName, rounds)
         rounds.append(new)
         frontier, recent = new, frontier.unionByName(new)
 
 
+def _met(steps: DataFrame, placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Contacts with ``whole``: whether the placed chains lie as the contact says; columns of ``placed`` at lo are kept."""
+    other = [c for c in placed.columns if c not in (*keys, "node", "nx", "ny", "nz")]
+    at = lambda end, more: placed.select(*keys, F.col("node").alias(end), *[F.col(f"n{a}").alias(f"_{a}_{end}") for a in "xyz"], *more)
+    joined = steps.join(at("lo", other), [*keys, "lo"]).join(at("hi", []), [*keys, "hi"])
+    return joined.withColumn("whole", F.expr(" AND ".join(f"_{a}_hi + s{a} = _{a}_lo" for a in "xyz")))
+
+
 def broken_contacts(steps: DataFrame, placed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Contacts per frame that still cross the boundary after placement (closed loops through the box)."""
     keys = list(keys)
-    at = lambda end: placed.select(*keys, F.col("node").alias(end), *[F.col(f"n{a}").alias(f"_{a}_{end}") for a in "xyz"])
-    joined = steps.join(at("lo"), [*keys, "lo"]).join(at("hi"), [*keys, "hi"])
-    whole = " AND ".join(f"_{a}_hi + s{a} = _{a}_lo" for a in "xyz")
-    return joined.groupBy(*keys).agg(F.count_if(~F.expr(whole)).alias("broken"), F.count("*").alias("contacts"))
+    return _met(steps, placed, keys).groupBy(*keys).agg(F.count_if(~F.col("whole")).alias("broken"), F.count("*").alias("contacts"))
 
 
 def shift_to_reference(centres: DataFrame, reference: DataFrame, keys: Sequence[str], box: float) -> DataFrame:
@@ -62,3 +81,21 @@ def shift_to_reference(centres: DataFrame, reference: DataFrame, keys: Sequence[
     b = f"{float(box)!r}D"
     joined = centres.join(reference.select(*keys, *[F.col(a).alias(f"_r{a}") for a in "xyz"]), list(keys))
     return joined.selectExpr(*[c for c in centres.columns if c not in "xyz"], *[f"_r{a} + ({a} - _r{a}) - {b} * floor(({a} - _r{a}) / {b} + 0.5D) AS {a}" for a in "xyz"])
+
+
+def placed_centres(centres: DataFrame, placed: DataFrame, keys: Sequence[str], box: float) -> DataFrame:
+    """Centres of chains (keys, node, x, y, z) moved by their whole-box shifts."""
+    return centres.join(placed, [*keys, "node"]).selectExpr(*keys, "node", *[f"{a} + {float(box)!r}D * n{a} AS {a}" for a in "xyz"])
+
+
+def component_shifts(centres: DataFrame, labelled: DataFrame, keys: Sequence[str], box: float) -> DataFrame:
+    """Whole-box shift of every component to the image nearest the centre of its frame's largest one: keys, label, nodes and
+    ``bx, by, bz``. ``centres`` are placed; a component's centre is the mean of its chains'. Ties go to the smaller label.
+    """
+    keys = list(keys)
+    parts = centres.join(labelled.select(*keys, "node", "label"), [*keys, "node"]).groupBy(*keys, "label")
+    parts = materialise(parts.agg(F.count("*").alias("nodes"), *[F.avg(a).alias(a) for a in "xyz"]), "components")
+    largest = parts.groupBy(*keys).agg(F.max(F.struct("nodes", (-F.col("label")).alias("_n"), "x", "y", "z")).alias("_m")).select(*keys, "_m.x", "_m.y", "_m.z")
+    moved = shift_to_reference(parts, largest, keys, box).withColumnsRenamed({a: f"_{a}" for a in "xyz"})
+    joined = moved.join(parts.select(*keys, "label", "x", "y", "z"), [*keys, "label"])
+    return joined.selectExpr(*keys, "label", "nodes", *[f"CAST(rint((_{a} - {a}) / {float(box)!r}D) AS INT) AS b{a}" for a in "xyz"])

@@ -109,8 +109,10 @@ steps AS MATERIALIZED (SELECT a.system, a.replicate, a.frame, a.lo, a.hi, """
     + components_sql("steps", "nodes", "scomp")
     + """
 walk AS MATERIALIZED (SELECT frame, lo AS a, hi AS b, sx, sy, sz FROM steps UNION ALL SELECT frame, hi, lo, -sx, -sy, -sz FROM steps),
-lev AS (SELECT frame, node, 0 AS l FROM scomp WHERE node = label UNION SELECT w.frame, w.b, v.l + 1 FROM lev v JOIN walk w ON w.frame = v.frame AND w.a = v.node WHERE v.l < 25),
-near AS MATERIALIZED (SELECT frame, node, MIN(l) AS l FROM lev GROUP BY ALL),
+lev(frame, node, l) USING KEY (frame, node) AS (SELECT frame, node, 0 FROM scomp WHERE node = label
+   UNION SELECT w.frame, w.b, MIN(v.l) + 1 FROM lev v JOIN walk w ON w.frame = v.frame AND w.a = v.node
+     LEFT JOIN recurring.lev k ON k.frame = w.frame AND k.node = w.b WHERE k.node IS NULL GROUP BY ALL),
+near AS MATERIALIZED (SELECT frame, node, l FROM lev),
 par AS MATERIALIZED (SELECT w.frame, w.b AS node, MIN(w.a) AS a FROM walk w JOIN near x ON x.frame = w.frame AND x.node = w.a JOIN near y ON y.frame = w.frame AND y.node = w.b
    WHERE x.l = y.l - 1 GROUP BY ALL),
 placed AS (SELECT frame, node, 0 AS nx, 0 AS ny, 0 AS nz FROM near WHERE l = 0
@@ -129,11 +131,38 @@ placed AS (SELECT frame, node, 0 AS nx, 0 AS ny, 0 AS nz FROM near WHERE l = 0
 )
 def g15_component_placement(t: Tables) -> DataFrame:
     """Chains moved next to their contact partners; contacts that still cross the box are counted."""
+    _, steps, _, placed = _placement(t)
+    return placement.broken_contacts(steps, placed, KEYS)
+
+
+def _placement(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Whole chains, image steps, labelled nodes and placed nodes."""
     p = roles.stored_pairs(t)
-    whole = materialise(polymer.unwrap_chain(chains(t), [*KEYS, "molecule"], "pos", BOX).select(*KEYS, "bead", "ux", "uy", "uz"), "whole")
+    whole = materialise(polymer.unwrap_chain(chains(t), [*KEYS, "molecule"], "pos", BOX).select(*KEYS, "molecule", "bead", "ux", "uy", "uz"), "whole")
     steps = materialise(placement.image_steps(graph.contact_anchors(p, KEYS), whole, KEYS, BOX), "steps")
     labelled = materialise(graph.connected_components(steps.select(*KEYS, "lo", "hi"), roles.nodes(t), KEYS), "labels")
-    return placement.broken_contacts(steps, placement.place_components(steps, labelled, KEYS), KEYS)
+    return whole, steps, labelled, materialise(placement.place_components(steps, labelled, KEYS), "placed")
+
+
+@query(
+    "g15_component_shifts",
+    f"{K} label:i nodes:i bx:i by:i bz:i",
+    """SELECT p.system, p.replicate, p.frame, label, nodes, """
+    + ", ".join(f"CAST(-FLOOR((p.{a} - r.{a}) / 20.0 + 0.5) AS INT) AS b{a}" for a in "xyz")
+    + """ FROM parts p JOIN ref r USING (frame)""",
+    G15_SQL
+    + """
+mid AS (SELECT frame, molecule AS node, AVG(ux) AS x, AVG(uy) AS y, AVG(uz) AS z FROM whole GROUP BY ALL),
+parts AS MATERIALIZED (SELECT c.system, c.replicate, c.frame, c.label, COUNT(*) AS nodes, AVG(m.x + 20.0 * p.nx) AS x, AVG(m.y + 20.0 * p.ny) AS y, AVG(m.z + 20.0 * p.nz) AS z
+   FROM scomp c JOIN placed p USING (frame, node) JOIN mid m USING (frame, node) GROUP BY ALL),
+ref AS (SELECT frame, x, y, z FROM parts QUALIFY ROW_NUMBER() OVER (PARTITION BY frame ORDER BY nodes DESC, label) = 1),
+""",
+)
+def g15_component_shifts(t: Tables) -> DataFrame:
+    """Whole components moved to the image nearest the centre of the largest one."""
+    whole, _, labelled, placed = _placement(t)
+    mid = whole.groupBy(*KEYS, F.col("molecule").alias("node")).agg(*[F.avg(f"u{a}").alias(a) for a in "xyz"])
+    return placement.component_shifts(placement.placed_centres(mid, placed, KEYS, BOX), labelled, KEYS, BOX)
 
 
 @query("g15_contact_count", f"{K} contacts:i", "SELECT system, replicate, frame, COUNT(*) AS contacts FROM edges GROUP BY ALL", EDGES_SQL)

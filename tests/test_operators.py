@@ -317,6 +317,29 @@ def test_placement_makes_contacts_contiguous(spark):
     assert placement.broken_contacts(steps, placed, ["frame"]).first().broken == 0
 
 
+def test_long_chain_is_placed_in_few_rounds(spark, monkeypatch):
+    n, rng = 2000, np.random.default_rng(2)
+    step = rng.integers(-1, 2, (n - 1, 3))
+    steps = spark.createDataFrame([(0, i, i + 1, *map(int, step[i])) for i in range(n - 1)], "frame int, lo int, hi int, sx int, sy int, sz int")
+    nodes = spark.createDataFrame([(0, i, 0) for i in range(n)], "frame int, node int, label int")
+    rounds = []
+    plain = forest.materialise
+    monkeypatch.setattr(forest, "materialise", lambda df, name: (rounds.append(name), plain(df, name))[1])
+    got = {r.node: (r.nx, r.ny, r.nz) for r in placement.place_components(steps, nodes, ["frame"]).collect()}
+    assert got == {i: tuple(-step[:i].sum(axis=0)) for i in range(n)}
+    assert rounds.count("hooks") <= 15
+
+
+def test_closed_loop_is_walked_from_its_root(spark):
+    steps = spark.createDataFrame([(0, 0, 1, 0, 0, 0), (0, 1, 2, 0, 0, 0), (0, 2, 3, 0, 0, 0), (0, 0, 3, 1, 0, 0), (0, 5, 6, 1, 1, 0)], "frame int, lo int, hi int, sx int, sy int, sz int")
+    nodes = spark.createDataFrame([(0, i) for i in range(7)], "frame int, node int")
+    labelled = graph.connected_components(steps.select("frame", "lo", "hi"), nodes, ["frame"])
+    placed = placement.place_components(steps, labelled, ["frame"])
+    want = {i: (0, 0, 0) for i in range(7)} | {3: (-1, 0, 0), 6: (-1, -1, 0)}
+    assert {r.node: (r.nx, r.ny, r.nz) for r in placed.collect()} == want
+    assert placement.broken_contacts(steps, placed, ["frame"]).first().broken == 1
+
+
 def test_shadowed_contact_is_dropped(spark):
     pairs = spark.createDataFrame([(0, 1, 3, 1.0, True), (0, 1, 2, 0.5, False), (0, 2, 3, 0.5, False)], "f int, i int, j int, d double, candidate boolean")
     assert topology.shadow_contacts(pairs, ["f"], None, 0.1, 0.05).count() == 0
