@@ -173,8 +173,8 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, parts: int = PARTS
     """The ``top`` nearest found of each query (rows whose vec_id is divisible by ``every``): query_id, rank, vec_id, score.
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id. Null, zero and non-finite vectors,
-    vectors of another length than most, and rows without an id take no part; a repeated id counts once, with its largest
-    vector. Other columns are left out, so their names can't clash. A large part is split into blocks of rows and of
+    vectors of another length than most, and rows without an id take no part; rows that repeat id and vector
+    count once; different vectors of one id are a row each, and as queries share one list. Other columns are left out, so their names can't clash. A large part is split into blocks of rows and of
     queries, so a vector that a third of all rows repeat fills no single task.
     """
     vectors = stored(usable(table, zero=False), "ann-vectors")

@@ -121,7 +121,8 @@ def search(table: DataFrame, every: int = 100, top: int = TOP, scale: int = 1024
     query_id, rank, vec_id, score; ties go to the smaller vec_id.
 
     Vectors that are null or hold null or non-finite components, vectors of another length than most, and rows without an
-    id take no part; a repeated id counts once, with its largest vector; zero vectors do take part. Other columns are left
+    id take no part; rows that repeat id and vector count once; different vectors of one id
+    are a row each, and as queries share one list; zero vectors do take part. Other columns are left
     out, so their names can't clash. Annuli hold any number of rows: large ones are split into blocks.
     """
     spark = table.sparkSession

@@ -61,8 +61,9 @@ def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op5_exact_top_k"] = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+WITH u AS (SELECT DISTINCT vec_id, embedding FROM embeddings),
+v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM u
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
 ),
 scored AS (

@@ -1,7 +1,7 @@
 """Resharding by minimum-cost flow: the fewest bytes move from old shards to new ones of given capacity.
 
-Rows are known by blocks (a hash of the text, so equal texts share a block; a block that is large by itself is split by
-document). Their sizes, a table whose length depends on parameters alone, are enough to solve the flow between shards and
+Rows are known by blocks and parts (hashes of the text, so equal texts share both; only a text whose copies fill a good share
+of a shard is cut into pieces by document). Their sizes, a table whose length depends on parameters alone, are enough to solve the flow between shards and
 to pick the blocks that carry it. Then each affected shard's files are written once.
 """
 
@@ -19,7 +19,8 @@ from lattica.session import shared_folder
 
 OLD, NEW = 12, 16
 BLOCKS, PARTS = 128, 64
-LARGE = 64  # a block above a shard's capacity divided by this is split
+LARGE = 64  # a block above a shard's capacity divided by this is split into its parts
+HEAVY = 8  # a text whose copies are above a shard's capacity divided by this is split into pieces
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -81,25 +82,37 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total * (j + 1) // shards - total * j // shards for j in range(shards)]
 
 
-def sized(docs: DataFrame, old_shard: Column, blocks: int = BLOCKS, parts: int = PARTS) -> DataFrame:
-    """doc_id and text of every row with its old shard, block, part and size (UTF-8 bytes of the text and 1)."""
-    return docs.select(
+def sized(docs: DataFrame, old_shard: Column, blocks: int = BLOCKS, parts: int = PARTS, shards: int = NEW) -> DataFrame:
+    """doc_id and text of every row with its old shard, block, part, piece and size (UTF-8 bytes of the text and 1).
+
+    Piece is 0 but for heavy texts; there are fewer than ``shards`` * HEAVY of those.
+    """
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
         old_shard.cast("int").alias("old_shard"),
         F.pmod(F.xxhash64(text_of()), F.lit(blocks)).cast("int").alias("block"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text_of()), F.lit(parts)).cast("int").alias("part"),
+        F.pmod(F.xxhash64(F.lit(1), text_of()), F.lit(parts)).cast("int").alias("part"),
         (F.octet_length(text_of()) + 1).cast("long").alias("size"),
+        F.xxhash64(text_of()).alias("_a"),
+        F.xxhash64(F.lit(2), text_of()).alias("_b"),
     )
+    limit = max(1, (rows.agg(F.sum("size")).first()[0] or 0) // shards // HEAVY)
+    heavy = rows.groupBy("_a", "_b").agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > limit).select("_a", "_b", F.lit(True).alias("_heavy"))
+    piece = F.when(F.col("_heavy"), 1 + F.pmod(F.xxhash64("doc_id", "_a"), F.lit(parts))).otherwise(0).cast("int")
+    return rows.join(F.broadcast(heavy), ["_a", "_b"], "left").withColumn("piece", piece).drop("_a", "_b", "_heavy")
+
+
+UNIT = ["old_shard", "block", "part", "piece"]
 
 
 def block_sizes(rows: DataFrame) -> pd.DataFrame:
-    """Bytes by old shard, block and part: at most their product of rows, whatever the data."""
-    return rows.groupBy("old_shard", "block", "part").agg(F.sum("size").alias("bytes")).orderBy("old_shard", "block", "part").toPandas()
+    """Bytes by old shard, block, part and piece: the first three's product of rows and PARTS for each heavy text at most."""
+    return rows.groupBy(*UNIT).agg(F.sum("size").alias("bytes")).orderBy(*UNIT).toPandas()
 
 
 def plan_transfers(sizes: pd.DataFrame, shards: int, capacity: list[int] | None = None, cost: list[list[int]] | None = None) -> pd.DataFrame:
-    """New shard of every (old_shard, block, part): columns of ``sizes`` and shard.
+    """New shard of every (old_shard, block, part, piece): columns of ``sizes`` and shard.
 
     A byte that stays costs nothing, any other one, unless ``cost`` says otherwise. Blocks are dealt in falling size to the
     transfer with most room left, so the transfers are met to about the smallest block.
@@ -117,7 +130,7 @@ def plan_transfers(sizes: pd.DataFrame, shards: int, capacity: list[int] | None
             units[int(old)][(int(block),)] = (int(group["bytes"].sum()), list(group.index))
         else:
             for row in group.itertuples():
-                units[int(old)][(int(block), int(row.part))] = (int(row.bytes), [row.Index])
+                units[int(old)][(int(block), int(row.part), int(row.piece))] = (int(row.bytes), [row.Index])
     shard = [0] * len(sizes)
     for old, room in zip(olds, flow):
         room = list(room)
@@ -139,9 +152,8 @@ def write_shards(rows: DataFrame, plan: pd.DataFrame, folder: str) -> DataFrame:
     A range sort by shard and hash fills the files; a slot is a row's place in its shard, gapless from 0.
     """
     spark = rows.sparkSession
-    schema = "old_shard int, block int, part int, shard int"
-    where = spark.createDataFrame(plan[["old_shard", "block", "part", "shard"]], schema)
-    placed = rows.join(F.broadcast(where), ["old_shard", "block", "part"])  # bounded by the number of blocks and parts
+    where = spark.createDataFrame(plan[[*UNIT, "shard"]], "old_shard int, block int, part int, piece int, shard int")
+    placed = rows.join(F.broadcast(where), UNIT)  # bounded by the number of blocks, parts and heavy texts
     laid = (
         placed.withColumn("_tie", F.monotonically_increasing_id())
         .repartitionByRange(partitions(spark), "shard", F.xxhash64("doc_id", text_of()), "_tie")
@@ -180,14 +192,14 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = NEW,
     """Documents moved from their old shards to ``shards`` of nearly equal bytes: doc_id, text, shard, slot.
 
     Without ``old_shard`` the old layout is by the text's checksum over 12 shards. Null texts count as empty, of one byte;
-    equal rows are placed each; equal texts stay in one shard unless they fill more than a 64th of one. An empty table gives
+    equal rows are placed each; equal texts stay in one shard unless they fill more than an 8th of one. An empty table gives
     no rows. Other columns are left out, so their names can't clash.
     """
     import uuid
 
     if old_shard is None:
         old_shard = F.pmod(F.crc32(text_of().cast("binary")), F.lit(OLD))
-    rows = sized(docs, old_shard)
+    rows = sized(docs, old_shard, shards=shards)
     plan = plan_transfers(block_sizes(rows), shards)
     return write_shards(rows, plan, folder or f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}")
 

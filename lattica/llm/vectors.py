@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def usable(table: DataFrame, zero: bool) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part: with an id, of the commonest length, all components finite
-    and, unless ``zero``, not all zero. A repeated id counts once, with its largest vector."""
+    and, unless ``zero``, not all zero. Rows that repeat id and vector count once; different vectors of one id are a row each."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
     rows = rows.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
@@ -18,7 +18,7 @@ def usable(table: DataFrame, zero: bool) -> DataFrame:
         rows = rows.where(F.exists("embedding", lambda x: x != 0))
     length = rows.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), "length").first()
     rows = rows.where(F.size("embedding") == (length["length"] if length else 0))
-    return rows.groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+    return rows.distinct()
 
 
 def matrix(column: pa.Array) -> np.ndarray:

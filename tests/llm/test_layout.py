@@ -130,6 +130,13 @@ def test_shards_are_equal(spark, small):
 
 def test_few_bytes_move(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
+    where = defaultdict(set)
+    for r in reshard.reshard(docs).select("text", "shard").collect():
+        where[r.text or ""].add(r.shard)
+    copies = defaultdict(int)
+    for r in docs.select("text").collect():
+        copies[r.text or ""] += len((r.text or "").encode()) + 1
+    assert all(len(where[t]) == 1 for t, n in copies.items() if n <= sum(copies.values()) // 16 // 8)
     sizes = reshard.block_sizes(reshard.sized(docs, F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(12))))
     plan = reshard.plan_transfers(sizes, 16)
     total = int(sizes["bytes"].sum())

@@ -56,6 +56,17 @@ def test_exact_with_odd_rows(spark, monkeypatch):
     assert exact_topk.search(table.where("false")).count() == 0
 
 
+def test_different_vectors_of_one_id_are_rows_each(spark):
+    rows = [(0, [0.0, 1.0]), (5, [0.5, 1.0]), (5, [0.4, 9.0]), (5, [0.4, 9.0]), (7, [1.0, 2.0]), (10, [1.0, 0.0]), (10, [0.0, 3.0])]
+    table = vectors_of(spark, [(*r, 0, 1.0, 2, 3) for r in rows])
+    one = 1024 * 1024
+    assert found(exact_topk.search(table, every=5, top=3))[0] == [(5, 9 * one), (10, 3 * one), (7, 2 * one)]
+    assert found(exact_topk.search(table, every=5, top=3))[10] == [(5, 27 * one), (7, 6 * one), (0, 3 * one)]
+    near = found(ann.search(table, every=5, top=4))
+    assert near[0] == [(5, 9.0), (10, 3.0), (7, 2.0), (5, 1.0)]
+    assert near[10] == [(5, 27.0), (7, 6.0), (0, 3.0), (5, 3.0)]
+
+
 def test_recall_of_learned_partitions(spark, small):
     table = spark.read.parquet(f"{small}/embeddings.parquet")
     rows = table.orderBy("vec_id").collect()
