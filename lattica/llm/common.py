@@ -37,6 +37,18 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, old)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within the block, Arrow batches hold at most ``rows`` rows, for rows that carry whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back; its shuffle files are freed."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import slices
-from lattica.llm.common import discard, stored, text_of
+from lattica.llm.common import discard, small_batches, stored, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -32,6 +32,7 @@ ALIKE = 22  # equal samples, of BANDS * ROWS, that a pair needs to be verified;
 RARE, DAMPING = 0.01, 0.5
 WIDTH_BITS, DEPTH = 18, 2
 SLICE = 1 << 19
+BATCH = 256  # rows with texts in an Arrow batch
 U64 = np.uint64
 
 
@@ -348,6 +349,12 @@ def across(pairs: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def linked_keys(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row, and (key, label) of every key in a class of several texts; see ``_linked``."""
+    with small_batches(docs.sparkSession, BATCH):
+        return _linked(docs, similarity)
+
+
+def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every row, and (key, label) of every key in a class of several texts.
 
     First, in each bucket that holds texts of several classes, CENTRES texts serve as centres that all texts of other classes
