@@ -6,7 +6,7 @@ row of the table becomes one particle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators import graph, spatial
@@ -87,16 +87,26 @@ beads AS (
 CARRY = ["molecule", "species", "parent", "block", "residue"]
 
 
-_CONTACTS: dict[tuple[str, str], DataFrame] = {}
+_CONTACTS: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+
+
+def _listing(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files; empty if it doesn't exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return "\n".join(f.toString() for f in files.listStatus(at)) if files.exists(at) else ""
 
 
 def contacts(t: Tables) -> DataFrame:
-    """All bead pairs at the largest cutoff, with the attributes of both beads: searched once for a session and a folder of
-    tables, written to the shared folder, and read by every contact query."""
+    """All bead pairs at the largest cutoff, with the attributes of both beads: searched once for a session and the files of a
+    folder's line items, written to the shared folder, and read by every contact query. Changed files, or a stored table
+    that is gone, lead to a new search."""
     at = (t.spark.sparkContext.applicationId, t.folder)
-    if at not in _CONTACTS:
-        _CONTACTS[at] = materialise(spatial.radius_pairs(beads(t), KEYS, BOX, max(CUTOFFS), carry=CARRY), "contacts")
-    return _CONTACTS[at]
+    files = _listing(t.spark, f"{t.folder}/lineitem.parquet")
+    known = _CONTACTS.get(at)
+    if known is None or known[0] != files or not _listing(t.spark, known[1].stored_path):
+        _CONTACTS[at] = (files, materialise(spatial.radius_pairs(beads(t), KEYS, BOX, max(CUTOFFS), carry=CARRY), "contacts"))
+    return _CONTACTS[at][1]
 
 
 def stored_pairs(t: Tables) -> DataFrame:

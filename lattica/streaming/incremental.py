@@ -43,10 +43,20 @@ def require_fresh(current: DataFrame, stored: DataFrame, keys: Sequence[str] = K
         raise StaleResults(f"missing or stale results, for example {missing.first().asDict()}")
 
 
-def refresh_arrivals(arrivals: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: Sequence[str] = KEYS):
-    """Streaming form: process the files that have arrived since the last run, then stop."""
-
-    def batch(df: DataFrame, _epoch: int) -> None:
-        write_trajectories(compute(df), path, keys)
+def refresh_arrivals(
+    arrivals: DataFrame, history: Callable[[], DataFrame], compute: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: Sequence[str] = KEYS
+):
+    """Streaming form: process the files that have arrived since the last run, then stop.
+
+    A trajectory whose files arrive in several batches is computed again from all of them: a batch only tells which keys to
+    renew, and ``history`` reads everything that has arrived. The ledger beside the checkpoint holds each batch's keys by
+    epoch; a batch that is repeated after a failure writes the same entry and the same partitions again.
+    """
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        entry = f"{checkpoint}-ledger/epoch={epoch}"
+        df.select(*keys).distinct().write.mode("overwrite").parquet(entry)
+        due = df.sparkSession.read.schema(df.select(*keys).schema).parquet(entry)
+        write_trajectories(compute(history().join(due, list(keys), "left_semi")), path, keys)
 
     return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from lattica.operators import contrasts, forest, graph, placement, polymer, quality, quantiles, selection, sequences, spatial, topology
 from lattica.sources import tables as sources
 from lattica.sources.trajectory import TrajectoryDataSource
+from lattica.plans import roles
+from lattica.plans.registry import Tables
+from lattica.session import discard
 from lattica.streaming import incremental, monitor
 
 L = 10.0
@@ -353,6 +356,34 @@ def test_complementary_pairs(spark):
     assert got == [(0, 1), (0, 3)]
 
 
+def test_arrivals_in_several_batches_lose_nothing(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "system string, replicate string, frame int, v double"
+    compute = lambda df: df.groupBy("system", "replicate").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    history = lambda: spark.read.schema(schema).parquet(folder)
+    batches = ([("a", "r1", 1, 1.0), ("b", "r1", 1, 2.0)], [("a", "r1", 2, 4.0)], [("c", "r1", 1, 8.0), ("a", "r1", 3, 16.0)])
+    for rows in batches:  # every run is a restart from the checkpoint
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        incremental.refresh_arrivals(spark.readStream.schema(schema).parquet(folder), history, compute, out, state).awaitTermination()
+        got = sorted((r.system, r.n, r.v) for r in spark.read.parquet(out).collect())
+        assert got == sorted((r.system, r.n, r.v) for r in compute(history()).collect())
+    assert sorted((r.epoch, r.system) for r in spark.read.parquet(f"{state}-ledger").collect()) == [(0, "a"), (0, "b"), (1, "a"), (2, "a"), (2, "c")]
+
+
+def test_contacts_follow_changed_files(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    folder = str(tmp_path)
+    source.where("l_suppkey < 3").write.parquet(f"{folder}/lineitem.parquet")
+    few = roles.contacts(Tables(spark, folder))
+    assert roles.contacts(Tables(spark, folder)) is few
+    n = few.count()
+    source.write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
+    all_ = roles.contacts(Tables(spark, folder))
+    assert all_.count() > n > 0
+    discard(all_)
+    assert roles.contacts(Tables(spark, folder)).count() > n
+
+
 def test_incremental_refresh(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(rows, "system string, replicate string, size int")
     path = str(tmp_path / "results")
