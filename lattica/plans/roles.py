@@ -94,7 +94,7 @@ def _listing(spark: SparkSession, path: str) -> str:
     """Names, sizes and times of a table's files; empty if it doesn't exist."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return "\n".join(f.toString() for f in files.listStatus(at)) if files.exists(at) else ""
+    return "\n".join(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}" for f in files.listStatus(at)) if files.exists(at) else ""
 
 
 def contacts(t: Tables) -> DataFrame:
