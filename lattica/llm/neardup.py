@@ -25,6 +25,7 @@ from lattica.llm.common import discard, small_batches, stored, text_of
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
+WORTH = 20  # a further round needs one link between classes per this number of open (bucket, text) rows
 CENTRES = 3  # texts of a bucket that the others are compared with in one round
 BEST = 4  # pairs of a text with one other class that are verified before the rest
 BLOCK, ASKED = 512, 8192  # members of a bucket, and texts compared with them, in one task
@@ -32,6 +33,7 @@ ALIKE = 22  # equal samples, of BANDS * ROWS, that a pair needs to be verified;
 RARE, DAMPING = 0.01, 0.5
 WIDTH_BITS, DEPTH = 18, 2
 SLICE = 1 << 19
+SPREAD = 64  # pairs that share one copy of a hub's text
 BATCH = 256  # rows with texts in an Arrow batch
 U64 = np.uint64
 
@@ -247,36 +249,48 @@ def with_keys(docs: DataFrame, columns: Sequence[str], once: bool = False) -> Da
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: Callable[[], Weights]) -> DataFrame:
-    """Exact weighted Jaccard similarity of pairs (key, other): key, other, similarity. ``texts``: key, text.
+    """Exact weighted Jaccard similarity of pairs (key, other), key < other: key, other, similarity. ``texts``: key, text.
 
-    Only the texts move, each once per pair, and no pair needs another one's task.
+    The end with more pairs is the hub of a pair. A hub's text moves once per SPREAD pairs, the other end's once per pair,
+    and both by one join with the texts. Rows are sorted, a hub before those compared with it, so a task holds the shingles
+    of one hub and of a slice of a batch, and a hub with many pairs is spread over tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = weights()
-        last: tuple = (None, None, None)
+        held: tuple = (np.empty(0, np.uint64), np.empty(0, np.float32), 0.0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                values, tf, counts, _ = shingles(part.column("text").to_pylist())
+            hubs, leaves, at = batch.column("hub").to_pylist(), batch.column("leaf").to_pylist(), 0
+            for group in slices(batch.column("text").to_pylist(), SLICE):
+                values, tf, counts, _ = shingles(group)
                 own = known.of(values, tf)
                 edges = np.concatenate([[0], np.cumsum(counts)])
-                out = []
-                for i, (name, text) in enumerate(zip(part.column("other").to_pylist(), part.column("other_text").to_pylist())):
-                    if last[0] != name:
-                        v, c, _, _ = shingles([text])
-                        last = (name, v, known.of(v, c))
-                    a, wa, b, wb = values[edges[i] : edges[i + 1]], own[edges[i] : edges[i + 1]], last[1], last[2]
-                    place = np.searchsorted(b, a)
-                    hit = place < len(b)
-                    hit[hit] = b[place[hit]] == a[hit]
-                    shared = float(np.minimum(wa[hit], wb[place[hit]]).sum(dtype=np.float64))
-                    out.append(shared / (float(wa.sum(dtype=np.float64)) + float(wb.sum(dtype=np.float64)) - shared))
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("other"), pa.array(out)], ["key", "other", "similarity"])
-
-    left = pairs.join(texts, "key")
-    both = left.join(texts.select(F.col("key").alias("other"), F.col("text").alias("other_text")), "other")
-    return both.select("key", "text", "other", "other_text").mapInArrow(run, "key binary, other binary, similarity double")
+                near = []
+                for i in range(len(group)):
+                    a, wa = values[edges[i] : edges[i + 1]], own[edges[i] : edges[i + 1]]
+                    total = float(wa.sum(dtype=np.float64))
+                    if leaves[at + i] is None:
+                        held = (a.copy(), wa.copy(), total)
+                        continue
+                    place = np.searchsorted(held[0], a)
+                    hit = place < len(held[0])
+                    hit[hit] = held[0][place[hit]] == a[hit]
+                    shared = float(np.minimum(wa[hit], held[1][place[hit]]).sum(dtype=np.float64))
+                    near.append((hubs[at + i], leaves[at + i], shared / (total + held[2] - shared)))
+                at += len(group)
+                if near:
+                    columns = zip(*near)
+                    yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.binary()), pa.array(next(columns), pa.binary()), pa.array(next(columns), pa.float64())], ["hub", "leaf", "similarity"])
+
+    ends = pairs.select("key").union(pairs.select("other")).groupBy("key").agg(F.count("*").alias("n"))
+    met = pairs.join(ends.withColumnRenamed("n", "n_key"), "key").join(ends.select(F.col("key").alias("other"), F.col("n").alias("n_other")), "other")
+    first = F.col("n_key") >= F.col("n_other")
+    met = met.select(F.when(first, F.col("key")).otherwise(F.col("other")).alias("hub"), F.when(first, F.col("other")).otherwise(F.col("key")).alias("leaf"), F.greatest("n_key", "n_other").alias("n"))
+    met = met.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("n") / SPREAD)).alias("salt"))
+    wanted = met.select("hub", "salt", "leaf", F.col("leaf").alias("key")).union(met.select("hub", "salt", F.lit(None).cast("binary"), "hub").distinct())
+    rows = wanted.join(texts, "key").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("leaf").asc_nulls_first())
+    found = rows.select("hub", "leaf", "text").mapInArrow(run, "hub binary, leaf binary, similarity double")
+    return found.select(F.least("hub", "leaf").alias("key"), F.greatest("hub", "leaf").alias("other"), "similarity")
 
 
 def merged_labels(links: DataFrame, name: str) -> DataFrame:
@@ -360,7 +374,7 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     First, in each bucket that holds texts of several classes, CENTRES texts serve as centres that all texts of other classes
     are compared with, and then leave the bucket. Centres are the texts that were most similar, on average, to those they were
     compared with so far: in a group of edited copies those near the original. These rounds join large groups at little
-    cost and go on while they bring links. Then every bucket that is still mixed is finished: all its pairs of different
+    cost and go on while they bring enough links (WORTH); what they leave is the finish's, so their number affects cost only. Then every bucket that is still mixed is finished: all its pairs of different
     classes are compared, and those that are alike are verified, the best of each text and class first and then all that are
     still in different classes. Pairs whose samples differ too much to be similar aren't verified.
     """
@@ -380,7 +394,6 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     state = stored(keys.select("key", F.col("key").alias("label"), F.lit(0.0).alias("likeness"), F.lit(0).cast("long").alias("tests"), F.lit(0).cast("long").alias("links")), "dup-state")
     drawn = stored(rows.where("samples IS NOT NULL").select("key", "samples").join(keys, "key", "left_semi").dropDuplicates(["key"]), "dup-samples")
     tested = None
-    turn = 0
     best_first = Window.partitionBy("bucket").orderBy(F.desc("mean"), F.desc("key"))
     while True:
         mean = F.col("likeness") / F.greatest("tests", F.lit(1))
@@ -402,8 +415,8 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         links = checked.where(F.col("similarity") >= similarity)
         named = links.join(state.select("key", F.col("label").alias("u")), "key").join(state.select(F.col("key").alias("other"), F.col("label").alias("v")), "other")
         named = stored(named.where("u <> v").select("u", "v").distinct(), "dup-named")
-        turn += 1
-        found = not named.isEmpty()
+        merging, rows_open = named.count(), turns.count()
+        found = merging > 0
         estimates = pairs.select("key", "estimate").union(pairs.select("other", "estimate")).groupBy("key").agg(F.sum("estimate").alias("more"), F.count("*").alias("times"))
         linked = links.select("key").union(links.select("other")).groupBy("key").agg(F.count("*").alias("linked"))
         after = state.join(estimates, "key", "left").join(linked, "key", "left")
@@ -425,7 +438,7 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         new = pairs.select("key", "other")
         tested = stored(new if tested is None else tested.union(new), "dup-tested")
         discard(*old)
-        if turn > 1 and not found:
+        if merging * WORTH < rows_open:
             break
     left = alike_pairs(cells, state, drawn)
     left = stored(left if tested is None else left.join(tested, ["key", "other"], "left_anti"), "dup-left")
