@@ -128,6 +128,17 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     return guarded(left, "left").join(guarded(right, "right"), keys).where("_n_left = 1 AND _n_right = 1").drop("_n_left", "_n_right")
 
 
+def agreement(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, groups: Sequence[str], tolerance: float) -> DataFrame:
+    """Do two analyses give one quantity? Per group: rows on both sides, rows on one side only, the largest gap, and
+    whether it is within the tolerance with no row missing. A value that is NULL on one side counts as one-sided."""
+    on = [*groups, *keys]
+    both = left.select(*on, F.col(value).alias("_l")).join(right.select(*on, F.col(value).alias("_r")), on, "full")
+    gap = F.abs(F.col("_l") - F.col("_r"))
+    single = F.count_if(F.col("_l").isNull() != F.col("_r").isNull())
+    out = both.groupBy(*groups).agg(F.count(gap).alias("n_both"), single.alias("one_sided"), F.max(gap).alias("gap"))
+    return out.withColumn("passed", (F.col("one_sided") == 0) & (F.coalesce("gap", F.lit(0.0)) <= tolerance))
+
+
 def frame_map_problems(maps: DataFrame, schema: str, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Selected-frame maps that are not usable: wrong tag, not sorted and unique, out of range, or of the wrong length."""
     a = F.col("source_frames_one_based")

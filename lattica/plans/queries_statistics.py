@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import scalars as S
-from lattica.operators import contrasts, quality, quantiles, selection, statistics
+from lattica.operators import contrasts, digests, quality, quantiles, selection, statistics
 from lattica.plans.registry import Tables, query
 
 HOUR = "CAST(floor((unix_timestamp(ts) - 1704067200) / 3600) AS BIGINT)"
@@ -469,6 +469,54 @@ def v8_one_to_one_agreement(t: Tables) -> DataFrame:
     return quality.one_to_one(t.orders.select("o_orderkey", "o_totalprice"), s, ["o_orderkey"]).withColumn("d", F.abs(F.col("o_totalprice") - F.col("s")))
 
 
+@query(
+    "v8_agreement",
+    "status:s n_both:i one_sided:i passed:b",
+    """SELECT status, COUNT(a IS NOT NULL AND b IS NOT NULL OR NULL) AS n_both, COUNT((a IS NULL) <> (b IS NULL) OR NULL) AS one_sided,
+         COUNT((a IS NULL) <> (b IS NULL) OR NULL) = 0 AND COALESCE(MAX(ABS(a - b)), 0) <= 0.01 AS passed FROM (
+         SELECT l_linestatus AS status, l_orderkey, SUM(l_extendedprice * (1 - l_discount)) AS a FROM lineitem GROUP BY ALL) FULL JOIN (
+         SELECT l_linestatus AS status, l_orderkey, SUM(l_extendedprice) - SUM(l_extendedprice * l_discount) AS b FROM lineitem
+         WHERE l_linestatus = 'F' OR l_quantity > 1 GROUP BY ALL) USING (status, l_orderkey) GROUP BY status""",
+)
+def v8_agreement(t: Tables) -> DataFrame:
+    """V8: one quantity from two analyses, within a tolerance and with none missing; the second one here lacks some rows."""
+    keys = [F.col("l_linestatus").alias("status"), "l_orderkey"]
+    first = t.lineitem.groupBy(*keys).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    some = t.lineitem.where("l_linestatus = 'F' OR l_quantity > 1")
+    second = some.groupBy(*keys).agg((F.sum("l_extendedprice") - F.sum(F.col("l_extendedprice") * F.col("l_discount"))).alias("net"))
+    return quality.agreement(first, second, ["l_orderkey"], "net", ["status"], 0.01)
+
+
+@query(
+    "v10_root_digests",
+    "supplier:i n_rows:i root:s",
+    """SELECT supplier, SUM(n)::BIGINT AS n_rows, sha256(string_agg(chunk || ':' || d, '|' ORDER BY chunk)) AS root FROM (
+         SELECT l_suppkey AS supplier, (l_orderkey * 8 + l_linenumber) // 4096 AS chunk, COUNT(*) AS n,
+           sha256(string_agg((l_orderkey * 8 + l_linenumber) || ',=' || l_partkey || ',=' || l_linestatus, '|' ORDER BY l_orderkey * 8 + l_linenumber,
+             (l_orderkey * 8 + l_linenumber) || ',=' || l_partkey || ',=' || l_linestatus)) AS d FROM lineitem GROUP BY ALL) GROUP BY supplier""",
+)
+def v10_root_digests(t: Tables) -> DataFrame:
+    """A digest of each supplier's rows in order, from digests of chunks."""
+    rows = t.lineitem.select(F.col("l_suppkey").alias("supplier"), F.expr("l_orderkey * 8 + l_linenumber").cast("long").alias("pos"), F.col("l_partkey").cast("long").alias("part"), "l_linestatus")
+    return digests.root_digests(digests.chunk_digests(rows, ["supplier"], "pos", ["part", "l_linestatus"], 4096), ["supplier"])
+
+
+@query(
+    "v16_prefix_identity",
+    "task:i kept:i added:i broken:i first_broken:i passed:b",
+    """SELECT l_orderkey AS task, COUNT(*) FILTER (l_linenumber <= 4) AS kept, COUNT(*) FILTER (l_linenumber > last) AS added,
+         COUNT(DISTINCT l_linenumber) FILTER (l_linenumber <= 4 AND l_returnflag = 'R') AS broken, MIN(l_linenumber) FILTER (l_linenumber <= 4 AND l_returnflag = 'R') AS first_broken,
+         COUNT(*) FILTER (l_linenumber <= 4 AND l_returnflag = 'R') = 0 AS passed
+       FROM (SELECT *, MAX(CASE WHEN l_linenumber <= 4 THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS last FROM lineitem)
+       WHERE last IS NOT NULL GROUP BY l_orderkey""",
+)
+def v16_prefix_identity(t: Tables) -> DataFrame:
+    """A child repeats its parent's rows and adds others; here returned rows have changed and must be found."""
+    rows = t.lineitem.select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").cast("long").alias("bead"), F.col("l_partkey").cast("long").alias("x"), "l_returnflag")
+    child = rows.withColumn("x", F.when(F.col("l_returnflag") == "R", F.col("x") + 1).otherwise(F.col("x")))
+    return digests.prefix_identity(rows.where("bead <= 4").drop("l_returnflag"), child.drop("l_returnflag"), ["task"], "bead", ["x"])
+
+
 @query(
     "j15_matched_fields",
     "task:i parent:i changed:s",
@@ -477,7 +525,7 @@ def v8_one_to_one_agreement(t: Tables) -> DataFrame:
         FROM (SELECT *, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey - 1 END AS parent FROM orders) c JOIN orders p ON c.parent = p.o_orderkey) WHERE changed <> ''""",
 )
 def j15_matched_fields(t: Tables) -> DataFrame:
-    """Fields of a child row that must equal those of its parent."""
+    """Fields of a child row that must equal those of its parent."""
     o = t.orders.selectExpr("*", "if(o_orderkey % 2 = 1, o_orderkey - 1, NULL) AS parent")
     return quality.matched_fields(o, "o_orderkey", "parent", ["o_orderstatus", "o_orderpriority"]).select(
         F.col("o_orderkey").alias("task"), "parent", F.array_join("changed", ",").alias("changed")

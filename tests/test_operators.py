@@ -473,3 +473,34 @@ def test_atom_records_and_checksums(spark, tmp_path):
     (tmp_path / "sums").write_text(f"{digest}  *a.pdb\n{'0' * 64}  b.pdb\n")
     bad = quality.digest_mismatches(sources.checksum_list(spark, str(tmp_path / "sums")), sources.file_digests(spark, str(pdb)))
     assert [(x.path, x.reason) for x in bad.collect()] == [("b.pdb", "missing")]
+
+
+def test_differences_are_located_by_descent(spark):
+    from lattica.operators import digests
+
+    rows = [(k, i, i * 3, "a") for k in (1, 2) for i in range(40)]
+    changed = [(k, i, v + (k == 2 and i == 17), s) for k, i, v, s in rows if (k, i) != (2, 30)] + [(2, 41, 0, None)]
+    left, right = (spark.createDataFrame(x, "k int, pos long, v long, s string").repartition(3) for x in (rows, changed))
+    found = {tuple(r) for r in digests.differences(left, right, ["k"], "pos", ["v", "s"], chunk=8).collect()}
+    assert found == {(2, 17, "changed"), (2, 30, "left only"), (2, 41, "right only")}
+    a, b = (digests.root_digests(digests.chunk_digests(x.repartition(n), ["k"], "pos", ["v", "s"], 8), ["k"]) for x, n in ((left, 2), (left, 5)))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    null, empty = (spark.createDataFrame([(1, 0, x)], "k int, pos long, s string") for x in (None, ""))
+    assert digests.differences(null, empty, ["k"], "pos", ["s"]).count() == 1
+    assert digests.differences(left.limit(0), left.limit(0), ["k"], "pos", ["v"]).count() == 0
+
+
+def test_prefix_identity(spark):
+    from lattica.operators import digests
+
+    parent = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (2, 0, 7)], "k int, pos long, v long")
+    child = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (1, 2, 9), (2, 0, 8)], "k int, pos long, v long")
+    got = sorted(map(tuple, digests.prefix_identity(parent, child, ["k"], "pos", ["v"]).collect()))
+    assert got == [(1, 2, 1, 0, None, True), (2, 1, 0, 1, 0, False)]
+
+
+def test_agreement(spark):
+    left = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 1.0), ("c", 1, 1.0)], "g string, k int, v double")
+    right = spark.createDataFrame([("a", 1, 1.001), ("a", 2, 2.0), ("b", 1, 1.5)], "g string, k int, v double")
+    got = {r["g"]: (r["n_both"], r["one_sided"], r["passed"]) for r in quality.agreement(left, right, ["k"], "v", ["g"], 0.01).collect()}
+    assert got == {"a": (2, 0, True), "b": (1, 0, False), "c": (0, 1, False)}

@@ -22,7 +22,7 @@ SELECTED = [
     "a6_pair_kinds", "a10_contact_map_od", "a12_frame_normalised_histogram", "a13_linear_quantile", "a14_weighted_step_quantile", "a20_binding_categories",
     "a9_residue_profile", "a10_contact_map_md", "a28_arm_pivot", "a29_rebinned_profile", "a31_contact_matrix", "p23_unfragmented_profile", "s8_fixed_width_records", "s12_content_digests",
     "c2_arm_differences", "k8_largest_component_nodes", "a37_numerical_summary", "c3_difference_in_differences", "c5_mask_decomposition", "k5_representative_frame", "k6_matched_representative", "v2_ledger",
-    "w2_unwrap_two_strands", "w5_moving_average", "w8_pairs_in_one_run", "t2_opposite_strand_pairs", "i1_changed_signatures", "i2_health_stream",
+    "v8_agreement", "v10_root_digests", "v16_prefix_identity", "w2_unwrap_two_strands", "w5_moving_average", "w8_pairs_in_one_run", "t2_opposite_strand_pairs", "i1_changed_signatures", "i2_health_stream",
 ]
 
 
