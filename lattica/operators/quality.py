@@ -52,6 +52,15 @@ def exact_sampling(frames: DataFrame, groups: Sequence[str], **grid) -> DataFram
     return ledger_row(report, "exact sampling grid", F.count_if(~F.col("passed")), "0 groups off the grid", F.count_if(~F.col("passed")) == 0)
 
 
+def block_counts(frames: DataFrame, groups: Sequence[str], replicate: str, frame: str, repeats: int, per_block: int) -> DataFrame:
+    """Per group: its replicates, the fewest and most distinct frames of one, and whether all numbers are as required.
+    Rows without a replicate or a frame count for nothing."""
+    blocks = frames.groupBy(*groups, replicate).agg(F.count_distinct(frame).alias("_n"))
+    out = blocks.groupBy(*groups).agg(F.count(replicate).alias("n_replicates"), F.min(F.when(F.col(replicate).isNotNull(), F.col("_n"))).alias("fewest"), F.max(F.when(F.col(replicate).isNotNull(), F.col("_n"))).alias("most"))
+    exact = (F.col("n_replicates") == repeats) & (F.col("fewest") == per_block) & (F.col("most") == per_block)
+    return out.withColumn("passed", F.coalesce(exact, F.lit(False)))
+
+
 def missing_frames(frames: DataFrame, groups: Sequence[str], first: int, last: int, step: int, frame: str = "frame") -> DataFrame:
     """Grid frames that a group lacks."""
     grid = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"), F.lit(step).cast("long")))

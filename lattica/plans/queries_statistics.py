@@ -487,6 +487,18 @@ def v8_agreement(t: Tables) -> DataFrame:
     return quality.agreement(first, second, ["l_orderkey"], "net", ["status"], 0.01)
 
 
+@query(
+    "v9_block_counts",
+    "system:s n_replicates:i fewest:i most:i passed:b",
+    """SELECT system, COUNT(*) AS n_replicates, MIN(n) AS fewest, MAX(n) AS most, COUNT(*) = 3 AND MIN(n) = 25 AND MAX(n) = 25 AS passed FROM (
+         SELECT o_orderpriority AS system, o_orderstatus, COUNT(DISTINCT o_orderkey % 25) AS n FROM orders GROUP BY ALL) GROUP BY system""",
+)
+def v9_block_counts(t: Tables) -> DataFrame:
+    """V9: replicates of each system and frames of each replicate against required numbers."""
+    frames = t.orders.select(F.col("o_orderpriority").alias("system"), "o_orderstatus", (F.col("o_orderkey") % 25).alias("frame"))
+    return quality.block_counts(frames, ["system"], "o_orderstatus", "frame", 3, 25)
+
+
 @query(
     "v10_root_digests",
     "supplier:i n_rows:i root:s",

@@ -504,3 +504,9 @@ def test_agreement(spark):
     right = spark.createDataFrame([("a", 1, 1.001), ("a", 2, 2.0), ("b", 1, 1.5)], "g string, k int, v double")
     got = {r["g"]: (r["n_both"], r["one_sided"], r["passed"]) for r in quality.agreement(left, right, ["k"], "v", ["g"], 0.01).collect()}
     assert got == {"a": (2, 0, True), "b": (1, 0, False), "c": (0, 1, False)}
+
+
+def test_block_counts(spark):
+    rows = [("a", r, f) for r in (1, 2, 3) for f in range(4)] + [("a", 1, 0), ("b", 1, 0), ("c", None, 0)]
+    got = {r["s"]: tuple(r)[1:] for r in quality.block_counts(spark.createDataFrame(rows, "s string, r int, f int"), ["s"], "r", "f", 3, 4).collect()}
+    assert got == {"a": (3, 4, 4, True), "b": (1, 1, 1, False), "c": (0, None, None, False)}
