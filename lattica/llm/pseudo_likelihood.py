@@ -1,27 +1,34 @@
 """Masked pseudo-likelihood: a window network that predicts every token from both sides scores documents.
 
-Words are counted over all documents; the most frequent ones are tokens of their own, the others share hashed ones. The
-network is trained on all documents: in each round every task runs stochastic gradient steps over the masked tokens of its
-own documents, and the tasks' networks are averaged. A document's score is the sum of log-probabilities of all its tokens,
-each given its neighbours on both sides.
+All words of all documents are counted. The most frequent ones are tokens of their own, the others share hashed tokens, and
+a word's probability is that of its token times its own share of the token's occurrences. The table of counts grows with the
+corpus and stays on Spark: shards of documents meet it by a join of their distinct words. The network, of fixed size, is
+trained on all documents: in each round every task runs stochastic gradient steps over the masked tokens of its own
+documents, and the tasks' networks are averaged. A document's score is the sum of log-probabilities of all its words, each
+given its neighbours on both sides. Averages follow how the documents lie in tasks, so scores differ between splits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import slices
-from lattica.llm.common import text_of
+from lattica.llm.common import discard, stored, text_of
+from lattica.llm.filter_audit import spread, squeezed
 from lattica.llm.neardup import SLICE, word_hashes
 
 CLASSES = 32  # the output is a class of tokens, then one of CLASSES tokens in it
 TOKENS = CLASSES * CLASSES
 FREQUENT = 768  # the other tokens are shared by hash
+SHARED = TOKENS - FREQUENT  # a power of two
+SHARD = 1 << 24  # bytes of text whose distinct words meet the counts together
 OFFSETS = (-2, -1, 1, 2)
 SIZE = 32
 MASKED = 0.15
@@ -32,6 +39,13 @@ PAD = TOKENS
 Net = list[np.ndarray]
 
 
+class Model(NamedTuple):
+    net: Net
+    frequent: np.ndarray
+    counts: DataFrame  # word (a hash), times: every word of the corpus
+    totals: np.ndarray  # occurrences of each shared token
+
+
 def new_network(seed: int = 11) -> Net:
     """Inputs by offset and token, hidden bias, class weights and bias, token weights and bias by class."""
     rng = np.random.default_rng(seed)
@@ -41,16 +55,16 @@ def new_network(seed: int = 11) -> Net:
     return [p.astype(np.float32) for p in parts]
 
 
-def tokens_of(texts: list[str], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the texts in a row, and tokens per text. ``frequent``: (hash, token) of the frequent words, by hash."""
+def tokens_of(texts: list[str], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the texts in a row, tokens per text, and the words' hashes. ``frequent``: (hash, token) of the frequent words, by hash."""
     words, counts = word_hashes(texts)
-    out = (FREQUENT + (words % np.uint64(TOKENS - FREQUENT))).astype(np.int64)
+    out = (FREQUENT + (words % np.uint64(SHARED))).astype(np.int64)
     if len(frequent) and len(words):
         hashes = frequent[:, 0]
         place = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
         hit = hashes[place] == words
         out[hit] = frequent[place[hit], 1]
-    return out, counts
+    return out, counts, words
 
 
 def contexts(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -131,20 +145,32 @@ def train_step(net: Net, squares: Net, tokens: np.ndarray, context: np.ndarray,
         weight -= rate * grad / np.sqrt(square + 1e-8)
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """(hash, token) of the ``most`` most frequent words of all documents, by hash. Tasks count their own words first."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (its hash) and times for every word of all documents, stored. Tasks count their own words first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in slices(batch.column("text").to_pylist(), 16 * SLICE):
+            for group in slices(batch.column("text").to_pylist(), SHARD):
                 words, times = np.unique(word_hashes(group)[0].view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(times)], ["word", "times"])
 
-    counted = docs.select(text_of().alias("text")).mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    best = [r[0] for r in counted.orderBy(F.desc("times"), "word").limit(most).collect()]
-    table = np.array(best, np.int64).view(np.uint64)
+    counted = docs.select(text_of().alias("text")).mapInArrow(run, "word long, times long")
+    return stored(counted.groupBy("word").agg(F.sum("times").alias("times")), "lm-words")
+
+
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, token) of the ``most`` most frequent words, by hash, and the occurrences of each shared token, whose words are all others."""
+    best = [tuple(r) for r in counts.orderBy(F.desc("times"), "word").limit(most).collect()]
+    slot = F.col("word").bitwiseAND(SHARED - 1).cast("int")
+    totals = np.zeros(SHARED)
+    for place, times in counts.groupBy(slot.alias("slot")).agg(F.sum("times").alias("times")).collect():  # at most SHARED rows
+        totals[place] = times
+    for word, times in best:
+        totals[word & (SHARED - 1)] -= times
+    table = np.array([w for w, _ in best], np.int64).view(np.uint64)
     order = np.argsort(table)
-    return np.stack([table[order], order.astype(np.uint64)], axis=1) if best else np.empty((0, 2), np.uint64)
+    known = np.stack([table[order], order.astype(np.uint64)], axis=1) if best else np.empty((0, 2), np.uint64)
+    return known, totals
 
 
 def _packed(net: Net) -> bytes:
@@ -170,7 +196,7 @@ def trained(docs: DataFrame, frequent: np.ndarray, net: Net, turn: int) -> Net:
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for group in slices(batch.column("text").to_pylist(), SLICE):
-                tokens, counts = tokens_of(group, known)
+                tokens, counts, _ = tokens_of(group, known)
                 masked = np.flatnonzero(rng.random(len(tokens)) < MASKED)
                 context = contexts(tokens, counts)[:, masked]
                 waiting.append((tokens[masked], context))
@@ -206,41 +232,88 @@ def trained(docs: DataFrame, frequent: np.ndarray, net: Net, turn: int) -> Net:
     return _unpacked(flat[:-1] / flat[-1], net)
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Net, np.ndarray]:
-    """Network and vocabulary from all documents."""
-    frequent = frequent_words(docs)
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Network, vocabulary and word counts from all documents."""
+    counts = word_counts(docs)
+    frequent, totals = frequent_words(counts)
     net = new_network()
     for turn in range(rounds):
         net = trained(docs, frequent, net, turn)
-    return net, frequent
+    return Model(net, frequent, counts, totals)
 
 
-def document_scores(texts: list[str], net: Net, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Summed log-probability and tokens of each text."""
-    tokens, counts = tokens_of(texts, frequent)
+def token_scores(texts: list[str], net: Net, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Summed log-probability of the tokens of each text, tokens of each text, and the words with shared tokens: their text's
+    place and their hash, one by one."""
+    tokens, counts, words = tokens_of(texts, frequent)
     ends = np.concatenate([[0.0], np.cumsum(log_probabilities(net, tokens, contexts(tokens, counts)))])
     edges = np.concatenate([[0], np.cumsum(counts)])
-    return np.diff(ends[edges]), counts
+    rare = tokens >= FREQUENT
+    return np.diff(ends[edges]), counts, np.repeat(np.arange(len(texts)), counts)[rare], words[rare].view(np.int64)
 
 
-def scored(docs: DataFrame, model: tuple[Net, np.ndarray] | None = None) -> DataFrame:
-    """Score of every document: doc_id, n_tokens, log_likelihood (the sum), per_token (its mean; null without tokens).
-
-    Null, empty and blank texts have no tokens and the sum 0. Equal texts score alike up to rounding; repeated rows are
-    scored each. Very long texts are scored whole. Columns other than doc_id and text are left out, so their names can't
-    clash.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+def scored_shards(docs: DataFrame, net: Net, frequent: np.ndarray) -> DataFrame:
+    """Shards of whole documents: ids, tokens and token scores, and the entries of words with shared tokens as places in the
+    shard's own list of those words."""
+    sent = docs.sparkSession.sparkContext.broadcast((net, frequent))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, frequent = sent.value
+        known = sent.value
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             done = 0
-            for group in slices(batch.column("text").to_pylist(), SLICE):
-                total, counts = document_scores(group, net, frequent)
-                mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(group)), pa.array(counts), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
-                done += len(group)
+            for texts in slices(batch.column("text").to_pylist(), SHARD):
+                parts, at = [], 0
+                for group in slices(texts, SLICE):
+                    total, counts, owner, word = token_scores(group, *known)
+                    parts.append((total, counts, owner + at, word))
+                    at += len(group)
+                total, counts, owner, word = (np.concatenate(x) for x in zip(*parts))
+                words, place = np.unique(word, return_inverse=True)
+                cell, times = np.unique(owner * max(1, len(words)) + place, return_counts=True)
+                entries = np.bincount(cell // max(1, len(words)), minlength=len(texts)).astype(np.int32)
+                ids = batch.column("doc_id").slice(done, len(texts)).to_pylist()
+                lists = [(ids, pa.int64()), (counts, pa.int64()), (total, pa.float64()), (entries, pa.int32()), (words, pa.int64())]
+                out = [pa.array([number]), *[pa.array([x], pa.list_(kind)) for x, kind in lists]]
+                out += [pa.array([squeezed(cell % max(1, len(words)))]), pa.array([squeezed(times)])]
+                yield pa.RecordBatch.from_arrays(out, ["shard", "doc_ids", "tokens", "totals", "entries", "words", "columns", "times"])
+                number += 1
+                done += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+    return rows.mapInArrow(run, "shard long, doc_ids array<long>, tokens array<long>, totals array<double>, entries array<int>, words array<long>, columns binary, times binary")
+
+
+def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """Score of every document: doc_id, n_tokens, log_likelihood (the sum), per_token (its mean; null without tokens).
+
+    A word of a shared token has the share times / (occurrences of the token + 1) of it; a word that the model's corpus lacks
+    has the share of one occurrence. Null, empty and blank texts have no tokens and the sum 0. Equal texts score alike up to
+    rounding; repeated rows and rows with a null id are scored each; an empty table gives no rows. Very long texts are scored
+    whole. Columns other than doc_id and text are left out, so their names can't clash.
+    """
+    net, frequent, counts, totals = model or fit(docs)
+    shards = stored(scored_shards(docs, net, frequent), "lm-shards")
+    whole = F.element_at(F.lit(totals + 1), F.col("word").bitwiseAND(SHARED - 1).cast("int") + 1)
+    share = (F.log(F.coalesce("known", F.lit(1)).cast("double")) - F.log(whole)).cast("float").alias("share")
+    own = shards.select("shard", F.posexplode("words").alias("place", "word")).join(counts.withColumnRenamed("times", "known"), "word", "left").select("shard", "place", share)
+    shares = stored(own.groupBy("shard").agg(F.collect_list("place").alias("places"), F.collect_list("share").alias("shares")), "lm-shares")  # of a shard's words
+    if model is None:
+        discard(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                flat = lambda c: row.column(c).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                entries, tokens = flat("entries"), flat("tokens")
+                share = np.zeros(len(flat("places")))
+                share[flat("places").astype(np.int64)] = flat("shares")
+                n = int(entries.sum())
+                sums = spread(row.column("times")[0].as_py(), n) * share[spread(row.column("columns")[0].as_py(), n)]
+                total = flat("totals") + np.bincount(np.repeat(np.arange(len(entries)), entries), sums, minlength=len(entries))
+                mean = pa.array(total / np.maximum(tokens, 1), mask=tokens == 0)
+                yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), pa.array(tokens, pa.int64()), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
+
+    sent = shards.drop("words").join(shares, "shard", "left")
+    return sent.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")

@@ -209,6 +209,47 @@ def test_pseudo_likelihood_learns(spark):
     assert all(r.n_tokens == len(t.split()) for (i, t) in rows for r in [got[i]])
 
 
+def test_document_sums_equal_a_plain_loop(spark, small, monkeypatch):
+    """Word by word: the token's probability times the word's share, counted in a dictionary; several shards."""
+    monkeypatch.setattr(pseudo_likelihood, "SHARD", 1 << 16)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").limit(300).repartition(3).cache()
+    model = pseudo_likelihood.fit(docs, rounds=1)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    hashes = {i: pseudo_likelihood.word_hashes([t])[0].tolist() for i, t in texts.items()}
+    times = Counter(w for ws in hashes.values() for w in ws)
+    assert {r.word % (1 << 64): r.times for r in model.counts.collect()} == times
+    known = {int(h): int(t) for h, t in model.frequent}
+    shared = Counter()
+    for w, n in times.items():
+        if w not in known:
+            shared[w % 256] += n
+    got = {r.doc_id: r for r in pseudo_likelihood.scored(docs, model).collect()}
+    assert got.keys() == texts.keys()
+    for i in list(texts)[::10]:
+        own = np.array([known.get(w, 768 + w % 256) for w in hashes[i]], np.int64)
+        plain = 0.0
+        for at in range(len(own)):
+            near = np.array([[own[at + o] if 0 <= at + o < len(own) else pseudo_likelihood.PAD] for o in pseudo_likelihood.OFFSETS])
+            plain += float(pseudo_likelihood.log_probabilities(model.net, own[at : at + 1], near)[0])
+            if hashes[i][at] not in known:
+                plain += np.log(times[hashes[i][at]] / (shared[hashes[i][at] % 256] + 1))
+        assert got[i].n_tokens == len(own) and got[i].log_likelihood == pytest.approx(plain, rel=1e-4, abs=1e-3)
+
+
+def test_rare_words_score_apart_from_random_strings(spark):
+    """Words beyond the network's own tokens: those that other documents hold are likelier than strings that none holds."""
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "po", "ri") for b in range(800)]
+    chosen = 1 / np.arange(1, len(words) + 1)
+    rows = [(i, " ".join(rng.choice(words, 80, p=chosen / chosen.sum()))) for i in range(600)]
+    rare = words[1200:2400]
+    rows += [(10_000 + i, " ".join(rng.choice(rare, 40))) for i in range(20)]
+    rows += [(20_000 + i, " ".join(f"x{rng.integers(1 << 40):x}" for _ in range(40))) for i in range(20)]
+    got = {r.doc_id: r.per_token for r in pseudo_likelihood.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    known, strings = [got[10_000 + i] for i in range(20)], [got[20_000 + i] for i in range(20)]
+    assert min(known) > max(strings)
+
+
 def test_pseudo_likelihood_odd_rows(stored_odd, no_documents):
     rows = pseudo_likelihood.scored(stored_odd).collect()
     assert len(rows) == stored_odd.count()
