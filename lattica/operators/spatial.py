@@ -16,11 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators import pyramid
 from lattica.session import materialise
 
 # Block edge in search radii, and a hair of slack so that rounding cannot hide a pair at exactly the radius.
 BLOCK_RADII = 3.0
 SLACK = 1.000000001
+# Targets that a frame searched as one block can have; a frame with more in any block is searched through a pyramid.
+CROWDED = 216
 
 
 def _number(box) -> str:
@@ -132,13 +135,13 @@ def nearest_target_distance(
 
     The search radius starts at the mean spacing of the frame's targets. A query meets the targets of the blocks that its
     search sphere touches; one whose nearest target lies beyond the radius tries again with twice the radius, until the
-    block is the whole box. Work follows the local density, and a frame with few targets is one block from the start.
-    Each further radius is a written round of the points that are left. Frames without targets give no rows.
+    block is the whole box. A frame with few targets is one block from the start. Each further radius is a written round of
+    the points that are left. Frames whose targets are clumped, with more than CROWDED in one of the first blocks, are
+    searched through a pyramid of occupied cells instead. Frames without targets give no rows.
     """
     keys = list(keys)
     side = _number(box)
     counts = targets.groupBy(*keys).agg(F.count("*").alias("_n"))
-    densest = counts.agg(F.max("_n")).first()[0]
 
     def located(df, extra):
         out = df.selectExpr(*keys, *extra, *[f"{a} - {side} * floor({a} / {side}) AS _{a}" for a in "xyz"], f"{side} AS _box")
@@ -151,7 +154,17 @@ def nearest_target_distance(
     own = "({0} * _nb + {1}) * _nb + {2}".format(*[at.format(x=f"_{a}") for a in "xyz"])
     goal = located(targets, [])
     left = located(queries, [id, *carry])
+    held = goal.withColumn("_nb", F.expr(blocks(1))).groupBy(*keys, F.expr(own).alias("_block")).agg(F.count("*").alias("_held"), F.first("_n").alias("_n"))
+    frames = materialise(held.groupBy(*keys).agg(F.max("_held").alias("_held"), F.first("_n").alias("_n")), "crowds")
+    crowded = F.col("_held") > CROWDED
+    clumped, densest = frames.agg(F.count_if(crowded), F.max(F.when(~crowded, F.col("_n")))).first()
     done, widen = None, 1
+    if clumped:
+        some = frames.where(crowded).select(*keys)
+        done = pyramid.nearest(left.join(some, keys, "left_semi"), goal.join(some, keys, "left_semi"), keys, id, carry).select(*keys, id, "distance", *carry)
+        if densest is None:
+            return done
+        goal, left = (df.join(some, keys, "left_anti") for df in (goal, left))
     while True:
         last = not densest or float(densest) ** (1 / 3) / (BLOCK_RADII * widen) < 2
         reach = f"_box / (_nb * {BLOCK_RADII * SLACK!r}D)"

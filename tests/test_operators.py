@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import contrasts, forest, graph, placement, polymer, quality, quantiles, selection, sequences, spatial, topology
+from lattica.operators import contrasts, forest, graph, placement, polymer, pyramid, quality, quantiles, selection, sequences, spatial, topology
 from lattica.sources import tables as sources
 from lattica.sources.trajectory import TrajectoryDataSource
 from lattica.plans import roles
@@ -95,6 +95,25 @@ def test_nearest_distance_over_several_radii(spark):
     assert spatial.nearest_target_distance(points(spark, near), points(spark, []), ["frame"], L).count() == 0
 
 
+def test_clumped_targets_through_the_pyramid(spark):
+    """10,000 targets in a corner, one frame of even targets and repeated positions: exact, and few targets met per query."""
+    rng = np.random.default_rng(12)
+    targets = [(0, i, *map(float, rng.uniform(0, L / 10, 3))) for i in range(10_000)] + [(1, i, *map(float, rng.uniform(0, L, 3))) for i in range(60)]
+    targets += [(2, i, 1.0, 2.0, 3.0) for i in range(500)] + [(2, 500 + i, 1.0, 2.0, 3.0 + i / 1000) for i in range(40)]
+    asked = [(f, i, *map(float, rng.uniform(0, L, 3))) for f in range(4) for i in range(60)] + [(0, 100 + i, *map(float, rng.uniform(0, L / 10, 3))) for i in range(60)]
+    got = {(r.frame, r.bead): r.distance for r in spatial.nearest_target_distance(points(spark, asked), points(spark, targets), ["frame"], L).collect()}
+    assert set(got) == {(f, b) for f, b, *_ in asked if f < 3}
+    for f, b, *xyz in asked:
+        if f < 3:
+            d = np.array([x[2:] for x in targets if x[0] == f]) - np.array(xyz)
+            d -= L * np.round(d / L)
+            assert got[(f, b)] == pytest.approx(np.sqrt((d * d).sum(1)).min(), abs=1e-9)
+    placed = lambda rows: points(spark, rows).selectExpr("frame", "bead", "x AS _x", "y AS _y", "z AS _z", f"{L}D AS _box")
+    tree, _ = pyramid.build(placed(targets), ["frame"])
+    met = pyramid.descend(placed(asked), tree, ["frame"], "bead", []).groupBy("frame", "bead").agg(F.sum("n").alias("n"))
+    assert met.agg(F.max("n")).first()[0] < 100
+
+
 def union_find(n, edges):
     label = list(range(n))
     for a, b in edges:
