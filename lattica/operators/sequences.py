@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lattica.session import materialise
+
 CHUNK = 65536
 
 
@@ -19,9 +21,30 @@ def _before(order):
     return order.rowsBetween(W.unboundedPreceding, -1)
 
 
+def ranged_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos", parts: int | None = None) -> DataFrame:
+    """Zero-based rank by ``order`` from one range sort, whatever the length of a sequence.
+
+    Rows are laid out in ranges of (keys, order) and written; a row's place in its range, less the place where its sequence
+    begins there, plus the sequence's rows in earlier ranges is its position. One carry per sequence and range is all that
+    meets. Rows with equal keys and order keep their order in ``df`` and may be split. Null keys are sequences of their own.
+    """
+    keys = list(keys)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys, *order, "_tie").sortWithinPartitions(*keys, *order, "_tie").drop("_tie")
+    laid = materialise(laid.selectExpr("*", "spark_partition_id() AS _range", "monotonically_increasing_id() & 8589934591L AS _row"), "ranges")
+    pieces = laid.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    earlier = F.coalesce(F.sum("_n").over(_before(W.partitionBy(*keys).orderBy("_range"))), F.lit(0))
+    carry = pieces.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_at"), (earlier - F.col("_first")).alias("_shift"))
+    same = F.col("_range") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return laid.join(carry, same).withColumn(out, F.col("_row") + F.col("_shift")).drop("_range", "_row", "_at", "_shift", *[f"_k_{k}" for k in keys])
+
+
 def dense_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str, out: str = "pos") -> DataFrame:
-    """Zero-based rank by ``order``. ``block`` is a column that never decreases along the order (such as a day):
-    rows are numbered inside a block, and each block starts after the rows of the blocks before it."""
+    """Zero-based rank by ``order``. ``block`` is a column that never decreases along the order and bounds the rows that share
+    it: rows are numbered inside a block, and each block starts after the rows of the blocks before it. Where no such
+    column exists, ``ranged_position`` cuts the order itself."""
     keys = list(keys)
     counts = df.groupBy(*keys, block).agg(F.count("*").alias("_n"))
     start = F.coalesce(F.sum("_n").over(_before(W.partitionBy(*keys).orderBy(block))), F.lit(0))

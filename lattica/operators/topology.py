@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import cut_index
-from lattica.operators.sequences import CHUNK, running_offsets, shifted
+from lattica.operators.sequences import CHUNK, ranged_position, running_offsets, shifted
 
 
 def consecutive(beads: DataFrame, size: int, keys: Sequence[str] = ("template",), bead: str = "bead", chain: str = "chain", chunk: int = CHUNK) -> DataFrame:
@@ -68,15 +68,30 @@ def within_regions(pairs: DataFrame, a: str, b: str, regions: Sequence[tuple[int
 
 
 def within_region_table(pairs: DataFrame, regions: DataFrame, keys: Sequence[str], a: str, b: str, between: bool = False) -> DataFrame:
-    """The same with one ``regions(keys, lo, hi)`` table per template: a range semi-join on the template."""
-    keys = list(keys)
-    p, r = pairs.alias("p"), regions.alias("r")
-    on = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in keys]
-    inside = lambda x: (F.col(f"p.{x}") >= F.col("r.lo")) & (F.col(f"p.{x}") < F.col("r.hi"))
+    """The same with a ``regions(keys, lo, hi)`` table per template, by an index of nested bins.
+
+    A region is stored once, in the smallest aligned bin of 2**level places that covers it; all regions of a bin hold its
+    middle, so regions that don't overlap are alone in theirs. A pair asks one bin per level that its template has. Places
+    are not negative; an empty region holds nothing.
+    """
     if between:
-        first = p.join(r, [*on, inside(a)], "left_semi").alias("p")
-        return first.join(r, [*on, inside(b)], "left_semi")
-    return p.join(r, [*on, inside(a), inside(b)], "left_semi")
+        for end in (a, b):
+            pairs = pairs.join(_inside(pairs, regions, keys, end, end), [*keys, end], "left_semi")
+        return pairs
+    return pairs.join(_inside(pairs, regions, keys, a, b), [*keys, a, b], "left_semi")
+
+
+def _inside(pairs: DataFrame, regions: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """Distinct keys and places of which one region holds both."""
+    keys = list(keys)
+    level = "CAST(if(lo = hi - 1, 0, length(bin(lo ^ (hi - 1)))) AS INT)"
+    stored = regions.where("lo < hi").selectExpr(*keys, "lo", "hi", f"{level} AS _level").selectExpr(*keys, "lo", "hi", "_level", "shiftright(CAST(lo AS BIGINT), _level) AS _bin")
+    levels = stored.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))  # at most 64 values
+    ends = list(dict.fromkeys([a, b]))
+    asked = pairs.select(*keys, *ends).distinct().join(levels, keys).selectExpr(*keys, *ends, "explode(_levels) AS _level")
+    asked = asked.selectExpr("*", f"shiftright(CAST({a} AS BIGINT), _level) AS _bin").where(f"_bin = shiftright(CAST({b} AS BIGINT), _level)")
+    met = asked.join(stored, [*keys, "_level", "_bin"]).where(f"least({a}, {b}) >= lo AND greatest({a}, {b}) < hi")
+    return met.select(*keys, *ends).distinct()
 
 
 def drop_periodic(interactions: DataFrame, atoms: Sequence[str], period: int, excluded: Sequence[int], within_block: bool = True) -> DataFrame:
@@ -126,10 +141,23 @@ def neighbour_residue_pairs(atoms: DataFrame, keys: Sequence[str] = ("template",
     return left.join(right, [*keys, chain, "_r"]).where("a1 < a2").select(*keys, "a1", "a2").distinct()
 
 
-def complementary_pairs(atoms: DataFrame, partners: dict[str, str], keys: Sequence[str] = ("template",), name: str = "name", atom: str = "atom") -> DataFrame:
-    """Distinct pairs of atoms with complementary names: an equi-join on the partner's name."""
+def complementary_pairs(
+    atoms: DataFrame, partners: dict[str, str], keys: Sequence[str] = ("template",), name: str = "name", atom: str = "atom", band: tuple[str, int] | None = None
+) -> DataFrame:
+    """Distinct pairs of atoms with complementary names: an equi-join on the partner's name.
+
+    ``band`` names a column of places, such as residues, and the largest difference of a pair's: the join then meets cells of
+    the band's width, each atom its own cell and the two beside it, and never all atoms of a name.
+    """
     keys = list(keys)
     table = F.create_map(*[F.lit(v) for kv in partners.items() for v in kv])
+    if band:
+        place, reach = band
+        cell = F.floor(F.col(place) / (reach + 1))
+        left = atoms.where(F.col(name).isin(list(partners))).select(*keys, table[F.col(name)].alias("_n"), F.col(atom).alias("_x"), F.col(place).alias("_px"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
+        right = atoms.select(*keys, F.col(name).alias("_n"), F.col(atom).alias("_y"), F.col(place).alias("_py"), cell.alias("_cell"))
+        near = left.join(right, [*keys, "_n", "_cell"]).where(F.abs(F.col("_px") - F.col("_py")) <= reach)
+        return near.select(*keys, F.least("_x", "_y").alias("a1"), F.greatest("_x", "_y").alias("a2")).distinct()
     left = atoms.where(F.col(name).isin(list(partners))).select(*keys, table[F.col(name)].alias("_n"), F.col(atom).alias("_x"))
     right = atoms.select(*keys, F.col(name).alias("_n"), F.col(atom).alias("_y"))
     return left.join(right, [*keys, "_n"]).select(*keys, F.least("_x", "_y").alias("a1"), F.greatest("_x", "_y").alias("a2")).distinct()
@@ -170,9 +198,11 @@ def shadow_contacts(pairs: DataFrame, keys: Sequence[str], bonded: DataFrame | N
     return wanted.join(blocked, [*keys, "i", "j"], "left_anti")
 
 
-def one_bead_per_residue(atoms: DataFrame, names: Sequence[str], keys: Sequence[str] = ("file",)) -> DataFrame:
-    """Keep the named atoms (such as alpha carbons) and drop the rest."""
-    return atoms.where(F.col("name").isin(list(names)))
+def one_bead_per_residue(atoms: DataFrame, names: Sequence[str], keys: Sequence[str] = ("file",), serial: str | None = None) -> DataFrame:
+    """Keep the named atoms (such as alpha carbons) and drop the rest; with ``serial``, an order of the atoms, the kept ones are
+    numbered anew from 1 as ``bead``."""
+    kept = atoms.where(F.col("name").isin(list(names)))
+    return kept if serial is None else ranged_position(kept, keys, [serial], "bead").withColumn("bead", F.col("bead") + 1)
 
 
 def residue_centres(atoms: DataFrame, keys: Sequence[str] = ("file", "chain", "res_seq")) -> DataFrame:

@@ -122,7 +122,7 @@ def a24_chain_shape(t: Tables) -> DataFrame:
 
 def stream(t: Tables) -> DataFrame:
     e = t.events.selectExpr("user_id", "event_id", "event_type", "value", "ts", "CAST(date_format(ts, 'yyyyMMdd') AS BIGINT) AS day")
-    return sequences.dense_position(e, ["user_id"], ["ts", "event_id"], "day")
+    return sequences.ranged_position(e, ["user_id"], ["ts", "event_id"])
 
 
 STREAM_SQL = """
@@ -139,13 +139,13 @@ runs AS MATERIALIZED (SELECT *, SUM(c) OVER (PARTITION BY user_id ORDER BY pos)
 )
 def w5_moving_average(t: Tables) -> DataFrame:
     """Centred average with shrinking edges, in chunks with a halo."""
-    return sequences.moving_average(stream(t), ["user_id"], "pos", "value", 10, chunk=32)
+    return sequences.moving_average(stream(t), ["user_id"], "pos", "value", 10)
 
 
 @query("w9_running_chain_index", "user_id:i pos:i island:i", "SELECT * FROM runs", STREAM_SQL)
 def w9_running_chain_index(t: Tables) -> DataFrame:
     """Running index of the runs of one state, in chunks with carries."""
-    return sequences.islands(stream(t), ["user_id"], "pos", "event_type", chunk=32)
+    return sequences.islands(stream(t), ["user_id"], "pos", "event_type")
 
 
 @query(
@@ -209,8 +209,8 @@ tuples AS MATERIALIZED (SELECT a.user_id, a.pos AS a1, b.pos AS a2, c.pos AS a3,
 )
 
 
-def tuples(t: Tables, size: int) -> DataFrame:
-    return topology.consecutive(stream(t), size, ["user_id"], "pos", "day", chunk=32)
+def tuples(t: Tables, size: int, source: DataFrame | None = None) -> DataFrame:
+    return topology.consecutive(stream(t) if source is None else source, size, ["user_id"], "pos", "day")
 
 
 @query("t1_dihedrals", "user_id:i a1:i a2:i a3:i a4:i", "SELECT * FROM tuples WHERE a3 IS NOT NULL AND a4 IS NOT NULL", TUPLE_SQL)
@@ -263,8 +263,45 @@ def t4_local_regions(t: Tables) -> DataFrame:
 )
 def j16_region_table(t: Tables) -> DataFrame:
     """Both ends inside one region of the template's own region table."""
-    regions = stream(t).where("event_type = 'purchase'").groupBy("user_id").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"))
-    return topology.within_region_table(tuples(t, 2), regions, ["user_id"], "a1", "a2")
+    s = stream(t)
+    regions = s.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"))
+    return topology.within_region_table(tuples(t, 2, s), regions, ["user_id"], "a1", "a2")
+
+
+@query(
+    "j16_many_regions", "user_id:i a1:i a4:i one:b",
+    """SELECT user_id, a1, a4, EXISTS (SELECT 1 FROM regions r WHERE r.user_id = q.user_id AND a1 >= lo AND a1 < hi AND a4 >= lo AND a4 < hi) AS one FROM tuples q
+       WHERE a3 IS NOT NULL AND a4 IS NOT NULL AND EXISTS (SELECT 1 FROM regions r WHERE r.user_id = q.user_id AND a1 >= lo AND a1 < hi)
+         AND EXISTS (SELECT 1 FROM regions r WHERE r.user_id = q.user_id AND a4 >= lo AND a4 < hi)""",
+    TUPLE_SQL + "regions AS MATERIALIZED (SELECT user_id, pos AS lo, pos + 2 + event_id % 5 AS hi FROM stream WHERE event_type = 'purchase'),\n",
+)
+def j16_many_regions(t: Tables) -> DataFrame:
+    """Terms whose ends lie in the template's many, partly overlapping regions: in one of them, or only in their union."""
+    s = stream(t)
+    regions = s.where("event_type = 'purchase'").selectExpr("user_id", "pos AS lo", "pos + 2 + event_id % 5 AS hi")
+    far = tuples(t, 4, s)
+    union = topology.within_region_table(far, regions, ["user_id"], "a1", "a4", between=True)
+    one = topology.within_region_table(far, regions, ["user_id"], "a1", "a4").select("user_id", "a1").withColumn("one", F.lit(True))
+    return union.join(one, ["user_id", "a1"], "left").withColumn("one", F.coalesce("one", F.lit(False)))
+
+
+@query(
+    "t7_complementary_band", "user_id:i a1:i a2:i",
+    """SELECT DISTINCT x.user_id, LEAST(x.pos, y.pos) AS a1, GREATEST(x.pos, y.pos) AS a2 FROM stream x JOIN stream y ON x.user_id = y.user_id AND ABS(x.pos - y.pos) <= 6
+       WHERE (x.event_type = 'click' AND y.event_type = 'purchase') OR (x.event_type = 'view' AND y.event_type = 'error')""", STREAM_SQL,
+)
+def t7_complementary_band(t: Tables) -> DataFrame:
+    """Places with complementary names at most six apart, by cells of the band."""
+    return topology.complementary_pairs(stream(t), {"click": "purchase", "view": "error"}, ["user_id"], "event_type", "pos", band=("pos", 6))
+
+
+@query(
+    "t8_renumbered_beads", "user_id:i event_id:i bead:i",
+    "SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bead FROM stream WHERE event_type IN ('click', 'view')", STREAM_SQL,
+)
+def t8_renumbered_beads(t: Tables) -> DataFrame:
+    """One kind of atoms kept and numbered anew along its chain."""
+    return topology.one_bead_per_residue(stream(t).withColumnRenamed("event_type", "name"), ["click", "view"], ["user_id"], serial="pos")
 
 
 @query(
@@ -284,8 +321,9 @@ def t5_periodic_exclusion(t: Tables) -> DataFrame:
 )
 def j18_subtracted_exclusions(t: Tables) -> DataFrame:
     """Distinct union of 1-2, 1-3 and 1-4 pairs, minus a removed set."""
-    bonds = tuples(t, 2)
-    every = topology.exclusions(["user_id"], (bonds, "a1", "a2"), (tuples(t, 3), "a1", "a3"), (tuples(t, 4), "a1", "a4"))
+    s = stream(t)
+    bonds = tuples(t, 2, s)
+    every = topology.exclusions(["user_id"], (bonds, "a1", "a2"), (tuples(t, 3, s), "a1", "a3"), (tuples(t, 4, s), "a1", "a4"))
     return topology.subtract_pairs(every, bonds.where("a1 % 10 = 0"), ["user_id", "a1", "a2"])
 
 

@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.operators import contrasts, forest, graph, placement, polymer, pyramid, quality, quantiles, selection, sequences, spatial, topology
@@ -455,6 +456,71 @@ def test_trajectory_source(spark, tmp_path):
         spark.read.format("dcd").option("path", str(tmp_path)).load().collect()
 
 
+def test_trajectory_filters(spark, tmp_path):
+    """Conditions choose files and frames before they are read; a folder may be a URI; excluded files are not even opened."""
+    for replicate in ("r1", "r2"):
+        folder = tmp_path / replicate / "sys"
+        folder.mkdir(parents=True)
+        write_dcd(folder / "output.dcd", np.arange(40 * 4 * 3, dtype=float).reshape(40, 4, 3))
+    (tmp_path / "r3" / "sys").mkdir(parents=True)
+    (tmp_path / "r3" / "sys" / "output.dcd").write_bytes(b"broken")
+    spark.dataSource.register(TrajectoryDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        load = lambda root: spark.read.format("dcd").option("path", root).option("frames_per_task", "5").option("pushdown", "true").load()
+        df = load(f"file://{tmp_path}").where("replicate = 'r2' AND frame > 10 AND frame <= 20")
+        assert df.rdd.getNumPartitions() == 2
+        rows = {(r.replicate, r.frame) for r in df.collect()}
+        assert rows == {("r2", f) for f in range(11, 21)}
+        some = load(str(tmp_path)).where("replicate IN ('r1', 'r2') AND frame IN (3, 39) AND bead = 2")
+        assert some.count() == 4 and some.rdd.getNumPartitions() == 2
+        assert load(str(tmp_path)).where("replicate = 'none'").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_ranged_positions(spark, tmp_path):
+    """One long sequence of one day spreads over all ranges; ties, null keys and repeated rows are numbered as well."""
+    df = spark.range(200_000).selectExpr("if(id % 50 = 0, 7, 1) AS user", "CAST(xxhash64(id) AS BIGINT) AS at")
+    out = sequences.ranged_position(df, ["user"], ["at"], parts=8)
+    w = Window.partitionBy("user").orderBy("at")
+    assert out.withColumn("plain", F.row_number().over(w) - 1).where("pos <> plain").count() == 0 and out.count() == 200_000
+    rows = spark.createDataFrame([(None, 1), (None, 1), ("a", None), ("a", 2), ("a", 2)], "k string, at int")
+    got = sorted((r.k or "", r.pos) for r in sequences.ranged_position(rows, ["k"], ["at"]).collect())
+    assert got == [("", 0), ("", 1), ("a", 0), ("a", 1), ("a", 2)]
+    laid = df.repartitionByRange(8, "user", "at").groupBy(F.spark_partition_id()).count()
+    assert laid.agg(F.max("count")).first()[0] < 60_000
+
+
+def test_region_index_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    regions = [("t", int(lo), int(lo + n)) for lo, n in zip(rng.integers(0, 500, 60), rng.integers(0, 40, 60))]
+    pairs = [("t", *map(int, rng.integers(0, 560, 2))) for _ in range(400)] + [("u", 1, 2)]
+    p, r = spark.createDataFrame(pairs + pairs[:5], "template string, a int, b int"), spark.createDataFrame(regions, "template string, lo int, hi int")
+    holds = lambda x, y: any(lo <= x < hi and lo <= y < hi for _, lo, hi in regions)
+    for between in (False, True):
+        want = [x for x in pairs + pairs[:5] if x[0] == "t" and (holds(x[1], x[1]) and holds(x[2], x[2]) if between else holds(x[1], x[2]))]
+        assert sorted(map(tuple, topology.within_region_table(p, r, ["template"], "a", "b", between).select("template", "a", "b").collect())) == sorted(want)
+
+
+def test_region_index_meets_few(spark):
+    """100,000 regions of one template: each lies in one bin, and no bin holds two of them."""
+    r = spark.range(100_000).selectExpr("1 AS template", "id * 10 AS lo", "id * 10 + 7 AS hi")
+    p = spark.range(20_000).selectExpr("1 AS template", "id * 50 AS a", "id * 50 + id % 9 AS b")
+    assert topology.within_region_table(p, r, ["template"], "a", "b").where("a % 10 < 7").count() == p.where("b - a < 7").count()
+    bins = r.selectExpr("if(lo = hi - 1, 0, length(bin(lo ^ (hi - 1)))) AS level", "lo").selectExpr("level", "shiftright(lo, level) AS bin")
+    assert bins.distinct().count() == 100_000 and bins.select("level").distinct().count() <= 21
+
+
+def test_banded_partners(spark):
+    rng = np.random.default_rng(6)
+    atoms = [(0, i, "ATCG"[rng.integers(4)], int(rng.integers(-20, 20))) for i in range(120)]
+    df = spark.createDataFrame(atoms, "template int, atom int, name string, residue int")
+    got = sorted((r.a1, r.a2) for r in topology.complementary_pairs(df, {"A": "T", "C": "G"}, band=("residue", 3)).collect())
+    mates = {("A", "T"), ("C", "G")}
+    assert got == sorted({(min(x[1], y[1]), max(x[1], y[1])) for x in atoms for y in atoms if (x[2], y[2]) in mates and abs(x[3] - y[3]) <= 3})
+
+
 def test_file_sources(spark, tmp_path):
     task = tmp_path / "tasks" / "work" / "S1"
     task.mkdir(parents=True)
