@@ -26,8 +26,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
 WORTH = 20  # a further round needs one link between classes per this number of open (bucket, text) rows
+PATIENCE = 2  # rounds of few links before the rounds end
 CENTRES = 3  # texts of a bucket that the others are compared with in one round
-BEST = 4  # pairs of a text with one other class that are verified before the rest
+BEST = 4  # pairs of a text that are verified before the rest
 BLOCK, ASKED = 512, 8192  # members of a bucket, and texts compared with them, in one task
 ALIKE = 22  # equal samples, of BANDS * ROWS, that a pair needs to be verified; one of similarity 0.8 has fewer once in 100,000
 RARE, DAMPING = 0.01, 0.5
@@ -373,10 +374,11 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
 
     First, in each bucket that holds texts of several classes, CENTRES texts serve as centres that all texts of other classes
     are compared with, and then leave the bucket. Centres are the texts that were most similar, on average, to those they were
-    compared with so far: in a group of edited copies those near the original. These rounds join large groups at little
-    cost and go on while they bring enough links (WORTH); what they leave is the finish's, so their number affects cost only. Then every bucket that is still mixed is finished: all its pairs of different
-    classes are compared, and those that are alike are verified, the best of each text and class first and then all that are
-    still in different classes. Pairs whose samples differ too much to be similar aren't verified.
+    compared with so far: in a group of edited copies those near the original, which the first round can't know yet. These
+    rounds join large groups at little cost and end when PATIENCE of them in a row bring few links (WORTH); what they leave
+    is the finish's, so their number affects cost only. Then every bucket that is still mixed is finished: all its pairs of
+    different classes are compared, and those that are alike are verified, the BEST of each text while they bring enough
+    links and then all that are still in different classes. Pairs whose samples differ too much to be similar aren't verified.
     """
     spark = docs.sparkSession
     sketch, documents = frequencies(docs)
@@ -393,7 +395,7 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     texts = stored(texts.groupBy("key").agg(F.min("text").alias("text")), "dup-texts")
     state = stored(keys.select("key", F.col("key").alias("label"), F.lit(0.0).alias("likeness"), F.lit(0).cast("long").alias("tests"), F.lit(0).cast("long").alias("links")), "dup-state")
     drawn = stored(rows.where("samples IS NOT NULL").select("key", "samples").join(keys, "key", "left_semi").dropDuplicates(["key"]), "dup-samples")
-    tested = None
+    tested, few = None, 0
     best_first = Window.partitionBy("bucket").orderBy(F.desc("mean"), F.desc("key"))
     while True:
         mean = F.col("likeness") / F.greatest("tests", F.lit(1))
@@ -438,17 +440,18 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         new = pairs.select("key", "other")
         tested = stored(new if tested is None else tested.union(new), "dup-tested")
         discard(*old)
-        if merging * WORTH < rows_open:
+        few = few + 1 if merging * WORTH < rows_open else 0
+        if few == PATIENCE:
             break
     left = alike_pairs(cells, state, drawn)
     left = stored(left if tested is None else left.join(tested, ["key", "other"], "left_anti"), "dup-left")
     discard(cells, drawn, tested)
-    for last in (False, True):
+    last = False
+    while True:
         due = across(left, state)
         if not last:
-            ends = due.select("key", "other", "estimate", F.col("key").alias("own"), F.col("v").alias("to"))
-            ends = ends.union(due.select("key", "other", "estimate", F.col("other").alias("own"), F.col("u").alias("to")))
-            place = F.row_number().over(Window.partitionBy("own", "to").orderBy(F.desc("estimate"), "key", "other"))
+            ends = due.select("key", "other", "estimate", F.col("key").alias("own")).union(due.select("key", "other", "estimate", F.col("other").alias("own")))
+            place = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("estimate"), "key", "other"))
             due = ends.withColumn("place", place).where(F.col("place") <= BEST)
         due = stored(due.select("key", "other").distinct(), "dup-due")
         if due.isEmpty():
@@ -458,13 +461,17 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         named = stored(across(links, state).select("u", "v").distinct(), "dup-named")
         old = [left, due, links, named]
         left = stored(left.join(due, ["key", "other"], "left_anti"), "dup-left")
-        if not named.isEmpty():
+        merging, asked = named.count(), due.count()
+        if merging:
             merged = merged_labels(named, "dup")
             linked = links.select("key").union(links.select("other")).groupBy("key").agg(F.count("*").alias("linked"))
             after = state.join(linked, "key", "left").join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
             old += [state, merged]
             state = stored(after.select("key", F.coalesce("to", "label").alias("label"), (F.col("links") + F.coalesce("linked", F.lit(0))).alias("links")), "dup-state")
         discard(*old)
+        if last:
+            break
+        last = merging * WORTH < asked
     discard(left, texts)
     return members, state.where("links > 0").select("key", "label")
 
