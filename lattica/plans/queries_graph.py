@@ -28,7 +28,7 @@ def j1_periodic_pairs(t: Tables) -> DataFrame:
 )
 def j2_primary_pairs(t: Tables) -> DataFrame:
     """The search at the primary cutoff, strictly below it."""
-    p = spatial.radius_pairs(roles.beads(t), KEYS, BOX, roles.PRIMARY, strict=True)
+    p = spatial.radius_pairs(roles.beads(t), KEYS, BOX, roles.PRIMARY, strict=True, sizes=roles.frame_sizes(t), clustered=True)
     return p.groupBy(*KEYS).agg(F.count("*").alias("bead_pairs"), F.avg("d").alias("mean_d"))
 
 
@@ -140,7 +140,7 @@ def j4_nearest_anchor(t: Tables) -> DataFrame:
 def j5_molecule_edges(t: Tables) -> DataFrame:
     """Bead pairs lifted to molecule pairs through two lookups on a pair list without attributes."""
     b = roles.beads(t)
-    bare = spatial.radius_pairs(b, KEYS, BOX, roles.PRIMARY, strict=True)
+    bare = spatial.radius_pairs(b, KEYS, BOX, roles.PRIMARY, strict=True, sizes=roles.frame_sizes(t), clustered=True)
     return graph.node_pairs(graph.lift_pairs(bare, b, KEYS, ["molecule"]), KEYS, "molecule_i", "molecule_j")
 
 
