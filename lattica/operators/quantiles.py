@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lattica.operators import frames
+
 # A running sum may miss its goal by rounding, since buckets and values are added in different orders.
 TOLERANCE = 1e-12
 
@@ -96,6 +100,73 @@ def distance_summary(df: DataFrame, keys: Sequence[str], value: str = "distance"
     return base.join(weighted_step_quantile(df, keys, value, weight, q, out=f"{prefix}q90_nm"), keys)
 
 
+def _summaries(df: DataFrame, keys: Sequence[str], value: str, weight: str | None, q: float, kind: str | None) -> DataFrame:
+    """Count, total weight, weighted mean, step quantile and interpolated quantile (without weights) of groups that fit into a
+    task; with ``kind``, for all rows of a group and for those of each kind, as column ``_kind``."""
+    keys = list(keys)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), w.alias("_w"), *([F.col(kind).alias("_kind")] if kind else []))
+    rows = rows.where(F.col("_v").isNotNull() & F.col("_w").isNotNull())
+
+    def run(table: pa.Table, code: np.ndarray) -> pa.Table:
+        v, w, place = table["_v"].to_numpy(), table["_w"].to_numpy(), np.arange(table.num_rows)
+        group, names = code, [None]
+        if kind:
+            kinds = table["_kind"].combine_chunks().dictionary_encode()
+            names = ["all", *kinds.dictionary.to_pylist()]
+            group = np.concatenate([code * len(names), code * len(names) + 1 + kinds.indices.to_numpy()])
+            v, w, place = np.tile(v, 2), np.tile(w, 2), np.tile(place, 2)
+        order = np.lexsort((v, group))
+        v, w, group, place = v[order], w[order], group[order], place[order]
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        out = []
+        for a, b in zip(start, [*start[1:], len(group)]):
+            values, weights = v[a:b], w[a:b]
+            total = weights.sum()
+            running = np.cumsum(weights)
+            goal = q * total
+            at = min(int(np.searchsorted(running, goal - abs(goal) * TOLERANCE)), b - a - 1)
+            h = q * (b - a - 1)
+            low, high = values[int(np.floor(h))], values[int(np.ceil(h))]
+            out.append((b - a, total, (values * weights).sum() / total if total else None, values[at], low + (h - np.floor(h)) * (high - low)))
+        columns = [pa.array([o[k] for o in out], pa.int64() if k == 0 else pa.float64()) for k in range(5)]
+        own = [pa.array([names[g % len(names)] for g in group[start]])] if kind else []
+        return pa.table([*[table[k].take(place[start]) for k in keys], *own, *columns], names=[*keys, *(["_kind"] if kind else []), "_n", "_total", "_mean", "_step", "_linear"])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = [f"`{k}` {types[k]}" for k in keys] + (["_kind string"] if kind else []) + ["_n bigint"] + [f"{c} double" for c in ("_total", "_mean", "_step", "_linear")]
+    return frames.by_frame(rows, keys, run, ", ".join(schema))
+
+
+def _parted(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups that fit into a task, and those of larger groups if there are any."""
+    large = frames.large_frames(df.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    return (df, None) if large is None else (df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi"))
+
+
+def stored_linear_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5, *, out: str = "quantile") -> DataFrame:
+    """``linear_quantile`` of a written table without missing keys: groups that fit into a task are sorted there, after one exchange."""
+    keys = list(keys)
+    small, rest = _parted(df, keys)
+    found = _summaries(small, keys, value, None, q, None).select(*keys, F.col("_linear").alias(out))
+    return found if rest is None else found.unionByName(linear_quantile(rest, keys, value, q, out=out))
+
+
+def stored_distance_summary(df: DataFrame, keys: Sequence[str], value: str = "distance", weight: str | None = None, q: float = 0.9, kind: str | None = None, out: str = "kind") -> DataFrame:
+    """``distance_summary`` of a written table without missing keys, values and weights. With ``kind``, a group has a row for
+    all (``out`` is ``all``) and one for each kind."""
+    keys = list(keys)
+    small, rest = _parted(df, keys)
+    own = [out] if kind else []
+    found = _summaries(small, keys, value, weight, q, kind)
+    found = (found.withColumnRenamed("_kind", out) if kind else found).selectExpr(*keys, *own, "_n AS count", "_total AS total_weight", "_mean AS mean_nm", "_step AS q90_nm")
+    if rest is None:
+        return found
+    if kind:
+        rest = rest.withColumn(out, F.explode(F.array(F.lit("all"), F.col(kind))))
+    return found.unionByName(distance_summary(rest, [*keys, *own], value, weight, q).select(*found.columns))
+
+
 def parent_weights(df: DataFrame, keys: Sequence[str], parent: str = "parent", out: str = "weight") -> DataFrame:
     """Weight 1 / (rows of the same parent): every parent counts once."""
     keys = list(keys)

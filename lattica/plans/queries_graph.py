@@ -127,7 +127,7 @@ nearest AS MATERIALIZED (
 
 def nearest(t: Tables) -> DataFrame:
     b = roles.beads(t)
-    return spatial.nearest_target_distance(b.where("species <> 'DNA'"), b.where("species = 'DNA'"), KEYS, BOX, carry=["species", "molecule", "parent"])
+    return spatial.nearest_target_distance(b, "species = 'DNA'", KEYS, BOX, carry=["species", "molecule", "parent"], clustered=True)
 
 
 @query("j4_nearest_anchor", f"{K} bead:i distance:f", "SELECT * FROM nearest", NEAREST_SQL)

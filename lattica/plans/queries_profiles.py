@@ -272,7 +272,7 @@ def a13_frame_reach(t: Tables) -> DataFrame:
     """Interpolated q90 of every frame and the share of distances within a threshold."""
     d = materialise(nearest(t), "distances")
     near = d.groupBy(*KEYS).agg(F.avg((F.col("distance") <= 3).cast("double")).alias("within"))
-    return quantiles.linear_quantile(d, KEYS, "distance", 0.9, out="q90").join(near, KEYS)
+    return quantiles.stored_linear_quantile(d, KEYS, "distance", 0.9, out="q90").join(near, KEYS)
 
 
 @query(
@@ -285,7 +285,7 @@ def a13_frame_reach(t: Tables) -> DataFrame:
 )
 def a16_distance_summary(t: Tables) -> DataFrame:
     """Count, weight, weighted mean and step q90 per frame and species."""
-    return quantiles.distance_summary(materialise(nearest(t), "distances").withColumn("w", 1 + F.col("molecule") % 4), [*KEYS, "species"], weight="w")
+    return quantiles.stored_distance_summary(materialise(nearest(t), "distances").withColumn("w", 1 + F.col("molecule") % 4), [*KEYS, "species"], weight="w")
 
 
 SCOPE_SQL = (
@@ -326,12 +326,11 @@ def centre_distances(t: Tables) -> DataFrame:
 )
 def a14_scope_summary(t: Tables) -> DataFrame:
     """Distances of beads, parent-weighted beads, chain centres and block centres, for all proteins and each species."""
-    beads = nearest(t)
+    beads = materialise(nearest(t), "distances")
     plain = beads.select(*KEYS, F.lit("bead").alias("scope"), "species", "distance", F.lit(1.0).alias("weight"))
     weighted = quantiles.parent_weights(beads, KEYS).select(*KEYS, F.lit("parent_weighted_bead").alias("scope"), "species", "distance", "weight")
     scoped = plain.unionByName(weighted).unionByName(centre_distances(t).withColumn("weight", F.lit(1.0)))
-    typed = materialise(scoped.withColumn("protein_type", F.explode(F.array(F.lit("all"), F.col("species")))).drop("species"), "scopes")
-    return quantiles.distance_summary(typed, [*KEYS, "scope", "protein_type"], weight="weight")
+    return quantiles.stored_distance_summary(materialise(scoped, "scopes"), [*KEYS, "scope"], weight="weight", kind="species", out="protein_type")
 
 
 @query(
