@@ -10,7 +10,7 @@ from lattica.functions import scalars as S
 from lattica.operators import contrasts, graph, histograms, polymer, profiles, quantiles, selection, spatial, statistics
 from lattica.plans import roles
 from lattica.plans.queries_graph import NEAREST_SQL, nearest
-from lattica.plans.queries_sequences import WHOLE_SQL, chains
+from lattica.plans.queries_sequences import WHOLE_SQL
 from lattica.plans.registry import Tables, query
 from lattica.session import materialise
 from lattica.sources import tables
@@ -307,7 +307,8 @@ scope_type AS MATERIALIZED (SELECT *, 'all' AS protein_type FROM scoped UNION AL
 
 def centre_distances(t: Tables) -> DataFrame:
     """Distance of every chain's and every block's centre to the nearest anchor bead of its frame."""
-    whole = polymer.unwrap_chain(chains(t), [*KEYS, "molecule"], "pos", roles.BOX).where("species <> 'DNA'")
+    proteins = roles.beads(t).where("species <> 'DNA'")
+    whole = polymer.unwrap_frames(proteins, KEYS, "molecule", "bead", roles.BOX, ["species", "block"], roles.frame_sizes(t), clustered=True)
     kinds = F.explode(F.array(F.struct(F.lit("chain_centre").alias("scope"), F.col("molecule").alias("id")), F.struct(F.lit("block_centre").alias("scope"), F.col("block").alias("id"))))
     each = whole.select(*KEYS, "species", "ux", "uy", "uz", kinds.alias("_k")).select(*KEYS, "species", "ux", "uy", "uz", "_k.*")
     centres = each.groupBy(*KEYS, "species", "scope", "id").agg(*[F.avg(f"u{a}").alias(a) for a in "xyz"])
