@@ -145,13 +145,19 @@ def train_step(net: Net, squares: Net, tokens: np.ndarray, context: np.ndarray,
         weight -= rate * grad / np.sqrt(square + 1e-8)
 
 
+def counted_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of the texts, and how often each occurs. Hashing takes 40 times a text's bytes, so a slice goes at a time."""
+    words = np.concatenate([word_hashes(group)[0] for group in slices(texts, SLICE)])
+    return np.unique(words.view(np.int64), return_counts=True)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (its hash) and times for every word of all documents, stored. Tasks count their own words first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in slices(batch.column("text").to_pylist(), SHARD):
-                words, times = np.unique(word_hashes(group)[0].view(np.int64), return_counts=True)
+                words, times = counted_words(group)
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(times)], ["word", "times"])
 
     counted = docs.select(text_of().alias("text")).mapInArrow(run, "word long, times long")
@@ -266,11 +272,18 @@ def scored_shards(docs: DataFrame, net: Net, frequent: np.ndarray) -> DataFrame:
                 parts, at = [], 0
                 for group in slices(texts, SLICE):
                     total, counts, owner, word = token_scores(group, *known)
-                    parts.append((total, counts, owner + at, word))
+                    parts.append((total, counts, (owner + at).astype(np.int32), word))
                     at += len(group)
                 total, counts, owner, word = (np.concatenate(x) for x in zip(*parts))
+                del parts  # the entries of a shard are its largest arrays
                 words, place = np.unique(word, return_inverse=True)
-                cell, times = np.unique(owner * max(1, len(words)) + place, return_counts=True)
+                del word
+                place += owner.astype(np.int64) * max(1, len(words))
+                del owner
+                place.sort()
+                first = np.flatnonzero(np.diff(place, prepend=-1))
+                cell, times = place[first], np.diff(first, append=len(place))
+                del place, first
                 entries = np.bincount(cell // max(1, len(words)), minlength=len(texts)).astype(np.int32)
                 ids = batch.column("doc_id").slice(done, len(texts)).to_pylist()
                 lists = [(ids, pa.int64()), (counts, pa.int64()), (total, pa.float64()), (entries, pa.int32()), (words, pa.int64())]

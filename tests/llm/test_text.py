@@ -1,5 +1,6 @@
 """Classifiers, near duplicates, pseudo-likelihood and the pipeline."""
 
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -250,6 +251,19 @@ def test_rare_words_score_apart_from_random_strings(spark):
     assert min(known) > max(strings)
 
 
+def test_words_of_a_shard_are_counted_in_slices():
+    """Counting a shard's words holds their hashes and one slice's letters, not 40 times the shard."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5_000, 300)) for _ in range(5_000)]
+    want, times = np.unique(pseudo_likelihood.word_hashes(texts)[0].view(np.int64), return_counts=True)
+    tracemalloc.start()
+    got = pseudo_likelihood.counted_words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[0] == want).all() and (got[1] == times).all()
+    assert peak < 10 * sum(map(len, texts))
+
+
 def test_pseudo_likelihood_odd_rows(stored_odd, no_documents):
     rows = pseudo_likelihood.scored(stored_odd).collect()
     assert len(rows) == stored_odd.count()
