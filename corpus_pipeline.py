@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, mixing, neardup, quality, toxicity
-from lattica.llm.common import table
+from lattica.llm.common import small_batches, table
 from lattica.session import shared_folder
 
+ROWS = 256  # rows with texts in an Arrow batch
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -63,6 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with small_batches(spark, ROWS):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -333,6 +333,41 @@ def shared_encoder(spark, ranks_path: str):
     return lambda: _encoder(digest, _Once((sent.value,)))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+
+
+def _encoded(own: Encoder, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        done = 0
+        for group in slices(clean_bytes(batch.column("text"))):
+            ids, counts = encode_texts(own, group)
+            lengths = own.token_bytes[ids]
+            ends = np.cumsum(lengths)
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            base = np.repeat(np.concatenate([[0], ends])[edges[:-1]], counts)
+            columns = [batch.column("doc_id").slice(done, len(group)), pa.array(counts), packed(ids.astype("<u4"), counts), packed((ends - lengths - base).astype("<u4"), counts)]
+            done += len(group)
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "offsets"])
+
+
+def _decoded(own: Encoder, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            ids = [np.frombuffer(x or b"", "<u4") for x in part.column("ids").to_pylist()]
+            offsets = np.concatenate([np.frombuffer(x or b"", "<u4") for x in part.column("offsets").to_pylist()])
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids = np.concatenate(ids)
+            lengths = own.token_bytes[ids]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            if not np.array_equal(ends[:-1] - np.repeat(ends[edges[:-1]], counts), offsets):
+                raise ValueError("offsets don't fit the tokens")
+            text = packed(own.decode(ids), np.diff(ends[edges]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), part.column("ids"), text], ["doc_id", "n_tokens", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """Tokens of every text: doc_id, text, n_tokens, ids (little-endian unsigned 32-bit), offsets (of each token's first
     byte in the text, same form).
@@ -341,22 +376,7 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     their names can't clash. Very long texts and pieces are encoded whole.
     """
     encoder = shared_encoder(docs.sparkSession, ranks_path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder()
-        for batch in batches:
-            done = 0
-            for group in slices(clean_bytes(batch.column("text"))):
-                ids, counts = encode_texts(own, group)
-                lengths = own.token_bytes[ids]
-                ends = np.cumsum(lengths)
-                edges = np.concatenate([[0], np.cumsum(counts)])
-                base = np.repeat(np.concatenate([[0], ends])[edges[:-1]], counts)
-                columns = [batch.column("doc_id").slice(done, len(group)), pa.array(counts), packed(ids.astype("<u4"), counts), packed((ends - lengths - base).astype("<u4"), counts)]
-                done += len(group)
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "offsets"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, offsets binary")
+    return _texts(docs).mapInArrow(lambda batches: _encoded(encoder(), batches), "doc_id long, n_tokens long, ids binary, offsets binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -365,28 +385,19 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     A token goes to the place that its offset names, so a gap or an overlap of offsets raises an error.
     """
     encoder = shared_encoder(encoded.sparkSession, ranks_path)
+    return encoded.select("doc_id", "n_tokens", "ids", "offsets").mapInArrow(lambda batches: _decoded(encoder(), batches), "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """Encode and decode every text; digests of the tokens and of the decoded bytes.
+
+    ``encode`` and ``decode`` follow each other in one Python worker, which keeps one vocabulary and one cache.
+    """
+    encoder = shared_encoder(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [np.frombuffer(x or b"", "<u4") for x in part.column("ids").to_pylist()]
-                offsets = np.concatenate([np.frombuffer(x or b"", "<u4") for x in part.column("offsets").to_pylist()])
-                counts = np.fromiter(map(len, ids), np.int64, len(ids))
-                ids = np.concatenate(ids)
-                lengths = own.token_bytes[ids]
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                edges = np.concatenate([[0], np.cumsum(counts)])
-                if not np.array_equal(ends[:-1] - np.repeat(ends[edges[:-1]], counts), offsets):
-                    raise ValueError("offsets don't fit the tokens")
-                text = packed(own.decode(ids), np.diff(ends[edges]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), part.column("ids"), text], ["doc_id", "n_tokens", "ids", "decoded"])
-
-    return encoded.select("doc_id", "n_tokens", "ids", "offsets").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
-
+        yield from _decoded(own, _encoded(own, batches))
 
-def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """Encode and decode every text; digests of the tokens and of the decoded bytes."""
-    back = decode(encode(docs, ranks_path), ranks_path)
+    back = _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -79,3 +79,8 @@ def test_offsets_are_checked(spark):
     bad = spark.createDataFrame([(1, 1, bytearray(np.array([5], "<u4").tobytes()), bytearray(np.array([3], "<u4").tobytes()))], "doc_id long, n_tokens long, ids binary, offsets binary")
     with pytest.raises(Exception, match="offsets"):
         bpe.decode(bad, PATH).collect()
+
+
+def test_one_worker_encodes_and_decodes(spark, small):
+    plan = bpe.digests(spark.read.parquet(f"{small}/documents.parquet"), PATH)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

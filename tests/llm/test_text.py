@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +298,21 @@ def test_pipeline_stages(spark, small, stored_odd, tmp_path, odd_labels):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_pipeline_batches_are_small(spark, tmp_path, monkeypatch):
+    """Whole texts enter a stage's tasks in batches of few rows, and the session keeps its own setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.range(2_000).selectExpr("id AS doc_id", "'a text' AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["rows"])
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", lambda spark, docs, folder: docs.mapInArrow(sizes, "rows long"))])
+    before = spark.conf.get(name)
+    seen = [r.rows for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(seen) == 2_000 and max(seen) <= 256 and spark.conf.get(name) == before
+
+
 def test_pairs_without_centres_are_found(spark, tmp_path):
     """Pairs of copies that share one passage with all others, so their buckets' centres are unrelated to them."""
     rng = np.random.default_rng(5)
