@@ -27,7 +27,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
 WORTH = 20  # a further round needs one link between classes per this number of open (bucket, text) rows
 CENTRES = 3  # texts of a bucket that the others are compared with in one round
-BEST = 4  # pairs of a text with one other class that are verified before the rest
 BLOCK, ASKED = 512, 8192  # members of a bucket, and texts compared with them, in one task
 ALIKE = 22  # equal samples, of BANDS * ROWS, that a pair needs to be verified; one of similarity 0.8 has fewer once in 100,000
 RARE, DAMPING = 0.01, 0.5
@@ -317,43 +316,93 @@ def merged_labels(links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def alike_pairs(cells: DataFrame, state: DataFrame, drawn: DataFrame) -> DataFrame:
-    """All pairs (key, other, estimate) of the buckets' texts in different classes with at least ALIKE equal samples.
+def alike_links(cells: DataFrame, state: DataFrame, drawn: DataFrame, texts: DataFrame, weights: Callable[[], Weights], similarity: float) -> DataFrame:
+    """Links (key, other) between the buckets' texts in different classes: all that matter for the classes.
 
     Every text outside a bucket's largest class is compared with every other text of the bucket, so all pairs of different
     classes are met and none within the largest. Buckets are cut into blocks of members and of texts that ask, and a task
-    compares the samples of one block of each; only pairs that pass leave it.
+    compares the samples of one block of each. Those with at least ALIKE equal samples meet again with their texts, and
+    the task verifies their pairs where they are, in the first band that two texts share, the likeliest first, until
+    a text has a link to each class that it can have one to. No pair leaves a task but such links.
     """
-    labelled = cells.select("bucket", "key").join(state.select("key", "label"), "key")
+    labelled = cells.select("bucket", "band", "key").join(state.select("key", "label"), "key")
     sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("members"), F.max("n").alias("most"), F.count("*").alias("kinds"))
     sizes = sizes.where("kinds > 1").select("bucket", "main", F.ceil(F.col("members") / BLOCK).alias("blocks"), F.ceil((F.col("members") - F.col("most")) / ASKED).alias("turns"))
-    rows = labelled.join(sizes, "bucket").join(drawn, "key")
+    rows = labelled.join(sizes, "bucket").join(drawn, "key").withColumn("minor", F.col("label") != F.col("main"))
     own = F.xxhash64("key", "bucket")
-    members = rows.select("bucket", F.pmod(own, F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "key", "label", "samples", F.lit(False).alias("asks"))
-    asking = rows.where("label <> main")
-    asking = asking.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(own, F.col("turns")).alias("turn"), "key", "label", "samples", F.lit(True).alias("asks"))
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches))
-        keys, kinds = np.array(held.column("key").to_pylist(), object), np.array(held.column("label").to_pylist(), object)
-        kind = np.unique(kinds, return_inverse=True)[1]
-        drawn_ = np.array(held.column("samples").to_pylist(), np.int32).reshape(len(keys), BANDS * ROWS)
-        asks = held.column("asks").to_numpy()
-        known, asked = np.flatnonzero(~asks), np.flatnonzero(asks)
-        columns = np.ascontiguousarray(drawn_[known].T)
-        for i in asked:
-            equal = np.zeros(len(known), np.int16)
-            for column, value in zip(columns, drawn_[i]):
-                equal += column == value
-            near = np.flatnonzero((equal >= ALIKE) & (kind[known] != kind[i]))
-            if len(near):
-                other = keys[known[near]]
-                low = [min(keys[i], x) for x in other]
-                high = [max(keys[i], x) for x in other]
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(equal[near] / (BANDS * ROWS), pa.float64())], ["key", "other", "estimate"])
-
-    return members.union(asking).groupBy("bucket", "block", "turn").applyInArrow(run, "key binary, other binary, estimate double").dropDuplicates(["key", "other"])
+    kept = ["band", "key", "label", "minor", "samples"]
+    members = rows.select("bucket", F.pmod(own, F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), *kept, F.lit(False).alias("asks"))
+    asking = rows.where("minor").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(own, F.col("turns")).alias("turn"), *kept, F.lit(True).alias("asks"))
+    columns = ["bucket", "block", "turn", *kept, "asks"]
+    cut = BANDS, ROWS
+
+    def alike(columns: np.ndarray, own: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """Equal samples of the members (samples x members) with a text's own, and who is to be verified with it in this band."""
+        same = columns == own[:, None]
+        equal = same.sum(axis=0)
+        return equal, (equal >= ALIKE) & (same.reshape(*cut, -1).all(axis=1).argmax(axis=0) == band)
+
+    def near(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches)).combine_chunks()
+        kind = np.unique(np.array(held.column("label").to_pylist(), object), return_inverse=True)[1]
+        named = np.unique(np.array(held.column("key").to_pylist(), object), return_inverse=True)[1]
+        drawn_ = held.column("samples").combine_chunks().flatten().to_numpy().reshape(held.num_rows, -1)
+        asks, minor, band = held.column("asks").to_numpy(), held.column("minor").to_numpy(), held.column("band")[0].as_py()
+        known = np.flatnonzero(~asks)
+        across_ = np.ascontiguousarray(drawn_[known].T)
+        used = np.zeros(held.num_rows, bool)
+        for i in np.flatnonzero(asks):
+            hit = alike(across_, drawn_[i], band)[1] & (kind[known] != kind[i]) & (~minor[known] | (named[known] > named[i]))
+            used[known[hit]] = True
+            used[i] = hit.any()
+        for batch in held.filter(pa.array(used)).select(columns).to_batches():
+            yield batch
+
+    schema = "bucket long, block long, turn long, band int, key binary, label binary, minor boolean, samples array<int>, asks boolean"
+    found = stored(members.union(asking).groupBy("bucket", "block", "turn").applyInArrow(near, schema), "dup-alike")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = weights()
+        place, held, across_ = None, [], None
+        for batch in batches:
+            at, rows = 0, batch.drop_columns(["text"]).to_pylist()
+            for group in slices(batch.column("text").to_pylist(), SLICE):
+                values, tf, counts, _ = shingles(group)
+                weight = known.of(values, tf)
+                edges = np.concatenate([[0], np.cumsum(counts)])
+                links = []
+                for i, row in enumerate(rows[at : at + len(group)]):
+                    a, wa = values[edges[i] : edges[i + 1]], weight[edges[i] : edges[i + 1]]
+                    total, drawn_ = float(wa.sum(dtype=np.float64)), np.array(row["samples"], np.int32)
+                    if (row["bucket"], row["block"], row["turn"]) != place:
+                        place, held, across_ = (row["bucket"], row["block"], row["turn"]), [], None
+                    if not row["asks"]:
+                        held.append((row["key"], row["label"], row["minor"], drawn_, a.copy(), wa.copy(), total))
+                        continue
+                    if across_ is None:
+                        across_ = np.stack([x[3] for x in held], axis=1)
+                    equal, hit = alike(across_, drawn_, row["band"])
+                    linked = {row["label"]}
+                    for j in sorted(np.flatnonzero(hit).tolist(), key=lambda j: -equal[j]):
+                        key, label, minor, _, b, wb, other = held[j]
+                        if label in linked or (minor and key < row["key"]) or min(total, other) < (similarity - 1e-6) * max(total, other):
+                            continue
+                        spot = np.searchsorted(b, a)
+                        there = spot < len(b)
+                        there[there] = b[spot[there]] == a[there]
+                        shared = float(np.minimum(wa[there], wb[spot[there]]).sum(dtype=np.float64))
+                        if shared / (total + other - shared) >= similarity:
+                            linked.add(label)
+                            links.append((min(key, row["key"]), max(key, row["key"])))
+                at += len(group)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*links)], ["key", "other"])
+
+    rows = found.join(texts, "key").repartition("bucket", "block", "turn").sortWithinPartitions("bucket", "block", "turn", "asks")
+    links = stored(rows.select(*columns, "text").mapInArrow(run, "key binary, other binary").distinct(), "dup-links")
+    discard(found)
+    return links
 
 
 def across(pairs: DataFrame, state: DataFrame) -> DataFrame:
@@ -374,9 +423,8 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     First, in each bucket that holds texts of several classes, CENTRES texts serve as centres that all texts of other classes
     are compared with, and then leave the bucket. Centres are the texts that were most similar, on average, to those they were
     compared with so far: in a group of edited copies those near the original. These rounds join large groups at little
-    cost and go on while they bring enough links (WORTH); what they leave is the finish's, so their number affects cost only. Then every bucket that is still mixed is finished: all its pairs of different
-    classes are compared, and those that are alike are verified, the best of each text and class first and then all that are
-    still in different classes. Pairs whose samples differ too much to be similar aren't verified.
+    cost and go on while they bring enough links (WORTH); what they leave is the finish's, so their number affects cost only. Then every
+    bucket that is still mixed is finished by ``alike_links``. Pairs whose samples differ too much to be similar aren't verified.
     """
     spark = docs.sparkSession
     sketch, documents = frequencies(docs)
@@ -384,7 +432,7 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     weights = lambda: Weights(*sent.value)
     rows = stored(sketched(docs, weights), "dup-rows")
     members = rows.select("doc_id", "key")
-    cells = stored(rows.where("bands IS NOT NULL").select("key", F.explode("bands").alias("bucket")).distinct(), "dup-cells")
+    cells = stored(rows.where("bands IS NOT NULL").select("key", F.posexplode("bands").alias("band", "bucket")).distinct(), "dup-cells")
     shared = cells.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1").select("bucket")
     all_cells, cells = cells, stored(cells.join(shared, "bucket"), "dup-shared")
     discard(all_cells)
@@ -434,38 +482,22 @@ def _linked(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         )
         old = [state, cells, tested, turns, centres, pairs, checked, named, merged]
         state = stored(after, "dup-state")
-        cells = stored(turns.select("bucket", "key").join(centres.select("bucket", F.col("other").alias("key")), ["bucket", "key"], "left_anti"), "dup-open")
+        cells = stored(turns.select("bucket", "band", "key").join(centres.select("bucket", F.col("other").alias("key")), ["bucket", "key"], "left_anti"), "dup-open")
         new = pairs.select("key", "other")
         tested = stored(new if tested is None else tested.union(new), "dup-tested")
         discard(*old)
         if merging * WORTH < rows_open:
             break
-    left = alike_pairs(cells, state, drawn)
-    left = stored(left if tested is None else left.join(tested, ["key", "other"], "left_anti"), "dup-left")
-    discard(cells, drawn, tested)
-    for last in (False, True):
-        due = across(left, state)
-        if not last:
-            ends = due.select("key", "other", "estimate", F.col("key").alias("own"), F.col("v").alias("to"))
-            ends = ends.union(due.select("key", "other", "estimate", F.col("other").alias("own"), F.col("u").alias("to")))
-            place = F.row_number().over(Window.partitionBy("own", "to").orderBy(F.desc("estimate"), "key", "other"))
-            due = ends.withColumn("place", place).where(F.col("place") <= BEST)
-        due = stored(due.select("key", "other").distinct(), "dup-due")
-        if due.isEmpty():
-            discard(due)
-            break
-        links = stored(verified(due, texts, weights).where(F.col("similarity") >= similarity).select("key", "other"), "dup-links")
-        named = stored(across(links, state).select("u", "v").distinct(), "dup-named")
-        old = [left, due, links, named]
-        left = stored(left.join(due, ["key", "other"], "left_anti"), "dup-left")
-        if not named.isEmpty():
-            merged = merged_labels(named, "dup")
-            linked = links.select("key").union(links.select("other")).groupBy("key").agg(F.count("*").alias("linked"))
-            after = state.join(linked, "key", "left").join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
-            old += [state, merged]
-            state = stored(after.select("key", F.coalesce("to", "label").alias("label"), (F.col("links") + F.coalesce("linked", F.lit(0))).alias("links")), "dup-state")
-        discard(*old)
-    discard(left, texts)
+    links = alike_links(cells, state, drawn, texts, weights, similarity)
+    named = stored(across(links, state).select("u", "v").distinct(), "dup-named")
+    old = [cells, drawn, tested, links, named, texts]
+    if not named.isEmpty():
+        merged = merged_labels(named, "dup")
+        linked = links.select("key").union(links.select("other")).groupBy("key").agg(F.count("*").alias("linked"))
+        after = state.join(linked, "key", "left").join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+        old += [state, merged]
+        state = stored(after.select("key", F.coalesce("to", "label").alias("label"), (F.col("links") + F.coalesce("linked", F.lit(0))).alias("links")), "dup-state")
+    discard(*old)
     return members, state.where("links > 0").select("key", "label")
 
 

@@ -327,6 +327,25 @@ def test_pairs_without_centres_are_found(spark, tmp_path):
     assert own_classes(neardup.classes(docs)) == brute_classes(docs.orderBy("doc_id").collect())
 
 
+def test_pairs_of_a_loose_group_are_not_moved(spark, tmp_path, monkeypatch):
+    """Copies with so many edits that none is similar to another: all pairs are tested, but only those with centres are shuffled."""
+    rng = np.random.default_rng(6)
+    base, n = [f"w{i}" for i in range(400)], 300
+    rows = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.choice(400, 2 if k in (7, 8) else 11, replace=False):
+            words[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(words)))
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    plain, moved = neardup.verified, []
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *a: (moved.append(pairs.count()), plain(pairs, *a))[1])
+    assert own_classes(neardup.classes(docs)) == brute_classes(docs.orderBy("doc_id").collect())
+    assert sum(moved) < 40 * n
+
+
 def test_all_labels_are_evidence(spark, tmp_path, monkeypatch):
     """Labels beyond the fitting sample count for the sites: here they alone tell two sites of equal texts apart."""
     rows = [(i, f"some plain words {i % 7}", "en", "ab"[i % 2], 18) for i in range(400)]
