@@ -307,7 +307,7 @@ scope_type AS MATERIALIZED (SELECT *, 'all' AS protein_type FROM scoped UNION AL
 
 def centre_distances(t: Tables) -> DataFrame:
     """Distance of every chain's and every block's centre to the nearest anchor bead of its frame."""
-    proteins = roles.beads(t).where("species <> 'DNA'")
+    proteins = roles.beads(t).where("species <> 'DNA' AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
     whole = polymer.unwrap_frames(proteins, KEYS, "molecule", "bead", roles.BOX, ["species", "block"], roles.frame_sizes(t), clustered=True)
     kinds = F.explode(F.array(F.struct(F.lit("chain_centre").alias("scope"), F.col("molecule").alias("id")), F.struct(F.lit("block_centre").alias("scope"), F.col("block").alias("id"))))
     each = whole.select(*KEYS, "species", "ux", "uy", "uz", kinds.alias("_k")).select(*KEYS, "species", "ux", "uy", "uz", "_k.*")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import TABLES, rows
+from lattica.operators import frames
 from lattica.plans import analyses, roles
 from lattica.plans.registry import Tables
 
@@ -81,3 +82,39 @@ def test_analyses_agree_and_conserve(spark):
     masks = blocks["masks"].groupBy("frame").pivot("mask", ["Full", "Split-2", "Split-4"]).max("largest_weight_fraction")
     assert masks.where("`Full` < `Split-2` - 1e-12 OR `Split-2` < `Split-4` - 1e-12").count() == 0
     assert analyses.sampled(positions, 1, 9, 4).where("(frame - 1) % 4 <> 0 OR frame > 9").count() == 0
+
+
+def test_chains_are_unwrapped_after_one_exchange(spark):
+    """No beads are joined or sorted anew however many there are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("w1_unwrap_chains", "w2_unwrap_two_strands", "a27_chain_centres"):
+            plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan and "Window" not in plan, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("large", [frames.LARGE, 620, 0])
+def test_chains_with_missing_values_match_sql(spark, tmp_path, monkeypatch, large):
+    """Beads without frame, molecule, id or coordinate are kept as in SQL, whatever the size of the frames (here 545 to 640 beads)."""
+    con = duckdb.connect()
+    changes = {"l_suppkey": "n % 29 = 0", "l_partkey": "n % 31 = 0", "l_extendedprice": "n % 7 = 0", "l_linenumber": "n % 601 = 0"}
+    holes = ", ".join(f"CASE WHEN {where} THEN NULL ELSE {c} END AS {c}" for c, where in changes.items())
+    con.execute(
+        f"""COPY (SELECT * REPLACE ({holes}) FROM (SELECT *, file_row_number AS n FROM read_parquet('{FOLDER}/lineitem.parquet', file_row_number = true)))
+            TO '{tmp_path}/holes.parquet'"""
+    )
+    # beads without an id follow each other in any order: one in a chain is kept
+    con.execute(
+        f"""COPY (SELECT * EXCLUDE (n) FROM read_parquet('{tmp_path}/holes.parquet') QUALIFY l_partkey * l_linenumber IS NOT NULL
+            OR ROW_NUMBER() OVER (PARTITION BY l_suppkey, if(l_partkey % 15 = 0, 0, l_partkey % 150), l_partkey * l_linenumber IS NULL ORDER BY n) = 1) TO '{tmp_path}/lineitem.parquet'"""
+    )
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
+    monkeypatch.setattr(frames, "LARGE", large)
+    for name in ("w1_unwrap_chains", "w2_unwrap_two_strands", "a27_chain_centres"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        cur = con.execute(entry.oracle_sql()[name])
+        want = rows([d[0] for d in cur.description], cur.fetchall())
+        assert rows(df.columns, [tuple(r) for r in df.collect()]) == want, name
+        assert any("None" in r for r in want[1])
